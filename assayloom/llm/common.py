@@ -1,10 +1,10 @@
-"""What the training-data operators share: reading tables, shared scratch tables, shipping code to executors."""
+"""What the training-data operators share: reading tables, shared scratch tables."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 SCRATCH = "assayloom"
 
+# functions of this package travel to executors by value: they need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,12 +69,6 @@ class tidy_shuffles:
             self.spark.conf.set(self.KEY, self.before)
 
 
-def ship(*modules: ModuleType) -> None:
-    """Functions of these modules travel to executors by value: executors need no copy of the library."""
-    for m in modules:
-        cloudpickle.register_pickle_by_value(m)
-
-
 def crc_mod(key: str, n: int):
     """crc32 of the key as text, modulo n."""
     return (F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)).cast("int")
