@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii
+from . import jaccard, packing, pii
 from .common import table, written
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -17,5 +21,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.selected(spans, pii.fit(spans)))
 
 
-QUERIES: dict = {"op6_packing": op6_packing, "op10_pii": op10_pii}
+QUERIES: dict = {"op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
 ORACLES: dict = {}
