@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, pii
+from . import jaccard, mixing, packing, pii
 from .common import table, written
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.selected(spans, pii.fit(spans)))
 
 
-QUERIES: dict = {"op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
+QUERIES: dict = {"op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
 ORACLES: dict = {}
