@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, mixing, packing, pii, toxicity
+from . import ann, jaccard, katz, mixing, packing, pii, toxicity
 from .common import table, written
 
 
@@ -24,6 +24,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
@@ -33,5 +37,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.selected(spans, pii.fit(spans)))
 
 
-QUERIES: dict = {"op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
+QUERIES: dict = {"op7_katz": op7_katz, "op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
 ORACLES: dict = {}
