@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, katz, mixing, packing, pii, toxicity
+from . import ann, chat, jaccard, katz, licences, mixing, packing, pii, toxicity
 from .common import table, written
 
 
@@ -16,6 +16,15 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = written(chat.conversations(table(spark, sf_dir, "conversations")), "talks")
+    return chat.digest(chat.preferences(chat.swapped(talks)))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
 
@@ -37,5 +46,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.selected(spans, pii.fit(spans)))
 
 
-QUERIES: dict = {"op7_katz": op7_katz, "op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
-ORACLES: dict = {}
+QUERIES: dict = {"op4_chat": op4_chat, "op8_licences": op8_licences, "op7_katz": op7_katz, "op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
+ORACLES: dict = {"op4_chat": chat.ORACLE, "op8_licences": licences.oracle()}
