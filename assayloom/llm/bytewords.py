@@ -30,11 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+class Powers:
+    """Powers of STEP and of its inverse, kept between batches."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, b, np.uint64)), dtype=np.uint64) for b in (STEP, BACK))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +53,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """number: 64-bit number of each word; first: index of each text's first word (one more at the end); starts, ends: bytes."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, powers: Powers | None = None):
+        powers = powers or Powers()
         data, at = buffers(column)
         self.data, self.at, n = data, at, len(data)
         inside = ~SPACE[data]
@@ -64,8 +69,11 @@ class Words:
         self.starts, self.ends = np.nonzero(start)[0], np.nonzero(end)[0] + 1
         self.first = np.searchsorted(self.starts, at)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(VALUE[data] * powers(STEP, n), dtype=np.uint64, out=self.prefix[1:])
-        self.back = powers(BACK, n + 1)
+        powers.grow(n + 1)
+        terms = VALUE[data]
+        terms *= powers.up[:n]
+        np.cumsum(terms, dtype=np.uint64, out=self.prefix[1:])
+        self.back = powers.down
         self.number = self.part(self.starts, self.ends)
 
     def part(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -92,7 +100,7 @@ class Words:
         return mix(acc), out_first
 
 
-def row_batches(batches, rows: int = 2_000, size: int = 8_000_000):
+def row_batches(batches, rows: int = 1_000, size: int = 2_500_000):
     """Slices of Arrow batches with bounded rows and bounded text (one longer text is a slice by itself)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))

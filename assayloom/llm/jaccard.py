@@ -3,16 +3,18 @@
 Two sets with Jaccard similarity t or more differ in at most H = (1-t)/(1+t) * (|A|+|B|) elements. Sets fall into
 size bands; in a band, hashing deals the universe into m segments, m above H. Sets that differ in at most H elements
 differ in at most H segments, so they agree in at least m - H; hence in any one order of (segment, content) their first
-H+1 share one. A set is indexed under that subset of its segments only. The order is the cost model: contents of many
-elements come first, as they are the rarest, and empty segments, which cost most, come last. The smallest sets (where H
-is 1) use a single segment with its one-deletion neighbourhood. A set whose partners may lie in the next band is
-indexed there too.
+H+t share t of them. A set is indexed under that subset of its segments only. The order is the cost model: contents of
+many elements come first, as they are the rarest, and empty segments, which cost most, come last. H+t is 9/20 of the set's
+size, so a set must share about a fifth of its entries (`least_common`) with others to have any partner: documents that
+merely share a passage drop out by counting. The smallest sets (where H is 1) use a single segment with its one-deletion
+neighbourhood. A set whose partners may lie in the next band is indexed there too.
 
 Equal sets are one class from the start, named by a 64-bit fingerprint, so copies never multiply. Segments that only one
-class holds vanish in a pre-aggregated count. In what is left, a class is first compared with the hub it shares most
-with; classes linked so far are one component, and only pairs from different components of a common segment are
-compared further, some hubs of each segment a round, until every such pair is linked or refuted. Every comparison is
-exact, on the sorted 64-bit shingle numbers (two different shingles of a pair collide with a chance of 2^-64).
+class holds vanish. For the classes left, entries are allocated anew by exact cost, in the finest partition, one shingle a
+segment: the H+1 shingles that the fewest classes have; shingles nobody else has drop out, and as two classes differ in
+those of both, and in every bit in which their parity sketches differ, nearly all other pairs are refuted by counts alone. A class is first compared with the hub it shares most entries
+with; classes linked so far are one component, and only pairs from different components of a common entry are compared
+further, some hubs of each entry a round, until every such pair is linked or refuted. Every comparison is exact, on the sorted 64-bit shingle numbers (two different shingles of a pair collide with a chance of 2^-64).
 
 Defined cases: a null text is an empty one; a text without words has no shingle and links with nothing; texts of fewer
 words than a shingle are one shingle of all their words; repeated rows and exact copies are one class and keep all their
@@ -25,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import SALTS, Words, mix, row_batches
+from .bytewords import SALTS, Powers, Words, mix, row_batches
 from .common import discard, tidy_shuffles, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 BROADCAST_IDS = 1_000_000  # beyond it, texts are joined with the wanted ids by a shuffle
+SKETCH = 8  # words of 64 bits
 HUBS = 4  # hubs a segment in the first round; four times as many in each further one
 
 
@@ -49,8 +52,7 @@ LOWS = lows(2**40)
 
 def segments(band: np.ndarray) -> np.ndarray:
     """Segments of the universe in each band: above the greatest H of the band, and few of them empty."""
-    low = LOWS[band]
-    return np.where(band == 0, 1, np.where(low < 96, 3 * low, 2 * low))
+    return np.where(band == 0, 1, 4 * LOWS[band])
 
 
 def largest_partner(n: np.ndarray) -> np.ndarray:
@@ -62,11 +64,24 @@ def most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (n + m) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
+def indexed_under(n: np.ndarray) -> np.ndarray:
+    """Entries of a set of size n: enough for pigeonhole with its largest partner, and 9/20 of its size at least."""
+    return np.maximum(most_apart(n, largest_partner(n)) + 1, n * 9 // 20)
+
+
+def least_common(n: np.ndarray) -> np.ndarray:
+    """Entries that a set of size n shares with any partner, at least: min over partners m of entries(smaller) - H(n, m)."""
+    small = -(-n * NUMERATOR // DENOMINATOR)
+    down = indexed_under(small) - most_apart(n, small) - 1  # grows with m but for rounding
+    up = indexed_under(n) - most_apart(n, largest_partner(n))
+    return np.maximum(1, np.minimum(down, up))
+
+
 class Sets:
     """Distinct shingles of each text of a batch: value (sorted within a text), first, size, fingerprint."""
 
-    def __init__(self, texts: pa.Array, words: int = WORDS):
-        shingle, first = Words(texts).shingles(words)
+    def __init__(self, texts: pa.Array, words: int = WORDS, powers: Powers | None = None):
+        shingle, first = Words(texts, powers).shingles(words)
         parts = []
         for a, b in zip(first[:-1], first[1:]):
             part = np.sort(shingle[a:b])
@@ -80,22 +95,21 @@ class Sets:
         self.fp = mix(self.total + self.size.astype(np.uint64) * SALTS[41]).view(np.int64)
 
 
-def signatures(sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the chosen sets, and the set of each."""
-    out_sig, out_set = [], []
+def signatures(sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the chosen sets, the set of each, and its band."""
+    out_sig, out_set, out_band = [], [], []
     size, band = sets.size[chosen], np.searchsorted(LOWS, sets.size[chosen], "right") - 1
     for i in chosen[(band == 0) & (size >= 3)]:  # smaller sets link with equal ones only
         part = sets.scrambled[sets.first[i] : sets.first[i + 1]]
         out_sig.append(mix(np.append(sets.total[i], sets.total[i] - part) ^ SALTS[42]))
         out_set.append(np.full(len(part) + 1, i))
+        out_band.append(np.zeros(len(part) + 1, np.int64))
     partner = largest_partner(size)
-    jobs = [(chosen[band > 0], band[band > 0], np.minimum(partner, LOWS[band + 1] - 1)[band > 0])]
     above = partner >= LOWS[band + 1]
-    jobs.append((chosen[above], band[above] + 1, partner[above]))
-    for which, bands, most in jobs:
+    for which, bands in ((chosen[band > 0], band[band > 0]), (chosen[above], band[above] + 1)):
         if not len(which):
             continue
-        n, m, take = sets.size[which], segments(bands), most_apart(sets.size[which], most) + 1
+        n, m, take = sets.size[which], segments(bands), indexed_under(sets.size[which])
         owner = np.repeat(np.arange(len(which)), n)
         element = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(sets.first[which], n)
         value = sets.scrambled[element]
@@ -116,9 +130,10 @@ def signatures(sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             t = take[k]
             out_sig.append(np.partition(part, t - 1)[:t] if t < len(part) else part)
             out_set.append(np.full(min(t, len(part)), which[k]))
+            out_band.append(np.full(min(t, len(part)), bands[k]))
     if not out_sig:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_sig).view(np.int64), np.concatenate(out_set)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_sig).view(np.int64), np.concatenate(out_set), np.concatenate(out_band)
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -129,8 +144,9 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and the fingerprint of the set (null where there is none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in row_batches(batches):
-            s = Sets(b.column(1), words)
+            s = Sets(b.column(1), words, powers)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.size), pa.array(s.fp, mask=s.size == 0)], names=["doc_id", "n_shingles", "fp"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long")
@@ -141,28 +157,46 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def indexed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """sig, fp and size: what each class is indexed under."""
+    """sig, fp, size and band: what each class is indexed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in row_batches(batches):
-            s = Sets(b.column(1), words)
+            s = Sets(b.column(1), words, powers)
             _, once = np.unique(s.fp, return_index=True)
-            sig, of = signatures(s, once[s.size[once] > 0])
-            yield _batch(sig=sig, fp=s.fp[of], n=s.size[of])
+            sig, of, band = signatures(s, once[s.size[once] > 0])
+            yield _batch(sig=sig, fp=s.fp[of], n=s.size[of], band=band)
 
-    return _texts(docs).mapInArrow(run, "sig long, fp long, n long")
+    return _texts(docs).mapInArrow(run, "sig long, fp long, n long, band long")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in row_batches(batches):
-            s = Sets(b.column(1), words)
+            s = Sets(b.column(1), words, powers)
             raw = [s.value[x:y].tobytes() for x, y in zip(s.first[:-1], s.first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(s.fp), pa.array(raw, pa.binary())], names=["fp", "elements"])
 
     return _texts(docs).mapInArrow(run, "fp long, elements binary")
 
 
+def sketches_of(sets: DataFrame) -> DataFrame:
+    """fp and SKETCH longs: the parity of how many elements fall on each bit. Each element in which two sets differ turns
+    one bit over, so sets whose sketches differ in more than H bits do not link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.zeros((b.num_rows, SKETCH), np.uint64)
+            for i, raw in enumerate(b.column(1)):
+                at = mix(np.frombuffer(raw.as_buffer(), np.uint64) ^ SALTS[45]) % np.uint64(64 * SKETCH)
+                odd = np.nonzero(np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1)[0]
+                np.bitwise_or.at(words[i], odd // 64, np.uint64(1) << (odd % 64).astype(np.uint64))
+            yield _batch(fp=b.column(0).to_numpy(), **{f"k{j}": words[:, j].view(np.int64) for j in range(SKETCH)})
+
+    return sets.select("fp", "elements").mapInArrow(run, "fp long, " + ", ".join(f"k{j} long" for j in range(SKETCH)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -176,9 +210,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = sets.withColumnsRenamed({"fp": "a", "elements": "x"})
-    right = sets.withColumnsRenamed({"fp": "b", "elements": "y"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # sets stay where they are unless a pair names them: while pairs are few they go to the sets, not the sets to them
+    few = pairs.count() <= BROADCAST_IDS
+    near = F.broadcast if few else lambda df: df
+    left = sets.withColumnsRenamed({"fp": "a", "elements": "x"}).join(near(pairs), "a")
+    right = sets.join(near(pairs.select(F.col("b").alias("fp")).distinct()), "fp", "left_semi").withColumnsRenamed({"fp": "b", "elements": "y"})
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -205,9 +242,12 @@ def joined(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     with tidy_shuffles(spark):
         members = written(classes(docs, words), "classes")
-        index = indexed(docs, words)
-        shared = index.groupBy("sig").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most")
-        held = written(index.join(shared.select("sig"), "sig").distinct(), "held")
+        by_sig = Window.partitionBy("sig")
+        index = indexed(docs, words).withColumn("least", F.min("fp").over(by_sig)).withColumn("most", F.max("fp").over(by_sig))
+        held = written(index.filter("least < most").select("sig", "fp", "n", "band"), "held")
+        held = _counted(held)
+        if not held.isEmpty():
+            held = _allocated(docs, words, members, held)
         roots = None
         if not held.isEmpty():
             roots = _rounds(docs, words, members, held)
@@ -216,17 +256,83 @@ def joined(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """The entries that two classes or more have."""
+    return index.groupBy("sig").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("sig")
+
+
+def _counted(held: DataFrame) -> DataFrame:
+    """held without the classes that share too little to have a partner, over again until hardly any more go."""
+    rows = held.count()
+    while rows:
+        own = held.groupBy("fp", "n", "band").count()
+        enough = own.filter(F.col("band").eqNullSafe(0) | (F.col("count") >= least_common_sql(F.col("n")))).select("fp", "band")
+        left = held.join(enough, ["fp", "band"], "left_semi")
+        after = written(left.join(_shared(left), "sig", "left_semi"), "held")
+        discard(held)
+        before, rows, held = rows, after.count(), after
+        if rows > 0.8 * before:
+            break
+    return held
+
+
+def elements(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """sig, fp, n: every shingle of every class, as the finest entries there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in row_batches(batches):
+            s = Sets(b.column(1), words, powers)
+            yield _batch(sig=s.value.view(np.int64), fp=np.repeat(s.fp, s.size), n=np.repeat(s.size, s.size))
+
+    return _texts(docs).mapInArrow(run, "sig long, fp long, n long")
+
+
+def _allocated(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) -> DataFrame:
+    """Entries by exact cost, for the classes left: of all their shingles, the H+1 that the fewest classes have.
+
+    Shingles that nobody else has cannot find a partner and go. Two classes meet at their first common shingle, in the
+    order of cost, if they link; what precedes it in either is not in the other. So each entry carries `own`, the number of
+    its class's shingles before it, and a pair there differs in those of both.
+    """
+    some = written(held.select("fp").distinct().join(members, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "some")
+    full = elements(only(docs, some.select("doc_id").distinct()), words)
+    by_sig, by_class = Window.partitionBy("sig"), Window.partitionBy("fp")
+    alone = F.min("fp").over(by_sig) == F.max("fp").over(by_sig)
+    full = full.withColumn("alone", alone).withColumn("cost", F.when(F.col("alone"), 1).otherwise(F.count("*").over(by_sig)))
+    ranked = full.withColumn("at", F.dense_rank().over(by_class.orderBy("cost", "sig")).cast("long"))
+    apart = F.floor((F.col("n") + F.floor(F.col("n") * DENOMINATOR / NUMERATOR)) * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR))
+    kept = ranked.filter(~F.col("alone") & (F.col("at") <= apart + 1)).select("sig", "fp", "n", (F.col("at") - 1).alias("own")).distinct()
+    out = written(kept, "allocated")
+    discard(held)
+    discard(some)
+    return out
+
+
+def least_common_sql(n: Column) -> Column:
+    """least_common as an expression."""
+    small = F.ceil(n * NUMERATOR / DENOMINATOR).cast("long")
+    large = F.floor(n * DENOMINATOR / NUMERATOR).cast("long")
+    apart = lambda x, y: F.floor((x + y) * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR)).cast("long")
+    under = lambda x: F.greatest(apart(x, F.floor(x * DENOMINATOR / NUMERATOR).cast("long")) + 1, F.floor(x * 9 / 20).cast("long"))
+    return F.greatest(F.lit(1), F.least(under(small) - apart(n, small) - 1, under(n) - apart(n, large)))
+
+
 def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) -> DataFrame:
     """Components of the classes in held: the hub of most common segments first, then hub by hub."""
-    fits = f"least(n, hn) * {DENOMINATOR} >= greatest(n, hn) * {NUMERATOR}"
-    first = F.min(F.struct("fp", "n")).alias("hub")
+    fits = f"least(n, hn) * {DENOMINATOR} >= greatest(n, hn) * {NUMERATOR} and own + hown <= floor((n + hn) * {DENOMINATOR - NUMERATOR} / {DENOMINATOR + NUMERATOR})"
+    first = F.min(F.struct("own", "fp", "n")).alias("hub")
     best = (
-        held.join(held.groupBy("sig").agg(first), "sig").select("fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hn"))
+        held.join(held.groupBy("sig").agg(first), "sig").select("fp", "n", "own", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hn"), F.col("hub.own").alias("hown"))
         .filter("fp != hub").filter(fits).groupBy("fp", "hub").count()
         .groupBy("fp").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     )
     sets = _wanted_sets(docs, words, members, held)
-    links = written(verified(best.select(F.col("fp").alias("a"), F.col("hub").alias("b")), sets), "links")
+    sketches = written(sketches_of(sets), "sketches")
+    turned = " + ".join(f"bit_count(k{j} ^ h{j})" for j in range(SKETCH))
+    close = f"{turned} <= floor((n + hn) * {DENOMINATOR - NUMERATOR} / {DENOMINATOR + NUMERATOR})"
+    pairs = written(best.select(F.col("fp").alias("a"), F.col("hub").alias("b")), "pairs")
+    links = written(verified(pairs, sets), "links")
     roots = components(links, "roots")
     hubs, peeled = HUBS, 0
     while True:
@@ -237,9 +343,9 @@ def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) ->
         if now.isEmpty():
             return roots
         order = F.row_number().over(_by_sig())
-        ranked = now.withColumn("at", order)
-        middle = ranked.filter((F.col("at") > peeled) & (F.col("at") <= peeled + hubs)).select("sig", F.col("fp").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot"), F.col("at").alias("hat"))
-        pairs = ranked.join(middle, "sig").filter("at > hat and root != hroot").filter(fits)
+        ranked = now.withColumn("at", order).join(sketches, "fp")
+        middle = ranked.filter((F.col("at") > peeled) & (F.col("at") <= peeled + hubs)).select("sig", F.col("fp").alias("hub"), F.col("n").alias("hn"), F.col("own").alias("hown"), F.col("root").alias("hroot"), F.col("at").alias("hat"), *[F.col(f"k{j}").alias(f"h{j}") for j in range(SKETCH)])
+        pairs = ranked.join(middle, "sig").filter("at > hat and root != hroot").filter(fits).filter(close)
         pairs = written(pairs.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct(), "pairs")
         new = written(verified(pairs, sets), "links")
         if not new.isEmpty():
@@ -251,15 +357,13 @@ def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) ->
             old = known.join(merged.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             fresh = merged.join(known, "node", "left_anti").select("node", F.col("to").alias("root"))
             roots = written(old.union(fresh), "roots")
-        held = now.select("sig", "fp", "n")
+        held = now.select("sig", "fp", "n", "own")
         peeled += hubs
         hubs *= 4
 
 
 def _by_sig():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("sig").orderBy("fp")
+    return Window.partitionBy("sig").orderBy("own", "fp")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
