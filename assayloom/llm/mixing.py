@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK, SHARD, BUCKET, CHUNK, ROUNDS = 64, 4096, 4096, 8192, 12
+BLOCK, SHARD, BUCKET, CHUNK, ROUNDS = 64, 4096, 512, 8192, 12
 WEIGHTS, BUDGET, REPEAT = (5, 2, 1), 1.5, 2
 SPACES = r"\x20\x09-\x0D"
 
