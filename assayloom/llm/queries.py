@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, jaccard, katz, licences, mixing, packing, pii, toxicity
+from . import ann, chat, jaccard, katz, licences, media, mixing, packing, pii, toxicity
 from .common import table, written
 
 
@@ -16,6 +16,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.page_images(table(spark, sf_dir, "pages")))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = written(chat.conversations(table(spark, sf_dir, "conversations")), "talks")
     return chat.digest(chat.preferences(chat.swapped(talks)))
@@ -46,5 +50,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.selected(spans, pii.fit(spans)))
 
 
-QUERIES: dict = {"op4_chat": op4_chat, "op8_licences": op8_licences, "op7_katz": op7_katz, "op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
+QUERIES: dict = {"op3_media": op3_media, "op4_chat": op4_chat, "op8_licences": op8_licences, "op7_katz": op7_katz, "op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
 ORACLES: dict = {"op4_chat": chat.ORACLE, "op8_licences": licences.oracle()}
