@@ -2,11 +2,520 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import auc, average_rank, benjamini_hochberg
+from ..operators import differential as de
+from ..operators import enrichment, findings, profile, qc, replicates, transform
+from .bridges import DENSE, RUNS, SPARSE, dense, runs, sparse, suppliers, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    """Median-normalised, log2, effect of the region on each brand (least squares, Benjamini-Hochberg)."""
+    ds = transform.log2_transform(transform.normalize(dense(spark, sf_dir), "median"))
+    return de.differential_abundance(ds, "region", method="ols").table
+
+
+# -- transforms -------------------------------------------------------------------------------------------------
+
+
+@query("bridge_dense", f"with {DENSE} select sample_id, feature_id, value from v")
+def bridge_dense(s, d):
+    return dense(s, d).values
+
+
+@query("normalize_median", f"with {DENSE}, m as (select sample_id, median(value) med from v group by 1), g as (select avg(med) level from m) select sample_id, feature_id, round(value * level / med, 6) as value from v join m using (sample_id), g")
+def normalize_median(s, d):
+    return transform.normalize(dense(s, d), "median").values.withColumn("value", F.round("value", 6))
+
+
+@query("normalize_mad", f"with {DENSE}, y as (select sample_id, feature_id, log2(value + 1) y from v), m as (select sample_id, median(y) med from y group by 1), z as (select sample_id, median(abs(y - med)) * 1.4826 mad from y join m using (sample_id) group by 1) select sample_id, feature_id, round((y - med) / mad, 6) as value from y join m using (sample_id) join z using (sample_id)")
+def normalize_mad(s, d):
+    return transform.normalize(dense(s, d), "mad").values.withColumn("value", F.round("value", 6))
+
+
+@query("normalize_vsn")
+def normalize_vsn(s, d):
+    return transform.normalize(dense(s, d), "vsn").values.withColumn("value", F.round("value", 6))
+
+
+@query("log2_transform", f"with {DENSE} select sample_id, feature_id, round(log2(value + 1), 6) as value from v")
+def log2_transform(s, d):
+    return transform.log2_transform(dense(s, d)).values.withColumn("value", F.round("value", 6))
+
+
+@query("to_linear", f"with {DENSE} select sample_id, feature_id, round(pow(2, log2(value + 1)), 4) as value from v")
+def to_linear(s, d):
+    return transform.to_linear(transform.log2_transform(dense(s, d))).values.withColumn("value", F.round("value", 4))
+
+
+@query("median_center", f"with {DENSE}, y as (select sample_id, feature_id, log2(value + 1) y from v), m as (select sample_id, median(y) med from y group by 1) select sample_id, feature_id, round(y - med, 6) as value from y join m using (sample_id)")
+def median_center(s, d):
+    return transform.median_center(transform.log2_transform(dense(s, d))).values.withColumn("value", F.round("value", 6))
+
+
+KEPT = SPARSE + ", n as (select count(*) n from smp), k as (select feature_id from v, n where value > 0 group by feature_id having (max(n) - count(*)) / max(n) <= 0.8), c as (select smp.sample_id, k.feature_id, v.value from smp cross join k left join v on v.sample_id = smp.sample_id and v.feature_id = k.feature_id)"
+
+
+@query("detection_filter", f"with {KEPT} select feature_id from k")
+def detection_filter(s, d):
+    return transform.detection_filter(sparse(s, d), 0.8).features.select("feature_id")
+
+
+@query("impute_zero", f"with {KEPT} select sample_id, feature_id, coalesce(value, 0) as value from c")
+def impute_zero(s, d):
+    return transform.handle_missing(sparse(s, d), max_missing_fraction=0.8, impute="zero").values
+
+
+@query("impute_mean", f"with {KEPT} select sample_id, feature_id, round(coalesce(value, avg(value) over (partition by feature_id)), 6) as value from c")
+def impute_mean(s, d):
+    return transform.handle_missing(sparse(s, d), max_missing_fraction=0.8, impute="mean").values.withColumn("value", F.round("value", 6))
+
+
+@query("impute_median", f"with {KEPT}, f as (select feature_id, median(value) med from c group by 1) select sample_id, feature_id, round(coalesce(value, med), 6) as value from c join f using (feature_id)")
+def impute_median(s, d):
+    return transform.handle_missing(sparse(s, d), max_missing_fraction=0.8, impute="median").values.withColumn("value", F.round("value", 6))
+
+
+@query("impute_knn", f"""with {KEPT.replace('<= 0.8', '<= 0.7')}, p as (select count(*) p from k),
+  dd as (select a.sample_id, b.sample_id other, sqrt(sum((a.value - b.value) * (a.value - b.value)) * max(p) / count(*)) dist from c a join c b on a.feature_id = b.feature_id and a.sample_id <> b.sample_id, p where a.value is not null and b.value is not null group by all),
+  h as (select c.sample_id, c.feature_id, e.value given, row_number() over (partition by c.sample_id, c.feature_id order by dist, other) rn from c join dd using (sample_id) join c e on e.sample_id = dd.other and e.feature_id = c.feature_id where c.value is null and e.value is not null),
+  f as (select sample_id, feature_id, avg(given) fill from h where rn <= 5 group by all)
+  select c.sample_id, c.feature_id, round(coalesce(c.value, fill, avg(c.value) over (partition by c.feature_id)), 6) as value from c left join f using (sample_id, feature_id)""")
+def impute_knn(s, d):
+    return transform.handle_missing(sparse(s, d), max_missing_fraction=0.7, impute="knn").values.withColumn("value", F.round("value", 6))
+
+
+@query("combat")
+def combat(s, d):
+    ds = transform.log2_transform(dense(s, d))
+    many = ds.samples.groupBy("region").count().filter("count > 1").select("region")
+    kept = ds.samples.join(many, "region", "left_semi")
+    from dataclasses import replace
+
+    return transform.combat_correct(replace(ds, samples=kept, values=ds.values.join(kept.select("sample_id"), "sample_id", "left_semi")), "region").values.withColumn("value", F.round("value", 6))
+
+
+# -- quality control --------------------------------------------------------------------------------------------
+
+
+@query("cv", f"with {DENSE} select feature_id, round(case when avg(value) > 0 then stddev_samp(value) / avg(value) end, 6) cv from v group by 1")
+def cv(s, d):
+    return qc.cv(dense(s, d)).select("feature_id", *r6("cv"))
+
+
+@query("cv_by_state", f"""with {DENSE}, m as (select sample_id, median(value) med from v group by 1), g as (select avg(med) lv from m), w as (select sample_id, feature_id, value * lv / med as value from v join m using (sample_id), g),
+  c as (select 'raw' state, stddev_samp(value) / avg(value) cv from v group by feature_id union all select 'normalized', stddev_samp(value) / avg(value) from w group by feature_id), b as (select quantile_cont(cv, 0.995) ub from c)
+  select state, round(median(cv), 6) median_cv, count(cv) n, round(max(ub), 6) upper_bound from c, b group by state""")
+def cv_by_state(s, d):
+    ds = dense(s, d)
+    return qc.cv_by_state({"raw": ds, "normalized": transform.normalize(ds, "median")}).select("state", "n", *r6("median_cv", "upper_bound"))
+
+
+@query("sample_medians", f"with {DENSE} select sample_id, median(value) median from v group by 1")
+def sample_medians(s, d):
+    return qc.sample_medians(dense(s, d))
+
+
+@query("detection_counts", f"with {SPARSE} select smp.sample_id, count(v.value) n_detected from smp left join v on v.sample_id = smp.sample_id and value > 0 group by 1")
+def detection_counts(s, d):
+    return qc.detection_counts(sparse(s, d))
+
+
+COMPLETE = SPARSE + ", n as (select count(*) n from smp), c as (select feature_id, count(*) filter (value > 0) n_detected, avg(log2(value)) filter (value > 0) mean_log2, count(*) filter (value > 0) / max(n) rate from v, n group by 1)"
+
+
+@query("feature_completeness", f"with {COMPLETE} select feature_id, n_detected, round(rate, 6) rate, round(mean_log2, 6) mean_log2 from c")
+def feature_completeness(s, d):
+    return qc.feature_completeness(sparse(s, d)).select("feature_id", "n_detected", *r6("rate", "mean_log2"))
+
+
+@query("sample_completeness", f"with {SPARSE}, f as (select count(distinct feature_id) p from v) select smp.sample_id, round(count(v.value) / max(p), 6) rate from f, smp left join v on v.sample_id = smp.sample_id and value > 0 group by 1")
+def sample_completeness(s, d):
+    return qc.sample_completeness(sparse(s, d)).select("sample_id", *r6("rate"))
+
+
+@query("completeness_curve", f"with {COMPLETE} select k::bigint k, (select count(*) from c where n_detected >= k) n_features from n, range(1, 100000) r(k) where k <= n")
+def completeness_curve(s, d):
+    ds = sparse(s, d)
+    return qc.completeness_curve(qc.feature_completeness(ds), ds.samples.count())
+
+
+@query("mnar_correlation", f"with {COMPLETE} select round(corr(mean_log2, rate), 6) r, count(*) n from c where mean_log2 is not null")
+def mnar_correlation(s, d):
+    return qc.mnar_correlation(qc.feature_completeness(sparse(s, d))).select("n", *r6("r"))
+
+
+@query("binned_median", f"""with {COMPLETE}, e as (select quantile_cont(mean_log2, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) q from c), s as (select i as bin, q[i + 1] lo, q[i + 2] hi from e, range(0, 10) r(i))
+  select bin::int as bin, count(*) n, round(median(rate), 6) median from c join s on mean_log2 between lo and hi group by 1""")
+def binned_median(s, d):
+    return qc.binned_median(qc.feature_completeness(sparse(s, d)), "mean_log2", "rate", 10).select("bin", "n", *r6("median"))
+
+
+@query("dynamic_range", f"with {SPARSE}, f as (select feature_id, median(value) m, quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b from v where value > 0 group by 1) select feature_id, row_number() over (order by m desc, feature_id)::int as rank, round(log2(m), 6) log2_median, round(log2(a), 6) log2_q25, round(log2(b), 6) log2_q75 from f")
+def dynamic_range(s, d):
+    return qc.dynamic_range(sparse(s, d)).select("feature_id", "rank", *r6("log2_median", "log2_q25", "log2_q75"))
+
+
+@query("dynamic_range_by_class", f"with {SPARSE}, f as (select region class, feature_id, median(value) m from v join smp using (sample_id) where value > 0 group by all) select class, feature_id, row_number() over (partition by class order by m desc, feature_id)::int as rank, round(log2(m), 6) log2_median from f")
+def dynamic_range_by_class(s, d):
+    return qc.dynamic_range(sparse(s, d), by="region").select("class", "feature_id", "rank", *r6("log2_median"))
+
+
+@query("orders_of_magnitude", f"with {SPARSE}, f as (select feature_id, median(value) m from v where value > 0 group by 1) select round(log10(max(m) / min(m)), 6) orders, count(*) n from f")
+def orders_of_magnitude(s, d):
+    return qc.orders_of_magnitude(qc.dynamic_range(sparse(s, d))).select("n", *r6("orders"))
+
+
+@query("correlation_pearson", f"with {DENSE} select x.sample_id a, y.sample_id b, round(corr(x.value, y.value), 6) r from v x join v y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by all")
+def correlation_pearson(s, d):
+    return qc.correlation(dense(s, d)).select("a", "b", *r6("r"))
+
+
+@query("correlation_spearman", f"with {DENSE}, k as (select sample_id, feature_id, rank() over (partition by sample_id order by value) + (count(*) over (partition by sample_id, value) - 1) / 2 k from v) select x.sample_id a, y.sample_id b, round(corr(x.k, y.k), 6) r from k x join k y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by all")
+def correlation_spearman(s, d):
+    return qc.correlation(dense(s, d), "spearman").select("a", "b", *r6("r"))
+
+
+@query("pca")
+def pca(s, d):
+    return qc.pca(transform.log2_transform(dense(s, d)))[0]
+
+
+@query("batch_confounding", f"""with {DENSE}, x as (select region, nation, count(*) k from smp group by all), a as (select region, sum(k) ra from x group by 1), b as (select nation, sum(k) cb from x group by 1), t as (select sum(k) n from x),
+  e as (select coalesce(k, 0) o, ra * cb / n e, n from a cross join b left join x using (region, nation), t), c as (select sum((o - e) * (o - e) / e) chi2, max(n) n, (select count(*) from a) r, (select count(*) from b) c from e),
+  p as (select greatest(0, chi2 / n - (r - 1) * (c - 1) / (n - 1)) phi, r - (r - 1) * (r - 1) / (n - 1) rc, c - (c - 1) * (c - 1) / (n - 1) cc from c)
+  select 'region' covariate, round(case when least(rc - 1, cc - 1) > 0 then sqrt(phi / least(rc - 1, cc - 1)) else 0 end, 6) v, true perfect from p""")
+def batch_confounding(s, d):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return qc.batch_confounding(dense(s, d), "nation", ["region"]).select("covariate", "perfect", *r6("v"))
+
+
+# -- replicates -------------------------------------------------------------------------------------------------
+
+
+@query("replicate_means", f"with {RUNS} select user_id::varchar sample_id, feature_id, round(avg(value), 6) as value from v group by all")
+def replicate_means(s, d):
+    return replicates.aggregate(runs(s, d), "user_id", run_level=("block",)).dataset.values.withColumn("value", F.round("value", 6))
+
+
+@query("replicate_histogram", f"with {RUNS}, u as (select user_id, count(distinct sample_id) n_replicates from v group by 1) select n_replicates, count(*) n_units from u group by 1")
+def replicate_histogram(s, d):
+    return replicates.aggregate(runs(s, d), "user_id", run_level=("block",)).histogram
+
+
+@query("keep_highest_replicate", "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by value desc, event_id desc) = 1")
+def keep_highest_replicate(s, d):
+    from ..sources.matrix import latest_replicate
+
+    return latest_replicate(table(s, d, "events").withColumn("row_ord", F.col("event_id")), "user_id", "value").select("user_id", "event_id", "value")
+
+
+# -- differential abundance -------------------------------------------------------------------------------------
+
+
+LOGS = DENSE + ", y as (select sample_id, feature_id, log2(value + 1) y from v)"
+
+
+@query("de_welch", f"""with {LOGS}, g as (select feature_id, avg(y) filter (region = 'ASIA') m1, avg(y) filter (region = 'AFRICA') m0, var_samp(y) filter (region = 'ASIA') v1, var_samp(y) filter (region = 'AFRICA') v0, count(*) filter (region = 'ASIA') n1, count(*) filter (region = 'AFRICA') n0 from y join smp using (sample_id) where region in ('ASIA', 'AFRICA') group by 1)
+  select feature_id feature, round(m1 - m0, 6) effect, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) statistic, round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 6) df from g""")
+def de_welch(s, d):
+    return de.welch(transform.log2_transform(dense(s, d)), "region", "ASIA", "AFRICA").select("feature", *r6("effect", "statistic", "df"))
+
+
+@query("de_ols_two_group", f"""with {LOGS}, g as (select feature_id, avg(y) filter (region = 'ASIA') m1, avg(y) filter (region <> 'ASIA') m0, var_pop(y) filter (region = 'ASIA') v1, var_pop(y) filter (region <> 'ASIA') v0, count(*) filter (region = 'ASIA') n1, count(*) filter (region <> 'ASIA') n0 from y join smp using (sample_id) group by 1)
+  select feature_id feature, round(m1 - m0, 6) effect, round((m1 - m0) / sqrt((v1 * n1 + v0 * n0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)), 6) statistic from g""")
+def de_ols_two_group(s, d):
+    ds = transform.log2_transform(dense(s, d))
+    from dataclasses import replace
+
+    ds = replace(ds, samples=ds.samples.withColumn("asia", F.when(F.col("region") == "ASIA", "yes").otherwise("no")))
+    return de.differential_abundance(ds, "asia", method="ols").table.select("feature", *r6("effect", "statistic"))
+
+
+@query("de_slope", f"with {LOGS} select feature_id feature, round(regr_slope(y, acctbal), 9) effect from y join smp using (sample_id) group by 1")
+def de_slope(s, d):
+    return de.differential_abundance(transform.log2_transform(dense(s, d)), "acctbal", method="ols").table.select("feature", F.round("effect", 9).alias("effect"))
+
+
+@query("de_moderated")
+def de_moderated(s, d):
+    ds = transform.handle_missing(sparse(s, d), max_missing_fraction=0.9, impute="zero")
+    from dataclasses import replace
+
+    ds = transform.log2_transform(replace(ds, samples=ds.samples.withColumn("asia", F.when(F.col("region") == "ASIA", "yes").otherwise("no"))))
+    return de.differential_abundance(ds, "asia", method="moderated").table
+
+
+@query("de_mann_whitney", f"""with {LOGS}, k as (select feature_id, region, y, rank() over (partition by feature_id order by y) + (count(*) over (partition by feature_id, y) - 1) / 2 k from y join smp using (sample_id) where region in ('ASIA', 'AFRICA')),
+  g as (select feature_id, sum(k) filter (region = 'ASIA') s, count(*) filter (region = 'ASIA') n1 from k group by 1), h as (select a.feature_id, median(a.y - b.y) shift from k a join k b on a.feature_id = b.feature_id and a.region = 'ASIA' and b.region = 'AFRICA' group by 1)
+  select feature_id feature, s - n1 * (n1 + 1) / 2 statistic, round(shift, 6) effect from g join h using (feature_id)""")
+def de_mann_whitney(s, d):
+    return de.rank_test(transform.log2_transform(dense(s, d)), "region", "ASIA", "AFRICA").select("feature", "statistic", *r6("effect"))
+
+
+P_VALUES = "p as (select o_orderkey id, o_custkey % 7 fam, (o_totalprice * 100)::bigint % 9973 / 9973.0::double p from orders)"
+
+
+@query("benjamini_hochberg", f"with {P_VALUES}, r as (select *, count(*) over (partition by fam) m, row_number() over (partition by fam order by p) rn from p) select id, round(least(1, min(p * m / rn) over (partition by fam order by rn desc)), 6) q from r")
+def bh(s, d):
+    p = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("fam"), (F.round(F.col("o_totalprice") * 100).cast("long") % 9973 / 9973.0).alias("p"))
+    return benjamini_hochberg(p, "p", ["fam"]).select("id", *r6("q"))
+
+
+@query("p_histogram", f"with {P_VALUES}, b as (select least(floor(p * 20)::int + 1, 20)::int as bin, count(*) n from p group by 1) select bin, n, round(n * 20.0 / sum(n) over (), 6)::double density from b")
+def p_histogram(s, d):
+    p = table(s, d, "orders").select((F.round(F.col("o_totalprice") * 100).cast("long") % 9973 / 9973.0).alias("p"))
+    return de.p_histogram(p).select("bin", "n", *r6("density"))
+
+
+@query("pi0", f"with {P_VALUES} select round(least(1, count(*) filter (p > 0.5) / (count(*) * 0.5)), 6)::double pi0, count(*) m from p")
+def pi0(s, d):
+    p = table(s, d, "orders").select((F.round(F.col("o_totalprice") * 100).cast("long") % 9973 / 9973.0).alias("p"))
+    return de.pi0(p).select("m", *r6("pi0"))
+
+
+@query("volcano_buckets", f"with {P_VALUES}, e as (select id, p q, ((id % 200) - 100) / 50.0::double effect from p) select case when q <= 0.05 and abs(effect) >= 1 and effect > 0 then 'up' when q <= 0.05 and abs(effect) >= 1 and effect < 0 then 'down' else 'ns' end bucket, count(*) n from e group by 1")
+def volcano_buckets(s, d):
+    o = table(s, d, "orders")
+    e = o.select((F.round(F.col("o_totalprice") * 100).cast("long") % 9973 / 9973.0).alias("q"), ((F.col("o_orderkey") % 200 - 100) / 50.0).alias("effect"))
+    return de.volcano(e, 0.05, 1.0).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("rank_sum_auc", "with s as (select d.lang, l.quality y, d.n_chars x, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2 k from documents d join labels l using (doc_id)) select lang, round((sum(k) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 6) auc from s group by 1")
+def rank_sum_auc(s, d):
+    scored = table(s, d, "documents").select("doc_id", "lang", "n_chars").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id")
+    return auc(scored, "n_chars", "quality", ["lang"]).select("lang", *r6("auc"))
+
+
+# -- profiling --------------------------------------------------------------------------------------------------
+
+
+@query("column_profile", """select 'o_orderstatus' as "column", 'string' as type, count(*) as rows, count(*) - count(o_orderstatus) nulls, count(distinct o_orderstatus) "distinct", min(o_orderstatus) least, max(o_orderstatus) most from orders
+  union all select 'o_custkey', 'bigint', count(*), count(*) - count(o_custkey), count(distinct o_custkey), min(o_custkey)::varchar, max(o_custkey)::varchar from orders""")
+def column_profile(s, d):
+    return profile.columns(table(s, d, "orders").select("o_orderstatus", "o_custkey"))
+
+
+@query("allowed_values", "select 'positive' as rule, count(*) filter (o_totalprice <= 0) broken from orders union all select 'status', count(*) filter (o_orderstatus not in ('O', 'F')) from orders")
+def allowed_values(s, d):
+    return profile.allowed_values(table(s, d, "orders"), {"positive": F.col("o_totalprice") > 0, "status": F.col("o_orderstatus").isin("O", "F")})
+
+
+@query("token_census", "with t as (select case event_id % 6 when 0 then 'NA' when 1 then '' when 2 then '0' when 3 then value::varchar when 4 then null else 'x' end v from events) select case when v is null then 'null' when v = '' then 'empty' when v = 'NA' then 'token NA' when try_cast(v as double) = 0 then 'zero' when try_cast(v as double) is not null then 'number' else 'text' end as kind, count(*) n from t group by 1")
+def token_census(s, d):
+    m = F.col("event_id") % 6
+    return profile.token_census(table(s, d, "events").select(F.when(m == 0, "NA").when(m == 1, "").when(m == 2, "0").when(m == 3, F.col("value").cast("string")).when(m == 4, None).otherwise("x").alias("v")), "v")
+
+
+@query("distributions", """select 'o_orderstatus' as "column", o_orderstatus as value, count(*) n from orders group by 2 union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by 2""")
+def distributions(s, d):
+    return profile.distributions(table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("crosstab", "select o_orderstatus, o_orderpriority, count(*) n from orders group by all")
+def crosstab(s, d):
+    return profile.crosstab(table(s, d, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("cohort_summary", "select o_orderstatus, o_orderpriority, count(*) n, round(avg(o_totalprice), 4) mean, round(stddev_samp(o_totalprice), 4) sd, grouping(o_orderstatus, o_orderpriority)::int as level from orders group by rollup (o_orderstatus, o_orderpriority)")
+def cohort_summary(s, d):
+    return profile.cohort_summary(table(s, d, "orders"), "o_orderstatus", "o_totalprice", "o_orderpriority").select("o_orderstatus", "o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "level")
+
+
+@query("unit_structure", """with u as (select l_orderkey, count(*) n, count(distinct l_suppkey) a, count(distinct l_orderkey) b from lineitem group by 1) select max(n) as rows, 'l_suppkey' as "column", max(a) > 1 varies from u union all select max(n), 'l_orderkey', max(b) > 1 from u""")
+def unit_structure(s, d):
+    return profile.unit_structure(table(s, d, "lineitem"), "l_orderkey", ["l_suppkey"]).unionByName(profile.unit_structure(table(s, d, "lineitem").withColumn("k", F.col("l_orderkey")), "l_orderkey", ["k"]).withColumn("column", F.lit("l_orderkey")))
+
+
+@query("imbalance", "with n as (select c_mktsegment, count(*) n from customer group by 1) select c_mktsegment, n, max(n) over () > 3 * min(n) over () unequal, n < 10 small from n")
+def imbalance(s, d):
+    return profile.imbalance(table(s, d, "customer"), "c_mktsegment")
+
+
+@query("scale_evidence", f"with {DENSE} select min(value) least, quantile_cont(value, 0.25) q25, median(value) median, quantile_cont(value, 0.75) q75, max(value) most, avg((value = 0)::int) zeros from v")
+def scale_evidence(s, d):
+    return profile.scale_evidence(dense(s, d).values)
+
+
+@query("reconciliation", "select doc_id, 'left' only_in from (select doc_id from documents except select doc_id from labels) union all select doc_id, 'right' from (select doc_id from labels except select doc_id from documents)")
+def reconciliation(s, d):
+    return profile.reconciled(table(s, d, "documents"), table(s, d, "labels"), "doc_id")
+
+
+@query("value_conservation", "select s_suppkey, s_name, 'lost' change from supplier where s_suppkey % 5 = 0 union all select s_suppkey, s_name || '!', 'new' from supplier where s_suppkey % 5 = 0")
+def value_conservation(s, d):
+    t = table(s, d, "supplier").select("s_suppkey", "s_name")
+    return profile.conserved(t, t.withColumn("s_name", F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name"))))
+
+
+@query("annotation_concordance", """with t as (select s_suppkey, case when s_suppkey % 2 = 0 then s_acctbal + 100000 else s_acctbal end sig, s_suppkey % 2 = 0 or s_suppkey % 11 = 0 expected from supplier),
+  g as (select sig, lead(sig) over (order by sig) - sig gap from t), c as (select max(sig + gap / 2) cut from g where gap = (select max(gap) from g)), f as (select s_suppkey, (sig > cut) <> expected flagged from t, c)
+  select s_suppkey, case when avg(flagged::int) over () > 0.2 then 'inconclusive' when flagged then 'flagged' else 'concordant' end outcome from f""")
+def annotation_concordance(s, d):
+    t = table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") + 100000).otherwise(F.col("s_acctbal")).alias("sig"), ((F.col("s_suppkey") % 2 == 0) | (F.col("s_suppkey") % 11 == 0)).alias("expected"))
+    return profile.concordance(t, "sig", "expected").select("s_suppkey", "outcome")
+
+
+@query("identifier_damage", """with t as (select case p_partkey % 6 when 0 then '2-Mar' when 1 then '1E5' when 2 then '00' || p_partkey when 3 then 'CON__' || p_partkey when 4 then 'A;B' else p_partkey::varchar end id from part)
+  select 'date' as kind, count(*) filter (id = '2-Mar') n from t union all select 'scientific', count(*) filter (id = '1E5') from t union all select 'padded', count(*) filter (id like '00%') from t union all select 'bare_number', count(*) filter (try_cast(id as bigint) is not null and id not like '0%' and id <> '1E5') from t
+  union all select 'contaminant', count(*) filter (id like 'CON%') from t union all select 'decoy', count(*) filter (id like 'REV%') from t union all select 'group', count(*) filter (id = 'A;B') from t union all select 'repeated', count(*) - count(distinct id) from t""")
+def identifier_damage(s, d):
+    k = F.col("p_partkey")
+    m = k % 6
+    t = table(s, d, "part").select(F.when(m == 0, "2-Mar").when(m == 1, "1E5").when(m == 2, F.concat(F.lit("00"), k)).when(m == 3, F.concat(F.lit("CON__"), k)).when(m == 4, "A;B").otherwise(k.cast("string")).alias("id"))
+    return profile.identifier_damage(t, "id")
+
+
+# -- findings ---------------------------------------------------------------------------------------------------
+
+
+def finding_documents(s: SparkSession, d: str) -> DataFrame:
+    """A finding document for each supplier; what is wrong with it follows from its number."""
+    k = F.col("s_suppkey").cast("int")
+    status = F.element_at(F.array(*[F.lit(x) for x in findings.STATES]), k % 6 + 1)
+    text = F.format_string(
+        "---\nid: %04d\ntitle: \"About %s\"\nstatus: %s\nphase: exploratory\nintegrity_signoff: %s\nscript: %s\ndata_version: v%d\nrelationships:\n  - { type: %s, target: %d }\nfigures:\n  - png: figures/a/%d.png\n---\nSee finding %04d.\n%s\n",
+        k, F.col("s_name"), status, F.when(k % 4 == 0, "true").otherwise("false"), F.when(k % 3 == 0, "analysis/scripts/x.py").otherwise("scratch.py"), k % 2,
+        F.element_at(F.array(*[F.lit(x) for x in findings.EDGES]), k % 6 + 1), k + 1, k, k + 1, F.when(k % 5 == 0, F.lit("![f](figures/other.png)")).otherwise(F.format_string("![f](./figures/a/%d.png)", k)),
+    )
+    return findings.parsed(table(s, d, "supplier").select(F.format_string("findings/%04d-x.md", k).alias("path"), text.alias("content")))
+
+
+FINDINGS = """f as (select s_suppkey::int id, ['candidate', 'under_exploration', 'validated', 'invalidated', 'superseded', 'closed'][s_suppkey % 6 + 1] status, ['supports', 'refines', 'contradicts', 'supersedes', 'closes', 'relates_to'][s_suppkey % 6 + 1] as type, (s_suppkey + 1)::int dst from supplier)"""
+
+
+@query("finding_violations", f"""with {FINDINGS} select id, 1 as rule, 'sign-off before the integrity gate' detail from f where status = 'validated' or id % 4 = 0 union all select id, 2, 'validated without a promoted script' from f where status = 'validated' and id % 3 <> 0
+  union all select id, 3, 'figures/a/' || id || '.png' from f where id % 5 = 0 union all select id, 4, 'figures/other.png' from f where id % 5 = 0 union all select id, 5, lpad(dst::varchar, 4, '0') from f""")
+def finding_violations(s, d):
+    return findings.violations(finding_documents(s, d)).select("id", "rule", "detail")
+
+
+@query("finding_first_violation", f"with {FINDINGS} select id, case when status = 'validated' or id % 4 = 0 then 1 when id % 5 = 0 then 3 else 5 end as rule from f")
+def finding_first_violation(s, d):
+    return findings.first_violation(findings.violations(finding_documents(s, d))).select("id", "rule")
+
+
+@query("finding_edges", f"with {FINDINGS} select id src, type, dst from f union all select dst, 'inverse_' || type, id from f")
+def finding_edges(s, d):
+    e = findings.edges(finding_documents(s, d))
+    return e.unionByName(findings.reverse_edges(e))
+
+
+@query("finding_dangling", f"with {FINDINGS} select id src, type, dst from f where dst not in (select id from f)")
+def finding_dangling(s, d):
+    p = finding_documents(s, d)
+    return findings.dangling(findings.edges(p), p).select("src", "type", "dst")
+
+
+@query("finding_cascade", f"with {FINDINGS} select a.id, a.dst because_of, a.type from f a join f b on b.id = a.dst where a.type in ('supports', 'refines', 'closes') and b.status in ('invalidated', 'superseded')")
+def finding_cascade(s, d):
+    p = finding_documents(s, d)
+    return findings.cascade(findings.edges(p), p)
+
+
+@query("finding_superseded", f"with {FINDINGS} select id, case when id in (select dst from f where type = 'supersedes') then 'superseded' else status end status from f")
+def finding_superseded(s, d):
+    p = finding_documents(s, d)
+    return findings.superseded(findings.edges(p), p)
+
+
+@query("finding_manifest", f"with {FINDINGS} select id, 'About ' || s_name title, status, 'discovery' as kind from f join supplier on s_suppkey = id")
+def finding_manifest(s, d):
+    return findings.manifest(finding_documents(s, d)).select("id", "title", "status", "kind")
+
+
+@query("finding_dashboard", f"with {FINDINGS}, g as (select status, 'exploratory' phase, 'discovery' as kind from f) select status, phase, kind, count(*) n from g group by grouping sets ((status), (phase), (kind), ())")
+def finding_dashboard(s, d):
+    return findings.dashboard(finding_documents(s, d))
+
+
+@query("finding_next_id", f"with {FINDINGS} select max(id) + 1 next_id from f")
+def finding_next_id(s, d):
+    return findings.next_id(finding_documents(s, d))
+
+
+@query("finding_most_connected", f"with {FINDINGS}, e as (select id from f union all select dst from f) select id, count(*) degree from e group by 1 order by 2 desc, 1 limit 10")
+def finding_most_connected(s, d):
+    return findings.most_connected(findings.edges(finding_documents(s, d)))
+
+
+@query("finding_contradictions", f"with {FINDINGS} select id a, dst b from f where type = 'contradicts'")
+def finding_contradictions(s, d):
+    return findings.contradicting(findings.edges(finding_documents(s, d)))
+
+
+@query("finding_stale", f"with {FINDINGS} select id from f where id % 2 = 0")
+def finding_stale(s, d):
+    commits = s.createDataFrame([], "script string, commit string")
+    return findings.stale(finding_documents(s, d), "v1", commits).select("id")
+
+
+@query("entity_overlap", "select x.l_suppkey a, y.l_suppkey b, count(distinct x.l_partkey) shared from (select distinct l_suppkey, l_partkey from lineitem where l_suppkey <= 40) x join (select distinct l_suppkey, l_partkey from lineitem where l_suppkey <= 40) y on x.l_partkey = y.l_partkey and x.l_suppkey < y.l_suppkey group by all")
+def entity_overlap(s, d):
+    return findings.overlap(table(s, d, "lineitem").filter("l_suppkey <= 40").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("entity")))
+
+
+@query("result_registry", "with r as (select o_orderkey fingerprint, o_custkey analysis, o_orderdate created, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) rn from orders) select fingerprint, case when rn = 1 then 'current' when fingerprint % 7 = 0 then 'protected' else 'superseded' end status from r")
+def result_registry(s, d):
+    r = table(s, d, "orders").select(F.col("o_orderkey").alias("fingerprint"), F.col("o_custkey").alias("analysis"), F.lit("x").alias("outcome"), F.col("o_orderdate").alias("created"))
+    return findings.registry(r, r.filter("fingerprint % 7 = 0")).select("fingerprint", "status")
+
+
+# -- enrichment -------------------------------------------------------------------------------------------------
+
+
+@query("accessions", "select p_partkey id, case p_partkey % 4 when 0 then 'P05067' when 1 then 'Q9H0H5' when 2 then 'A0A024R161' end accession from part")
+def accessions(s, d):
+    m = F.col("p_partkey") % 4
+    raw = F.when(m == 0, "sp|P05067-2|A4_HUMAN").when(m == 1, "Q9H0H5;P12345").when(m == 2, "tr|A0A024R161|X").otherwise("CON__x")
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), enrichment.accession(raw).alias("accession"))
+
+
+@query("over_representation", """with b as (select distinct l_partkey gene from lineitem), q as (select distinct l_partkey gene from lineitem where l_suppkey <= 5), t as (select p_brand term, p_partkey gene from part), k as (select term, count(*) term_size, count(q.gene) intersection_size from t join b using (gene) left join q using (gene) group by 1)
+  select term, term_size, intersection_size, round(intersection_size / (select count(*) from q), 6) gene_ratio, round(intersection_size / term_size, 6) recall from k where intersection_size > 0""")
+def over_representation(s, d):
+    items = table(s, d, "lineitem")
+    terms = table(s, d, "part").select(F.lit("brand").alias("source"), F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
+    out = enrichment.over_representation(items.filter("l_suppkey <= 5").select(F.col("l_partkey").alias("gene")), items.select(F.col("l_partkey").alias("gene")), terms)
+    return out.select("term", "term_size", "intersection_size", *r6("gene_ratio", "recall"))
+
+
+@query("enrichment_table")
+def enrichment_table(s, d):
+    items = table(s, d, "lineitem")
+    terms = table(s, d, "part").select(F.lit("brand").alias("source"), F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
+    return enrichment.over_representation(items.filter("l_suppkey <= 5").select(F.col("l_partkey").alias("gene")), items.select(F.col("l_partkey").alias("gene")), terms)
+
+
+@query("average_ranks", "select o_orderkey id, rank() over (partition by o_orderstatus order by o_totalprice) + (count(*) over (partition by o_orderstatus, o_totalprice) - 1) / 2 as rank from orders")
+def average_ranks(s, d):
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), average_rank("o_totalprice", ["o_orderstatus"]).alias("rank"))
+
+
+@query("sample_table", "select s_suppkey sample_id, (row_number() over (order by s_suppkey) - 1)::int sample_ord, r_name region, n_name nation, s_acctbal acctbal from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def sample_table(s, d):
+    return suppliers(s, d)
