@@ -3,7 +3,8 @@
 Units are the lines of a text, its paragraphs (runs of lines between blank ones) and the whole text, each once. Text is
 normalised to runs of a-z and 0-9 (A-Z count as a-z). Dice of two sets of bigrams of sizes a and b is at most
 2 min(a, b) / (a + b), so a unit is compared only with the templates whose size lies within t/(2-t) and (2-t)/t of its
-own. Everything happens inside a row, in DataFrame expressions: there is no shuffle and nothing to gather.
+own. A match must also share t/(2-t) of the template's bigrams, so texts without any of a few words, chosen so that too
+few bigrams are left without them, are passed over before they are taken apart. Everything happens inside a row, in DataFrame expressions: there is no shuffle and nothing to gather.
 
 Defined cases: a null or empty text has no match; units of fewer than two words have no bigrams and match nothing; of
 templates with the same score the first by name counts; repeated rows are scanned each by itself; an empty table gives
@@ -12,6 +13,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -51,6 +53,27 @@ def listed(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
     return [(name, bigrams(text)) for name in sorted(templates) for text in templates[name]]
 
 
+def telling_words(known: list[tuple[str, list[str]]], ratio: float) -> list[str]:
+    """Words such that no template can be matched by a text without all of them: taken greedily, long ones first."""
+    need = [len(grams) - math.ceil(ratio * len(grams) - 1e-9) + 1 for _, grams in known]
+    left = [set(grams) for _, grams in known]
+    words = sorted({w for _, grams in known for g in grams for w in g.split()})
+    taken: list[str] = []
+
+    def gain(w: str) -> tuple:
+        covered = sum(min(max(0, n), sum(w in g.split() for g in grams)) for n, grams in zip(need, left))
+        return (covered > 0 and len(w) >= 6, covered > 0 and len(w) >= 3, covered, len(w), w)
+
+    while any(n > 0 for n in need):
+        best = max(words, key=gain)
+        taken.append(best)
+        for i, grams in enumerate(left):
+            hit = {g for g in grams if best in g.split()}
+            need[i] -= len(hit)
+            left[i] = grams - hit
+    return taken
+
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -77,10 +100,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     # a unit whose words repeat may have few bigrams in many words: it is let through by its distinct words
     fits = f"{gaps} >= {low!r}D and ({gaps} <= {words_most} or size(array_distinct(split(u, ' '))) <= {words_most})"
     best = "reduce(filter(array({s}), x -> x is not null), cast(null as struct<licence:string,score:double>), (a, x) -> case when a is null or x.score > a.score then x else a end)".format(s=scores)
-    each = f"transform(filter({some}, u -> {fits}), u -> named_struct('unit', u, 'best', transform(array({pairs.replace('w[', 'split(u, ' + chr(39) + ' ' + chr(39) + ')[').replace('size(w)', 'size(split(u, ' + chr(39) + ' ' + chr(39) + '))')}), b -> {best})[0]))"
+    grams_of = f"transform(array(split(u, ' ')), w -> {pairs})[0]"  # one split a unit
+    each = f"transform(filter({some}, u -> {fits}), u -> named_struct('unit', u, 'best', transform(array({grams_of}), b -> {best})[0]))"
     matches = f"transform(filter({each}, m -> m.best.score >= {threshold!r}D), m -> named_struct('unit', m.unit, 'licence', m.best.licence, 'score', m.best.score))"
     top = "reduce(matches, cast(null as struct<unit:string,licence:string,score:double>), (a, x) -> case when a is null or x.score > a.score or (x.score = a.score and x.licence < a.licence) then x else a end)"
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("t")).withColumn("matches", F.expr(matches)).withColumn("top", F.expr(top))
+    telling = " or ".join(f"contains(l, '{w}')" for w in telling_words(known, ratio))
+    worth = F.expr(f"transform(array(lower(coalesce(cast(text as string), ''))), l -> {telling})[0]")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(worth, lines).otherwise(F.lit("")).alias("t")).withColumn("matches", F.expr(matches)).withColumn("top", F.expr(top))
     return out.select("doc_id", "matches", F.size("matches").cast("long").alias("n_matches"), F.col("top.licence").alias("licence"), F.col("top.score").alias("score"))
 
 
