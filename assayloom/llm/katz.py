@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SALTS, Powers, Words, mix, row_batches
-from .common import tidy_shuffles, written
+from .common import discard, tidy_shuffles, written
 
 ORDER, CUTS = 2, (1, 2, 2, 2, 2)
 FOLDS, HELD = 7, 2
@@ -43,6 +43,23 @@ SLICE_SCHEMA = "slice long, level int, part int, a binary, b binary, c binary, d
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def squeezed(a: np.ndarray, rising: bool = False) -> bytes:
+    """An array as bytes: differences if it rises, byte by byte of all numbers, compressed."""
+    if rising and len(a):
+        a = np.append(a[:1], a[1:] - a[:-1])
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(a).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unsqueezed(raw: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    data = np.frombuffer(pa.decompress(raw[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    a = np.ascontiguousarray(data.reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
 class Slice:
     """Tokens of a bounded number of texts."""
 
@@ -71,15 +88,13 @@ class Slice:
         return cls(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), first, words[order], rank[at])
 
     def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
-        small = np.uint16 if len(self.words) <= 1 << 16 else np.uint32
-        return np.append(self.ids, self.known.astype(np.int64)).tobytes(), self.first.astype(np.int64).tobytes(), self.words.tobytes(), bytes([np.dtype(small).itemsize]) + self.at.astype(small).tobytes()
+        return squeezed(np.append(self.ids, self.known.astype(np.int64))), squeezed(self.first.astype(np.int64), True), squeezed(self.words), squeezed(self.at.astype(np.uint32))
 
     @classmethod
     def unpacked(cls, a: bytes, b: bytes, c: bytes, d: bytes) -> Slice:
-        ids = np.frombuffer(a, np.int64)
+        ids = unsqueezed(a, np.int64)
         half = len(ids) // 2
-        at = np.frombuffer(d, np.uint16 if d[0] == 2 else np.uint32, offset=1).astype(np.int64)
-        return cls(ids[:half], ids[half:].astype(bool), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64), at)
+        return cls(ids[:half], ids[half:].astype(bool), unsqueezed(b, np.int64, True), unsqueezed(c, np.uint64), unsqueezed(d, np.uint32).astype(np.int64))
 
     def back(self, x: np.ndarray, steps: int) -> np.ndarray:
         """x of the token `steps` before each one; START before a text begins."""
@@ -141,7 +156,7 @@ def requests(table: DataFrame, level: int, bits: int, histories: bool = False) -
                     keys, at = np.unique(s.keys(level), return_inverse=True)
                     counts = np.bincount(at, weights=s.learn, minlength=len(keys)).astype(np.uint32)
                 cut = parts_of(keys, bits)
-                rows = [(r["slice"], p, keys[x:y].tobytes(), b"" if counts is None else counts[x:y].tobytes()) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+                rows = [(r["slice"], p, squeezed(keys[x:y], True), b"" if counts is None else squeezed(counts[x:y])) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
                 yield _rows(["slice", "part", "keys", "counts"], rows, [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     return table.mapInArrow(run, REQUEST)
@@ -157,9 +172,9 @@ def answers(asked: DataFrame, level: int, cut: int) -> DataFrame:
     """
 
     def run(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        keys = [unsqueezed(x, np.uint64, True) for x in t["keys"].to_pylist()]
         flat = np.concatenate(keys)
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t["counts"].to_pylist()])
+        counts = np.concatenate([unsqueezed(x, np.uint32) for x in t["counts"].to_pylist()])
         uniq, first, at = np.unique(flat, return_index=True, return_inverse=True)
         total = np.bincount(at, weights=counts, minlength=len(uniq)).astype(np.int64)
         sums = np.array([total.sum(), (total > 0).sum(), *[(total == r).sum() for r in range(1, K + 2)]], np.int64)
@@ -167,7 +182,7 @@ def answers(asked: DataFrame, level: int, cut: int) -> DataFrame:
         own = first[total >= cut]
         reply[own] |= OWNER
         bounds = np.append(0, np.cumsum([len(k) for k in keys]))
-        rows = [(s, level, p, reply[x:y].tobytes(), b"") for s, p, x, y in zip(t["slice"].to_pylist(), t["part"].to_pylist(), bounds[:-1], bounds[1:])]
+        rows = [(s, level, p, squeezed(reply[x:y]), b"") for s, p, x, y in zip(t["slice"].to_pylist(), t["part"].to_pylist(), bounds[:-1], bounds[1:])]
         rows.append((-1, level, rows[0][2], sums.tobytes(), b""))
         return pa.Table.from_batches([_rows(["slice", "level", "part", "a", "b"], rows, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])])
 
@@ -183,10 +198,12 @@ def history_answers(asked: DataFrame, histories: DataFrame, level: int, bits: in
         h, alpha, scale = h[order], right["alpha"].to_numpy()[order], right["scale"].to_numpy()[order]
         rows = []
         for s, p, raw in zip(left["slice"].to_pylist(), left["part"].to_pylist(), left["keys"].to_pylist()):
-            keys = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(h, keys), max(0, len(h) - 1))
-            hit = h[at] == keys if len(h) else np.zeros(len(keys), bool)
-            rows.append((s, -level, p, np.where(hit, alpha[at], 0.0).tobytes() if len(h) else np.zeros(len(keys)).tobytes(), np.where(hit, scale[at], 0.0).tobytes() if len(h) else np.zeros(len(keys)).tobytes()))
+            keys = unsqueezed(raw, np.uint64, True)
+            values = np.zeros((2, len(keys)))
+            if len(h):
+                at = np.minimum(np.searchsorted(h, keys), len(h) - 1)
+                values = np.where(h[at] == keys, np.stack([alpha[at], scale[at]]), 0.0)
+            rows.append((s, -level, p, squeezed(values[0]), squeezed(values[1])))
         return pa.Table.from_batches([_rows(["slice", "level", "part", "a", "b"], rows, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])])
 
     part = F.shiftrightunsigned(F.col("h"), 64 - bits).cast("int") if bits else F.lit(0)
@@ -235,7 +252,7 @@ class Answers:
         rows = sorted(t.to_pylist(), key=lambda r: (r["level"], r["part"]))
         mine = next(r for r in rows if r["level"] == 0)
         self.slice = Slice.unpacked(mine["a"], mine["b"], mine["c"], mine["d"])
-        join = lambda level, name, kind: np.frombuffer(b"".join(r[name] for r in rows if r["level"] == level), kind)
+        join = lambda level, name, kind: np.concatenate([unsqueezed(r[name], kind) for r in rows if r["level"] == level])
         self.raw = lambda level: join(level, "a", np.uint32)
         self.alpha = lambda level: (join(-level, "a", np.float64), join(-level, "b", np.float64))
         self.found: dict = {}
@@ -272,7 +289,7 @@ class Answers:
 
 
 def owned(gathered: DataFrame, model: Model, level: int, docs: int) -> DataFrame:
-    """The level's table: key, history, word, count, history's count and the word's probability one level down."""
+    """The level's table: history, word, count, history's count and the word's probability one level down."""
 
     def run(t: pa.Table) -> pa.Table:
         a = Answers(t)
@@ -280,10 +297,10 @@ def owned(gathered: DataFrame, model: Model, level: int, docs: int) -> DataFrame
         at = first[own]
         s = a.slice
         lower, h = a.probability(model, level - 1, docs), a.history_count(level, docs)
-        columns = [s.keys(level)[at].view(np.int64), s.history(level)[at].view(np.int64), s.token[at].view(np.int64), c[at], h[at], lower[at]]
-        return pa.Table.from_arrays([pa.array(x) for x in columns], names=["key", "h", "w", "c", "hc", "lower"])
+        columns = [s.history(level)[at].view(np.int64), s.token[at].view(np.int64), c[at], h[at], lower[at]]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], names=["h", "w", "c", "hc", "lower"])
 
-    return gathered.groupBy("slice").applyInArrow(run, "key long, h long, w long, c long, hc long, lower double")
+    return gathered.groupBy("slice").applyInArrow(run, "h long, w long, c long, hc long, lower double")
 
 
 def history_table(ngrams: DataFrame, d: np.ndarray) -> DataFrame:
@@ -295,8 +312,11 @@ def history_table(ngrams: DataFrame, d: np.ndarray) -> DataFrame:
     return per.withColumn("scale", scale).select("h", ((1 - F.col("scale") * F.col("mass")) / (1 - F.col("below"))).alias("alpha"), "scale")
 
 
-def score(docs: DataFrame, order: int = ORDER, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """Scores of all texts under the model of the training texts (crc32 of the id mod FOLDS other than HELD)."""
+def score(docs: DataFrame, order: int = ORDER, cuts: tuple[int, ...] = CUTS, keep: bool = False) -> DataFrame:
+    """Scores of all texts under the model of the training texts (crc32 of the id mod FOLDS other than HELD).
+
+    keep: the n-gram and history tables stay in the shared folder; else they go once their answers are written.
+    """
     spark = docs.sparkSession
     with tidy_shuffles(spark):
         table = written(slices(docs), "slices")
@@ -322,6 +342,9 @@ def score(docs: DataFrame, order: int = ORDER, cuts: tuple[int, ...] = CUTS) ->
             ngrams = written(owned(_gathered(base, got, none), model, level, learnt), f"ngrams{level}")
             histories = written(history_table(ngrams, d), f"histories{level}")
             got.append(written(history_answers(requests(table, level, bits, True), histories, level, bits), f"alphas{level}"))
+            if not keep:
+                discard(ngrams)
+                discard(histories)
 
     def run(t: pa.Table) -> pa.Table:
         a = Answers(t)
