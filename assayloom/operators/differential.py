@@ -6,7 +6,6 @@ import math
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -208,7 +207,19 @@ def ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=256)
+def remembered(f):
+    """f with a memory that travels with it (functools' own caches only pickle by name)."""
+    known: dict = {}
+
+    def g(*key):
+        if key not in known:
+            known[key] = f(*key)
+        return known[key]
+
+    return g
+
+
+@remembered
 def mann_whitney_counts(n1: int, n0: int) -> tuple[float, ...]:
     """Probability of each U under the null, by the standard recurrence over group sizes."""
     table = {(0, j): np.ones(1) for j in range(n0 + 1)}
@@ -245,7 +256,7 @@ def mann_whitney(x: np.ndarray, y: np.ndarray, alpha: float = 0.05) -> tuple[flo
     return u, p, float(np.median(d)), low, high
 
 
-@lru_cache(maxsize=256)
+@remembered
 def signed_rank_cdf(n: int) -> tuple[float, ...]:
     """P(W <= w) of the signed-rank sum of n differences: subset sums of 1..n."""
     c = np.ones(1)

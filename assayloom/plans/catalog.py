@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import auc, average_rank, benjamini_hochberg
 from ..operators import differential as de
-from ..operators import enrichment, findings, profile, qc, replicates, transform
-from .bridges import DENSE, RUNS, SPARSE, dense, runs, sparse, suppliers, table
+from ..operators import enrichment, findings, models, pca_tests, profile, qc, replicates, transform
+from ..streaming import incremental
+from .bridges import DENSE, RUNS, SPARSE, dense, embedded, runs, sparse, suppliers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -519,3 +520,96 @@ def average_ranks(s, d):
 @query("sample_table", "select s_suppkey sample_id, (row_number() over (order by s_suppkey) - 1)::int sample_ord, r_name region, n_name nation, s_acctbal acctbal from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def sample_table(s, d):
     return suppliers(s, d)
+
+
+# -- models -----------------------------------------------------------------------------------------------------
+
+
+def two_labels(s: SparkSession, d: str):
+    """Vectors of labels 0 and 1 as a two-class data set."""
+    ds = embedded(s, d)
+    return ds.keep_samples(F.col("label") < 2)
+
+
+def _model(name: str, **more):
+    def run(s, d):
+        import warnings
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return models.run(two_labels(s, d), "label", name, n_repeats=1, stability_repeats=1, n_splits=3, **more).predictions
+
+    return run
+
+
+for _name in ("elastic_net", "svm", "lda", "trees"):
+    query(f"model_{_name}")(_model(_name))
+
+
+@query("model_regression")
+def model_regression(s, d):
+    return models.run(two_labels(s, d), "label", "regression", n_repeats=1, stability_repeats=1, n_splits=3).predictions
+
+
+@query("model_lda_null")
+def model_lda_null(s, d):
+    return models.run(two_labels(s, d), "label", "lda", n_repeats=1, stability_repeats=1, n_splits=3, n_permutations=50).null
+
+
+@query("model_coefficients")
+def model_coefficients(s, d):
+    return models.run(two_labels(s, d), "label", "lda", n_repeats=1, stability_repeats=2, n_splits=3).coefficients
+
+
+@query("model_comparison")
+def model_comparison(s, d):
+    ds = two_labels(s, d)
+    a, b = (models.run(ds, "label", k, n_repeats=2, stability_repeats=0, n_splits=3) for k in ("lda", "trees"))
+    out = models.compare(a, b)
+    return s.createDataFrame([tuple(out.values())], "difference double, t double, p double, wins int, losses int, ties int")
+
+
+@query("boruta")
+def boruta(s, d):
+    return models.boruta(two_labels(s, d), "label", iterations=12, trees=20)
+
+
+@query("pca_group_tests")
+def pca_group_tests(s, d):
+    ds = transform.log2_transform(dense(s, d))
+    scores, _ = qc.pca(ds, 2)
+    return pca_tests.group_tests(scores, ds.samples, "region", n_permutations=99)
+
+
+@query("pca_correlation_tests")
+def pca_correlation_tests(s, d):
+    ds = transform.log2_transform(dense(s, d))
+    scores, _ = qc.pca(ds, 2)
+    return pca_tests.correlation_tests(scores, ds.samples, "acctbal")
+
+
+@query("kruskal", "with k as (select lang, n_chars, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 r from documents), g as (select lang, sum(r) s, count(*) m from k group by 1), t as (select sum(c * c * c - c) tie from (select count(*) c from k group by n_chars)), n as (select count(*) n from k) select round((12 / (n * (n + 1)) * sum(s * s / m) - 3 * (n + 1)) / (1 - max(tie) / (n * n * n - n)), 4) h, count(*) groups from g, t, n group by n")
+def kruskal(s, d):
+    scores = table(s, d, "documents").select("lang", F.col("n_chars").cast("double").alias("score"), F.lit(1).alias("component"))
+    return pca_tests.kruskal(scores, "lang", ["component"]).select(F.round("h", 4).alias("h"), "groups")
+
+
+@query("roc_curve", "with s as (select d.n_chars score, l.quality y from documents d join labels l using (doc_id)), p as (select score, sum(y) p, sum(1 - y) n from s group by 1) select score, round(sum(n) over (order by score desc) / sum(n) over (), 6) fpr, round(sum(p) over (order by score desc) / sum(p) over (), 6) tpr from p")
+def roc_curve(s, d):
+    p = table(s, d, "documents").select("doc_id", F.col("n_chars").alias("score")).join(table(s, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    return models.roc_curve(p).select("score", *r6("fpr", "tpr"))
+
+
+@query("streaming_detection", "select user_id sample_id, count(*) filter (value > 50) n_detected from events group by 1")
+def streaming_detection(s, d):
+    """Detection counts over the events read as a stream (one available-now run into a memory table)."""
+    import uuid
+
+    schema = table(s, d, "events").schema
+    path = table(s, d, "events").inputFiles()[0].rsplit("/", 1)[0]
+    rows = s.readStream.schema(schema).option("pathGlobFilter", "events*.parquet" if "events.parquet" not in path else "*.parquet").parquet(path)
+    name = "stream_" + uuid.uuid4().hex
+    counts = incremental.detection_counts(rows.select(F.col("user_id").alias("sample_id"), "value"), 50.0)
+    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.table(name)
