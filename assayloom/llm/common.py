@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCRATCH = "assayloom"
 
-# functions of this package travel to executors by value: they need no copy of it
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .bytewords import SALTS, Powers, Words, row_batches
 from .common import crc_mod, tidy_shuffles, written
 
-SAMPLE = 1_500  # training documents of each label that the field is fitted on
+SAMPLE = 600  # training documents of each label that the field is fitted on
 FOLDS = 5
+BROADCAST_ROWS = 2_000_000
 BITS = 18  # affix weights: a table of 2^BITS, the size bound of the model
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 SUPPORT, RATIO, LEAST_SHARE = 3, 20.0, 0.005
@@ -202,12 +203,12 @@ def train(texts: pa.Array, toxic: np.ndarray, marks: np.ndarray, clean_weight: f
     if not len(marks):
         return field
     y = (np.isin(a, marks).any(axis=0) & toxic[doc]).astype(float)
-    at = slots(a)
     # equal tokens in equal neighbourhoods repeat: the gradient of a word's weights needs its summed residual only
     uniq, row = np.unique(w.number, return_index=False, return_inverse=True)[0:2]
     where = np.zeros(len(uniq), np.int64)
     where[row] = np.arange(len(row))
-    cells = at[:, where]
+    cells = slots(a[:, where])
+    del a, doc
     square, bias_square = np.zeros(1 << BITS), 0.0
     weight, bias = np.zeros(1 << BITS), field.bias
     inner = np.ones(len(y), bool)
@@ -232,7 +233,7 @@ def train(texts: pa.Array, toxic: np.ndarray, marks: np.ndarray, clean_weight: f
         bias_square += gb * gb
         bias += RATE * gb / np.sqrt(bias_square + 1e-6)
     field.weight, field.bias = weight.astype(np.float32), bias
-    x = summary(field.marginals(field.emissions(w), w.first), w.first)
+    x = summary(field.marginals((field.bias + weight[cells].sum(axis=0))[row], w.first), w.first)
     z, beta = toxic.astype(float), np.array([-2.0, 0.1, 0.1])
     v = np.where(toxic, 1.0, clean_weight)  # the sample holds as many toxic texts as clean ones, the corpus does not
     for _ in range(200):  # Newton steps with a ridge that keeps separable samples finite
@@ -254,7 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: bool = True, sample: int =
         marks = marks.filter(crc_mod("doc_id", FOLDS) != 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with tidy_shuffles(spark):
-        labelled = written(texts.join(marks, "doc_id"), "labelled")
+        marks = written(marks, "marks")
+        # labels are few and small: they go to the texts, and only beyond BROADCAST_ROWS are both shuffled
+        near = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+        labelled = written(texts.join(near, "doc_id"), "labelled")
         seen = counts(labelled)
         totals = labelled.agg(F.sum("toxic"), F.count("*")).first()
         bad, good = int(totals[0] or 0), int(totals[1] - (totals[0] or 0))
