@@ -86,7 +86,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), LETTERS, LETTERS.lower())
     lines = F.regexp_replace(text, "[^a-z0-9\n]++", " ")
     flat = "trim(regexp_replace({}, '[\\\\x20\\n]++', ' '))"
-    units = f"array_distinct(concat(transform(split(t, '\\n'), u -> trim(u)), transform(split(t, '\\n[\\\\x20\\n]*+\\n'), u -> {flat.format('u')}), array({flat.format('t')})))"
+    units = f"array_distinct(concat(transform(split(t, '\\n'), u -> trim(u)), transform(split(t, '\\n(?:\\\\x20*+\\n)++'), u -> {flat.format('u')}), array({flat.format('t')})))"
     # words of a unit, then its bigrams; the counts come before the arrays are built
     gaps = "(length(u) - length(replace(u, ' ', '')))"
     some = f"filter({units}, u -> {gaps} >= 1)"

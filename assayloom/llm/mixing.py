@@ -135,7 +135,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
         once = once.dropDuplicates(["doc_id", "source", "_h"])
     named = per.select(F.col("source").alias("_source"), F.col("s").alias("_s"))
     once = once.join(named, F.expr("source <=> _source")).withColumn("_id", F.col("doc_id").cast("long"))
-    joined = once.join(picked, ["_id", "_h", "_s"])
+    picked = picked.withColumnsRenamed({"_id": "_i", "_h": "_g", "_s": "_t"})
+    joined = once.join(picked, F.expr("_id <=> _i and _h <=> _g and _s = _t"))
     some = F.expr(f"array_join(flatten(transform(array(regexp_extract_all(text, r'[^{SPACES}]+', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))))), ' ')")
     out = joined.withColumn("text", F.when(F.col("whole"), text).otherwise(some))
     if "n_chars" in docs.columns:
