@@ -6,8 +6,13 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.erfc, otypes=[float])(x)
 
 
 def digamma(x: float) -> float:
