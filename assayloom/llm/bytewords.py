@@ -7,6 +7,8 @@ mixed with its length; two different words share one with a chance of about 2^-6
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -100,8 +102,24 @@ class Words:
         return mix(acc), out_first
 
 
-def row_batches(batches, rows: int = 1_000, size: int = 2_500_000):
+def give_back() -> None:
+    """Memory that Arrow and the C library hold on to goes back: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def row_batches(batches, rows: int = 1_000, size: int = 1_500_000):
     """Slices of Arrow batches with bounded rows and bounded text (one longer text is a slice by itself)."""
+    try:
+        yield from _slices(batches, rows, size)
+    finally:
+        give_back()
+
+
+def _slices(batches, rows: int, size: int):
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
         lengths = np.asarray(pa.compute.binary_length(column).fill_null(0), np.int64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import SALTS, Powers, Words, mix, row_batches
+from .bytewords import SALTS, Powers, Words, give_back, mix, row_batches
 from .common import discard, tidy_shuffles, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -209,6 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     # sets stay where they are unless a pair names them: while pairs are few they go to the sets, not the sets to them
     few = pairs.count() <= BROADCAST_IDS

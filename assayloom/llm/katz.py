@@ -128,7 +128,7 @@ def parts_of(keys: np.ndarray, bits: int) -> np.ndarray:
 def slices(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, n, at = Powers(), 0, TaskContext.get().partitionId() << 32
-        for b in row_batches(batches, rows=4_000):
+        for b in row_batches(batches, rows=4_000, size=2_500_000):
             s = Slice.read(b.column(0), b.column(1), powers)
             yield pa.RecordBatch.from_pydict({"slice": pa.array([at + n]), "level": pa.array([0], pa.int32()), "part": pa.array([0], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in zip("abcd", s.packed())} | {"n": pa.array([len(s.at)])})
             n += 1
