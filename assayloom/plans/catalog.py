@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names]  # no minus zero
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +188,12 @@ def orders_of_magnitude(s, d):
     return qc.orders_of_magnitude(qc.dynamic_range(sparse(s, d))).select("n", *r6("orders"))
 
 
-@query("correlation_pearson", f"with {DENSE} select x.sample_id a, y.sample_id b, round(corr(x.value, y.value), 6) r from v x join v y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by all")
+@query("correlation_pearson", f"with {DENSE} select x.sample_id a, y.sample_id b, round(corr(x.value, y.value), 6) + 0.0::double r from v x join v y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by all")
 def correlation_pearson(s, d):
     return qc.correlation(dense(s, d)).select("a", "b", *r6("r"))
 
 
-@query("correlation_spearman", f"with {DENSE}, k as (select sample_id, feature_id, rank() over (partition by sample_id order by value) + (count(*) over (partition by sample_id, value) - 1) / 2 k from v) select x.sample_id a, y.sample_id b, round(corr(x.k, y.k), 6) r from k x join k y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by all")
+@query("correlation_spearman", f"with {DENSE}, k as (select sample_id, feature_id, rank() over (partition by sample_id order by value) + (count(*) over (partition by sample_id, value) - 1) / 2 k from v) select x.sample_id a, y.sample_id b, round(corr(x.k, y.k), 6) + 0.0::double r from k x join k y on x.feature_id = y.feature_id and x.sample_id < y.sample_id group by all")
 def correlation_spearman(s, d):
     return qc.correlation(dense(s, d), "spearman").select("a", "b", *r6("r"))
 
@@ -218,9 +218,9 @@ def batch_confounding(s, d):
 # -- replicates -------------------------------------------------------------------------------------------------
 
 
-@query("replicate_means", f"with {RUNS} select user_id::varchar sample_id, feature_id, round(avg(value), 6) as value from v group by all")
+@query("replicate_means", f"with {RUNS} select user_id::varchar sample_id, feature_id, round(avg(value), 9) as value from v group by all")
 def replicate_means(s, d):
-    return replicates.aggregate(runs(s, d), "user_id", run_level=("block",)).dataset.values.withColumn("value", F.round("value", 6))
+    return replicates.aggregate(runs(s, d), "user_id", run_level=("block",)).dataset.values.withColumn("value", F.round("value", 9))
 
 
 @query("replicate_histogram", f"with {RUNS}, u as (select user_id, count(distinct sample_id) n_replicates from v group by 1) select n_replicates, count(*) n_units from u group by 1")
