@@ -110,7 +110,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     sizes = written(sized(docs), "sized")
     per = written(targets(sizes, weights, budget, repeat), "sources")
     taken = slots(per, seed).groupBy("s", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
-    full = covers(placed(sizes, per)).join(taken, ["s", "block"], "left")
+    # both sides grow with the corpus; what explodes looks small to the planner, which must not broadcast it
+    full = covers(placed(sizes, per)).join(taken.hint("merge"), ["s", "block"], "left")
     words = F.sum((F.col("hi") - F.col("lo")) * F.coalesce("times", F.lit(0)))
     out = full.groupBy("s", "start", "doc_id", "size", "source_size", "target").agg(words.alias("taken"), F.min("shard").alias("first_shard"))
     out = out.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
@@ -126,7 +127,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     """
     sizes = written(sized(docs), "sized")
     per = written(targets(sizes, weights, budget, repeat), "sources")
-    full = covers(placed(sizes, per)).join(slots(per, seed).select("s", "block", "epoch"), ["s", "block"])
+    full = covers(placed(sizes, per)).join(slots(per, seed).select("s", "block", "epoch").hint("merge"), ["s", "block"])
     parts = full.groupBy("doc_id", "h", "size", "copy", "s", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
     picked = parts.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("s").alias("_s"), "parts", F.expr("words = size").alias("whole"))
     text = F.col("text").cast("string")
@@ -136,7 +137,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     named = per.select(F.col("source").alias("_source"), F.col("s").alias("_s"))
     once = once.join(named, F.expr("source <=> _source")).withColumn("_id", F.col("doc_id").cast("long"))
     picked = picked.withColumnsRenamed({"_id": "_i", "_h": "_g", "_s": "_t"})
-    joined = once.join(picked, F.expr("_id <=> _i and _h <=> _g and _s = _t"))
+    joined = once.join(picked.hint("merge"), F.expr("_id <=> _i and _h <=> _g and _s = _t"))
     some = F.expr(f"array_join(flatten(transform(array(regexp_extract_all(text, r'[^{SPACES}]+', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))))), ' ')")
     out = joined.withColumn("text", F.when(F.col("whole"), text).otherwise(some))
     if "n_chars" in docs.columns:
