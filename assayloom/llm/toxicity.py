@@ -264,10 +264,15 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: bool = True, sample: int =
         bad, good = int(totals[0] or 0), int(totals[1] - (totals[0] or 0))
         if not bad or not good:
             return Field()
-        rare = f"toxic >= {SUPPORT} and toxic * {good}D > clean * {bad}D * {RATIO} and clean <= 0.02D * toxic"
+        # an affix must be in a share of the toxic texts, so their number does not grow with the corpus
+        rare = f"toxic >= {max(SUPPORT, LEAST_SHARE * bad / 2)} and toxic * {good}D > clean * {bad}D * {RATIO} and clean <= 0.02D * toxic"
         marks_ = seen.filter(rare).orderBy(F.desc("toxic"), "affix").limit(CANDIDATES).select("affix").collect()
-        drawn = labelled.withColumn("h", F.xxhash64("doc_id"))
-        parts = [drawn.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(sample).select("text", "toxic").collect() for t in (1, 0)]
+        drawn = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+        # twice as many as wanted pass by their hash, so no task sends many texts; the first of these are the sample
+        parts = []
+        for t, n in ((1, bad), (0, good)):
+            some = drawn.filter((F.col("toxic") == t) & (F.col("h") < int((1 << 30) * min(1.0, 2 * sample / n + 100 / n))))
+            parts.append(some.orderBy("h", "doc_id").limit(sample).select("text", "toxic").collect())
     rows = [r for part in parts for r in part]
     affix = np.sort(np.array([r["affix"] for r in marks_], np.int64).view(np.uint64))
     ratio = (good / max(1, len(parts[1]))) / (bad / max(1, len(parts[0])))
@@ -279,7 +284,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in row_batches(batches, size=2_500_000):
+        for b in row_batches(batches):
             w = Words(b.column(1), powers)
             odds = field.marginals(field.emissions(w), w.first)
             score = sigmoid(summary(odds, w.first) @ field.layer) if field.trained else np.zeros(len(w))
@@ -309,7 +314,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for b in row_batches(batches, size=2_500_000):
+        for b in row_batches(batches):
             w = Words(b.column(at), powers)
             score = sigmoid(summary(field.marginals(field.emissions(w), w.first), w.first) @ field.layer) if field.trained else np.zeros(len(w))
             yield b.filter(pa.array(score < 0.5))
