@@ -118,10 +118,13 @@ class Lists:
 
 
 def _lists(rows: DataFrame) -> Lists | None:
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    n = rows.count()
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    some = rows.filter(h < int((1 << 30) * min(1.0, 1.5 * SAMPLE / max(1, n))))  # so no task sends many
+    drawn = some.orderBy(h, "id").limit(SAMPLE).select("vector").collect()
     if not drawn:
         return None
-    lists = max(1, min(LISTS, rows.count() // LIST_SIZE))
+    lists = max(1, min(LISTS, n // LIST_SIZE))
     return Lists(unit(np.array([r["vector"] for r in drawn], float)), lists)
 
 
