@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import Powers, Words, mix, row_batches
+from .bytewords import SALTS, Powers, Words, mix, row_batches
 from .common import discard, tidy_shuffles, written
 from .jaccard import components
 
-BITS, TABLES = 256, 8
+BITS, TABLES = 256, 2
 SCALES, CORNERS, RADIUS, TURNS = (1.0, 0.5), 16, 7, 32
 NEAR, CONSENSUS = 48, 6
 HUBS = 4
+BROADCAST_PAIRS = 1_000_000
 
 _rng = np.random.default_rng(41)
 _tests = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
@@ -150,19 +151,23 @@ def features(media: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "media_id long, fp long, n_features long, places binary, bits binary")
 
 
+def parts(bits: bytes) -> np.ndarray:
+    """A number for each table and descriptor."""
+    words = np.frombuffer(bits, np.uint64).reshape(-1, TABLES, BITS // 64 // TABLES)
+    return mix((words * SALTS[50 : 50 + words.shape[2]]).sum(2, dtype=np.uint64) ^ SALTS[55 : 55 + TABLES])
+
+
 def slots(one: DataFrame) -> DataFrame:
     """sig (table and bits) and fp of every descriptor and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy()
-            raw = [np.frombuffer(x, np.uint32).reshape(-1, TABLES) for x in b.column(1).to_pylist()]
-            many = np.array([len(x) for x in raw])
-            part = np.concatenate(raw).astype(np.uint64) if len(raw) else np.zeros((0, TABLES), np.uint64)
-            sig = mix(part + (np.arange(TABLES, dtype=np.uint64) << np.uint64(32)))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.ravel().view(np.int64)), pa.array(np.repeat(np.repeat(fp, many), TABLES))], names=["sig", "fp"])
+            sigs = [np.unique(parts(x)) for x in b.column(1).to_pylist()]
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(fp, [len(x) for x in sigs]))], names=["sig", "fp"])
 
-    return one.select("fp", "bits").mapInArrow(run, "sig long, fp long").distinct()
+    return one.select("fp", "bits").mapInArrow(run, "sig long, fp long")
 
 
 def consensus(pa_: np.ndarray, ba: np.ndarray, pb: np.ndarray, bb: np.ndarray) -> int:
@@ -194,6 +199,9 @@ def verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
             keep = [consensus(np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(x, np.uint64).reshape(-1, 4), np.frombuffer(q, np.float32).reshape(-1, 4), np.frombuffer(y, np.uint64).reshape(-1, 4)) >= CONSENSUS for p, x, q, y in zip(*columns)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    if pairs.count() <= BROADCAST_PAIRS:  # then they go to the images, not all images to them
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        pairs, one = F.broadcast(pairs), one.join(F.broadcast(ends), "fp", "left_semi")
     left, right = (one.select(F.col("fp").alias(k), F.col("places").alias(f"p{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "xa", "pb", "xb").mapInArrow(run, "a long, b long")
 
@@ -203,10 +211,13 @@ def copies(media: DataFrame) -> DataFrame:
     spark = media.sparkSession
     with tidy_shuffles(spark):
         seen = written(features(media), "features")
-        one = written(seen.filter("n_features > 0").groupBy("fp").agg(F.first("places").alias("places"), F.first("bits").alias("bits")), "images")
+        # the first row of an image stands for all rows with its bytes
+        first = seen.filter("n_features > 0").groupBy("fp").agg(F.min("media_id").alias("media_id"))
+        every = seen.join(first, ["fp", "media_id"], "left_semi")
         by_sig = Window.partitionBy("sig")
-        held = slots(one).withColumn("x", F.min("fp").over(by_sig)).withColumn("y", F.max("fp").over(by_sig)).filter("x < y").select("sig", "fp")
+        held = slots(every).withColumn("x", F.min("fp").over(by_sig)).withColumn("y", F.max("fp").over(by_sig)).filter("x < y").select("sig", "fp")
         held = written(held, "slots")
+        one = written(every.join(held.select("fp").distinct(), "fp", "left_semi").select("fp", "places", "bits").dropDuplicates(["fp"]), "images")
         roots, links, peeled, hubs = None, None, 0, HUBS
         while True:
             now = held.withColumn("root", F.col("fp")) if roots is None else held.join(roots, held["fp"] == roots["node"], "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
@@ -218,7 +229,9 @@ def copies(media: DataFrame) -> DataFrame:
             ranked = now.withColumn("at", F.row_number().over(by_sig.orderBy("fp")))
             middle = ranked.filter(f"at > {peeled} and at <= {peeled + hubs}").select("sig", F.col("fp").alias("hub"), F.col("root").alias("hroot"), F.col("at").alias("hat"))
             pairs = ranked.join(middle, "sig").filter("at > hat and root <> hroot").select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
-            new = written(verified(written(pairs, "pairs"), one), "links")
+            pairs = written(pairs, "pairs")
+            new = written(verified(pairs, one), "links")
+            discard(pairs)
             links = new if links is None else written(links.union(new), "links")
             roots = components(links, "roots") if not links.isEmpty() else None
             discard(held)
@@ -230,27 +243,27 @@ def copies(media: DataFrame) -> DataFrame:
     return of.join(least, "root", "left").select("media_id", "n_features", F.coalesce("component_id", "media_id").alias("component_id"))
 
 
-def page_images(pages: DataFrame, size: int = 64, shapes: int = 24) -> DataFrame:
-    """A picture of each page, as the test tables hold none: one rectangle for each of the page's smallest word numbers.
+def page_images(pages: DataFrame, size: int = 64, tiles: int = 24) -> DataFrame:
+    """A picture of each page, as the test tables hold none: a patterned tile for each of its smallest 3-word shingles.
 
-    Pages with mostly the same words so get mostly the same picture.
+    Pages with mostly the same text so get mostly the same picture, and others share nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in row_batches(batches):
-            w = Words(b.column(1), powers)
+            shingle, first = Words(b.column(1), powers).shingles(3)
             out = []
-            for a, z in zip(w.first[:-1], w.first[1:]):
+            for a, z in zip(first[:-1], first[1:]):
                 if a == z:
                     out.append(None)
                     continue
-                v = np.unique(w.number[a:z])[:shapes]
-                y, x, h, k, g = ((v >> np.uint64(s)) & np.uint64(63) for s in (0, 6, 12, 18, 24))
+                v = np.unique(shingle[a:z])[:tiles]
+                cells = (mix(v)[:, None] >> np.arange(0, 64, 4, dtype=np.uint64) & np.uint64(15)).astype(np.uint8).reshape(-1, 4, 4) * 17
                 canvas = np.full((size, size), 128, np.uint8)
-                for i in range(len(v)):
-                    top, left = int(y[i]) * size // 64, int(x[i]) * size // 64
-                    canvas[top : top + 4 + int(h[i]) // 4, left : left + 4 + int(k[i]) // 4] = int(g[i]) * 4
+                for k, tile in zip(mix(v ^ np.uint64(1)), np.repeat(np.repeat(cells, 4, 1), 4, 2)):
+                    y, x = int(k) % (size - 16), int(k >> np.uint64(32)) % (size - 16)
+                    canvas[y : y + 16, x : x + 16] = tile
                 out.append(encoded(canvas))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["media_id", "image"])
 
