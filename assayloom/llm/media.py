@@ -27,7 +27,7 @@ from .bytewords import SALTS, Powers, Words, mix, row_batches
 from .common import discard, tidy_shuffles, written
 from .jaccard import components
 
-BITS, TABLES = 256, 2
+BITS, TABLES = 256, 8
 SCALES, CORNERS, RADIUS, TURNS = (1.0, 0.5), 16, 7, 32
 NEAR, CONSENSUS = 48, 6
 HUBS = 4
@@ -153,7 +153,7 @@ def features(media: DataFrame) -> DataFrame:
 
 def parts(bits: bytes) -> np.ndarray:
     """A number for each table and descriptor."""
-    words = np.frombuffer(bits, np.uint64).reshape(-1, TABLES, BITS // 64 // TABLES)
+    words = np.frombuffer(bits, np.uint32).reshape(-1, TABLES, BITS // 32 // TABLES).astype(np.uint64)
     return mix((words * SALTS[50 : 50 + words.shape[2]]).sum(2, dtype=np.uint64) ^ SALTS[55 : 55 + TABLES])
 
 
