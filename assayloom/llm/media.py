@@ -29,9 +29,11 @@ from .jaccard import components
 
 BITS, TABLES = 256, 8
 SCALES, CORNERS, RADIUS, TURNS = (1.0, 0.5), 16, 7, 32
+AREA = 6  # a corner no weaker than any within so many pixels is kept, so their number grows with the image and crops keep theirs
 NEAR, CONSENSUS = 48, 6
 HUBS = 4
 BROADCAST_PAIRS = 1_000_000
+PIXELS, BLOCK = 1 << 20, 4096  # pixels of images and corners or matches worked on at once: bound the memory of a task, drop nothing
 
 _rng = np.random.default_rng(41)
 _tests = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
@@ -76,7 +78,7 @@ def box(a: np.ndarray) -> np.ndarray:
 
 
 def corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Image, row and column of the strongest corners of images (n, h, w)."""
+    """Image, row and column of corners of images (n, h, w): the strongest of each AREA, and the `most` strongest of each image."""
     gx, gy = np.zeros_like(a), np.zeros_like(a)
     gx[:, :, 1:-1] = a[:, :, 2:] - a[:, :, :-2]
     gy[:, 1:-1] = a[:, 2:] - a[:, :-2]
@@ -90,11 +92,20 @@ def corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for dy in (-1, 0, 1):
         for dx in (-1, 0, 1):
             top = np.maximum(top, strength[:, rim + dy : strength.shape[1] - rim + dy, rim + dx : strength.shape[2] - rim + dx])
-    peak = np.where((s >= top) & (s > 200.0), s, 0).reshape(len(a), -1)
+    peak = np.where((s >= top) & (s > 200.0), s, 0)
+    wide = peak.copy()
+    for axis in (1, 2):
+        flat = wide.copy()
+        for d in range(1, min(AREA, peak.shape[axis] - 1) + 1):
+            low, high = [slice(None)] * 3, [slice(None)] * 3
+            low[axis], high[axis] = slice(None, -d), slice(d, None)
+            wide[tuple(low)] = np.maximum(wide[tuple(low)], flat[tuple(high)])
+            wide[tuple(high)] = np.maximum(wide[tuple(high)], flat[tuple(low)])
+    kept = (peak >= wide).reshape(len(a), -1)
+    peak = peak.reshape(len(a), -1)
     k = min(most, peak.shape[1])
-    best = np.argpartition(-peak, k - 1, axis=1)[:, :k]
-    image, col = np.nonzero(np.take_along_axis(peak, best, axis=1) > 0)
-    at = best[image, col]
+    np.put_along_axis(kept, np.argpartition(-peak, k - 1, axis=1)[:, :k], True, axis=1)
+    image, at = np.nonzero(kept & (peak > 0))
     return image, at // s.shape[2] + rim, at % s.shape[2] + rim
 
 
@@ -109,15 +120,17 @@ def described(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(image):
             continue
         soft = box(level)
-        patch = soft[image[:, None], y[:, None] + DISC[:, 0], x[:, None] + DISC[:, 1]]
-        angle = np.arctan2((patch * DISC[:, 0]).sum(1), (patch * DISC[:, 1]).sum(1))
-        p = PATTERN[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
-        # the pattern is in (column, row) order, as the angle is measured from the column axis
-        one = soft[image[:, None], y[:, None] + p[:, :, 0, 1], x[:, None] + p[:, :, 0, 0]]
-        two = soft[image[:, None], y[:, None] + p[:, :, 1, 1], x[:, None] + p[:, :, 1, 0]]
-        images.append(image)
-        places.append(np.stack([y / scale, x / scale, np.full(len(y), 1 / scale), angle], 1))
-        bits.append(np.packbits(one > two, axis=1))
+        for at in range(0, len(image), BLOCK):
+            i, r, c = image[at : at + BLOCK], y[at : at + BLOCK], x[at : at + BLOCK]
+            patch = soft[i[:, None], r[:, None] + DISC[:, 0], c[:, None] + DISC[:, 1]]
+            angle = np.arctan2((patch * DISC[:, 0]).sum(1), (patch * DISC[:, 1]).sum(1))
+            p = PATTERN[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
+            # the pattern is in (column, row) order, as the angle is measured from the column axis
+            one = soft[i[:, None], r[:, None] + p[:, :, 0, 1], c[:, None] + p[:, :, 0, 0]]
+            two = soft[i[:, None], r[:, None] + p[:, :, 1, 1], c[:, None] + p[:, :, 1, 0]]
+            images.append(i)
+            places.append(np.stack([r / scale, c / scale, np.full(len(r), 1 / scale), angle], 1))
+            bits.append(np.packbits(one > two, axis=1))
     if not images:
         return np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
     return np.concatenate(images), np.concatenate(places), np.concatenate(bits)
@@ -136,8 +149,9 @@ def features(media: DataFrame) -> DataFrame:
                 if image is not None:
                     sizes.setdefault(image.shape, []).append((i, image))
             for group in sizes.values():
-                for at in range(0, len(group), 256):
-                    part = group[at : at + 256]
+                step = max(1, min(256, PIXELS // group[0][1].size))
+                for at in range(0, len(group), step):
+                    part = group[at : at + step]
                     image, where, bits = described(np.stack([x for _, x in part]))
                     order = np.argsort(image, kind="stable")
                     cut = np.searchsorted(image[order], np.arange(len(part) + 1))
@@ -171,24 +185,34 @@ def slots(one: DataFrame) -> DataFrame:
 
 
 def consensus(pa_: np.ndarray, ba: np.ndarray, pb: np.ndarray, bb: np.ndarray) -> int:
-    """Largest number of nearest-descriptor matches that agree on scale, rotation and shift."""
+    """Largest number of nearest-descriptor matches that agree on scale, rotation and shift; CONSENSUS or more ends the count."""
     if not len(pa_) or not len(pb):
         return 0
-    apart = np.bitwise_count(ba[:, None, :] ^ bb[None, :, :]).sum(2)
-    j = apart.argmin(1)
-    i = np.nonzero(apart[np.arange(len(ba)), j] <= NEAR)[0]
+    step = max(1, BLOCK * 64 // len(bb))
+    j, near = np.zeros(len(ba), np.int64), np.zeros(len(ba), bool)
+    for at in range(0, len(ba), step):
+        apart = np.bitwise_count(ba[at : at + step, None, :] ^ bb[None, :, :]).sum(2)
+        j[at : at + step] = apart.argmin(1)
+        near[at : at + step] = apart.min(1) <= NEAR
+    i = np.nonzero(near)[0]
     j = j[i]
     if len(i) < CONSENSUS:
         return 0
     best = 0
     scale, turn = pb[j, 2] / pa_[i, 2], pb[j, 3] - pa_[i, 3]
     for s, t in zip(scale, turn):
+        same = (np.abs(scale / s - 1) < 0.3) & (np.abs((turn - t + np.pi) % (2 * np.pi) - np.pi) < 0.35)
+        if same.sum() <= best:
+            continue
         c, d = np.cos(t) * s, np.sin(t) * s
+        a, b = i[same], j[same]
         # where each matched corner of A falls in B, up to a shift; then how many share the shift
-        moved = np.stack([pb[j, 1] - (c * pa_[i, 1] - d * pa_[i, 0]), pb[j, 0] - (d * pa_[i, 1] + c * pa_[i, 0])], 1)
-        same = (np.abs(scale / s - 1) < 0.3) & (np.abs((turn - t + np.pi) % (2 * np.pi) - np.pi) < 0.35)
-        close = (np.abs(moved[:, None] - moved[None]) < 4.0).all(2) & same[:, None] & same[None]
-        best = max(best, int(close.sum(1).max()))
+        moved = np.stack([pb[b, 1] - (c * pa_[a, 1] - d * pa_[a, 0]), pb[b, 0] - (d * pa_[a, 1] + c * pa_[a, 0])], 1)
+        for at in range(0, len(moved), 512):
+            close = (np.abs(moved[at : at + 512, None] - moved[None]) < 4.0).all(2)
+            best = max(best, int(close.sum(1).max()))
+            if best >= CONSENSUS:
+                return best
     return best
 
 

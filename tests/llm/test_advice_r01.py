@@ -47,3 +47,14 @@ def test_media_tables_find_what_brute_force_finds():
         pairs += [(told(c), told(e)) for e in (np.clip(c + rng.normal(0, 2, c.shape), 0, 255), np.clip(c + rng.normal(0, 8, c.shape), 0, 255), blur, rescaled(c, 0.9))]
     true = [p for p in pairs if agree(*p)]
     assert len(true) > 100 and np.mean([meet(*p) for p in true]) >= 0.9
+
+
+def test_media_crops_of_large_images_are_found():
+    for s in range(3):
+        c = boxes(900 + s, 512)
+        whole = told(c)
+        for y, x in ((40, 60), (200, 300), (410, 131), (333, 17)):
+            crop = told(c[y : y + 80, x : x + 80])
+            assert meet(whole, crop) and agree(whole, crop)
+
+
