@@ -38,7 +38,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), order=3, cuts=(1, 1, 1))
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Cases of the first round's advice: each failed before its finding was settled."""
 
+import collections
+import math
+import zlib
+
 import numpy as np
 
-from assayloom.llm import media
+from assayloom.llm import katz, media, queries
 
 # -- op3 --------------------------------------------------------------------------------------------------------
 
@@ -58,3 +62,46 @@ def test_media_crops_of_large_images_are_found():
             assert meet(whole, crop) and agree(whole, crop)
 
 
+# -- op7 --------------------------------------------------------------------------------------------------------
+
+
+def full_katz(rows, order):
+    """Scores of the rows with every n-gram kept, those of count 1 too."""
+    train = [[*t.split(), "</s>"] for d, t in rows if zlib.crc32(str(d).encode()) % katz.FOLDS != katz.HELD]
+    gram = lambda w, i, k: tuple(w[j] if j >= 0 else "<s>" for j in range(i - k + 1, i + 1))
+    counts = [collections.Counter(gram(w, i, k) for w in train for i in range(len(w))) for k in range(order + 1)]
+    d = [katz.discounts([sum(c == r for c in n.values()) for r in range(1, 7)]) for n in counts]
+    total, follow, history = sum(counts[1].values()), collections.defaultdict(list), collections.Counter()
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            follow[g[:-1]].append((g[-1], c))
+            history[g[:-1]] += c
+    off = lambda k, c: float(d[k][c]) if c <= 5 else 1.0
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            kept = sum(off(1, c) * c for c in counts[1].values()) / total
+            least = 1 / (total + len(counts[1]) + 1)
+            s = 1.0 if 1 - kept >= least else (1 - least) / kept
+            c = counts[1][g]
+            return s * off(1, c) * c / total if c else 1 - kept * s
+        seen, n = follow.get(g[:-1]), history[g[:-1]]
+        if not seen:
+            return p(g[1:])
+        mass = sum(off(k, c) * c / n for _, c in seen)
+        s = 1.0 if 1 - mass >= 1 / (n + 1) else (1 - 1 / (n + 1)) / mass
+        if c := counts[k][g]:
+            return s * off(k, c) * c / n
+        return (1 - s * mass) / (1 - sum(p((*g[1:-1], w)) for w, _ in seen)) * p(g[1:])
+
+    return {i: sum(math.log10(p(gram(w, j, order))) for j in range(len(w))) for i, w in ((i, [*t.split(), "</s>"]) for i, t in rows)}
+
+
+def test_katz_query_keeps_trigrams_and_ngrams_seen_once(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 12) % 40)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op7_katz(spark, str(tmp_path)).collect()}
+    want = full_katz(rows, 3)
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-7)
