@@ -1,9 +1,10 @@
 """Packing documents into training sequences.
 
 Every document is tokenised once and cut only where it overflows the window: all pieces but its last are whole
-windows. The remainders are routed to context-size tiers by length; each window is opened by the longest remainder
-left, and its gap is filled from the shorter tiers, best fit first. Sequences are then dealt to step groups so that
-each group has the same number of sequences and nearly the same attention cost.
+windows. The remainders are routed to context-size tiers by length. From the longest tier down, each tier is packed into
+sequences of its own context size: the longest remainder left opens one, best fit of the tier fills it, and what gap is
+left is filled from the next shorter tiers in turn, best fit first. Sequences are then dealt to step groups so that each group has the same number of
+sequences and nearly the same attention cost; the tier of a row is the context size of its sequence.
 
 Packing sees only lengths, in round-robin slices of bounded size, so no source, length or copy group can gather in
 one task. Defined cases: a null text is an empty one; an empty one is the single end id; repeated rows are packed as
@@ -86,26 +87,39 @@ def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, window: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
-def fill(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sequence and offset of each remainder, and the number of sequences: longest opens, best fit fills."""
+def tier_of(lengths: np.ndarray, tiers: tuple[int, ...]) -> np.ndarray:
+    """The least context size that holds each length (the largest for longer ones)."""
+    return np.asarray(tiers)[np.minimum(np.searchsorted(tiers, lengths), len(tiers) - 1)]
+
+
+def fill(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sequence and offset of each remainder, and the number of sequences; without tiers, the window is the only one.
+
+    Tier by tier, longest first: the longest opens a sequence of the tier's size, best fit of its tier and then of the shorter ones fills it.
+    """
+    sizes = sorted({min(t, window) for t in tiers or ()} | {window})
     waiting: dict[int, list[int]] = {}
     for i in np.argsort(lengths, kind="stable")[::-1]:
         waiting.setdefault(int(lengths[i]), []).append(int(i))
-    left = sorted(waiting)
+    order = sorted(waiting)
+    cuts = np.searchsorted(order, sizes, "right").tolist()
+    left = [order[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]  # the lengths that wait in each tier
     sequence, offset, n = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
-    while left:
-        used = 0
-        while left:
-            k = bisect.bisect_right(left, window - used) - 1
-            if k < 0:
-                break
-            size = left[k]
-            i = waiting[size].pop()
-            if not waiting[size]:
-                left.pop(k)
-            sequence[i], offset[i] = n, used
-            used += size
-        n += 1
+    for own in reversed(range(len(sizes))):
+        while left[own]:
+            used = 0
+            for tier in range(own, -1, -1):
+                while left[tier]:
+                    k = bisect.bisect_right(left[tier], sizes[own] - used) - 1
+                    if k < 0:
+                        break
+                    size = left[tier][k]
+                    i = waiting[size].pop()
+                    if not waiting[size]:
+                        left[tier].pop(k)
+                    sequence[i], offset[i] = n, used
+                    used += size
+            n += 1
     return sequence, offset, n
 
 
@@ -134,11 +148,13 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, window: int = WI
         length = t["length"].to_numpy()
         whole = length == window
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        sequence[~whole], offset[~whole], n = fill(length[~whole], window)
+        sequence[~whole], offset[~whole], n = fill(length[~whole], window, tiers)
         sequence[whole] = n + np.arange(whole.sum())
         cost = np.bincount(sequence, weights=length.astype(float) ** 2)
         group = step_groups(cost)[sequence]
-        tier = np.asarray(tiers)[np.minimum(np.searchsorted(tiers, length), len(tiers) - 1)]
+        longest = np.zeros(len(cost), np.int64)
+        np.maximum.at(longest, sequence, length)
+        tier = tier_of(longest, tiers)[sequence]  # a sequence is opened by its longest piece
         base = TaskContext.get().partitionId() << 32  # round-robin slices are sorted first, so a rerun deals the same
         for name, v in (("sequence_id", base + sequence), ("offset", offset), ("tier", tier.astype(np.int32)), ("step_group", base + group)):
             t = t.append_column(name, pa.array(v))

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from assayloom.llm import katz, media, queries
+from assayloom.llm import katz, media, packing, queries
 
 # -- op3 --------------------------------------------------------------------------------------------------------
 
@@ -105,3 +105,26 @@ def test_katz_query_keeps_trigrams_and_ngrams_seen_once(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in queries.op7_katz(spark, str(tmp_path)).collect()}
     want = full_katz(rows, 3)
     assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-7)
+
+
+# -- op6 --------------------------------------------------------------------------------------------------------
+
+
+def test_packing_fills_each_tier_in_its_own_context_size(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("abcdefgh"[int(x)] for x in rng.integers(0, 8, int(n)))) for i, n in enumerate(rng.integers(1, 1900, 300))]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = collections.defaultdict(list)
+    for r in out:
+        held[r["sequence_id"]].append(r)
+    sizes = collections.Counter()
+    for parts in held.values():
+        (tier,) = {r["tier"] for r in parts}
+        sizes[tier] += 1
+        longest = max(r["length"] for r in parts)
+        assert sum(r["length"] for r in parts) <= tier == min(t for t in packing.TIERS if t >= longest)
+    assert sizes[2048] and sizes[1024]
+    lengths = rng.integers(1, 257, 500)
+    sequence, _, n = packing.fill(lengths, 2048, packing.TIERS)
+    used = np.bincount(sequence, weights=lengths)
+    assert used.max() <= 256 and 256 * n / lengths.sum() < 1.02
