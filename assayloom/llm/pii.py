@@ -1,7 +1,8 @@
 r"""Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 1. Strict rules give the base spans of four kinds: leftmost, non-overlapping, then validated (octets, Luhn, digit counts).
-2. Loose generators propose overlapping candidates: spelled-out addresses, and digit runs read as card and as phone.
+2. Loose generators propose overlapping candidates: spelled-out addresses, four numbers between dots or spelled-out dots
+   as ip, and every part of a digit run that begins and ends at its separators and has 7 to 19 digits, as card and phone.
 3. A candidate that satisfies the strict rule of its kind is a positive label. The trees see its format and its
    context but never the cue the rule keys on (the plus sign, the check digit, the at sign), so what they learn carries
    over to spans that lack the cue. Features are small integers: all candidates of the corpus collapse to a table of
@@ -43,6 +44,8 @@ HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 # Loose generators.
 LOOSE_MAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?(?:@|\(at\)|\[at\])\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]++)++"
+_DOT = r"(?:\x20?(?:[.]|\(dot\)|\[dot\])\x20?|\x20dot\x20)"
+LOOSE_IP = r"(?:\G|(?<![0-9]))[0-9]++" + (_DOT + "[0-9]++") * 3
 LOOSE_DIGITS = r"[+]?[(]?[0-9](?:[\x20().-]?+[\x20().-]?+[0-9])++"
 
 # Context words: fixed values.
@@ -125,18 +128,36 @@ def described(kind: int, strict: str) -> str:
     )
 
 
+MOST = 19  # digits of a candidate at most, so groups of one at most
+
+
+def sub_spans(runs: str) -> str:
+    """SQL: the parts of digit runs that begin and end at separator groups and have 7 to MOST digits.
+
+    A group has a digit at least, so at most MOST parts begin at each: linear in the run.
+    """
+    groups = located("[+]?[(]?[0-9]+").replace("(t, ", "(r.m, ")
+    m = "substring(r.m, cast(g[i].start + 1 as int), cast(g[j].stop - g[i].start as int))"
+    before = "right(concat(r.before, substring(r.m, greatest(1, cast(g[i].start as int) - 23), least(24, cast(g[i].start as int)))), 24)"
+    after = "case when g[j].stop < length(r.m) then substring(r.m, cast(g[j].stop + 1 as int), 1) else r.after end"
+    one = f"named_struct('start', r.start + g[i].start, 'stop', r.start + g[j].stop, 'm', {m}, 'before', {before}, 'after', {after})"
+    ends = f"filter(sequence(i, least(i + {MOST}, size(g)) - 1), j -> length({digits(m)}) between 7 and {MOST})"
+    return f"flatten(transform({runs}, r -> transform(array({groups}), g -> flatten(transform(sequence(0, size(g) - 1), i -> transform({ends}, j -> {one}))))[0]))"
+
+
 def annotate(docs: DataFrame) -> DataFrame:
     """docs with `base` (struct of span arrays by kind) and `candidates` (array of described spans)."""
     t = docs.withColumn("t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = ", ".join(f"'{k}', transform(filter({located(STRICT[k], HINT[k])}, s -> {VALID[k]}), s -> named_struct('start', s.start, 'stop', s.stop))" for k in KINDS)
     full = {k: f"regexp_like(s.m, {quoted('^(?:' + STRICT[k] + ')$')}) and {VALID[k]}" for k in KINDS}
     n = f"length({digits('s.m')})"
-    runs = f"filter({located(LOOSE_DIGITS)}, s -> {n} between 7 and 19)"
+    runs = sub_spans(f"filter({located(LOOSE_DIGITS)}, s -> {n} >= 7)")
     proposals = (
         f"concat(transform({located(LOOSE_MAIL)}, s -> {described(0, full['email'])}),"
-        f" transform(array({runs}), r -> concat("
-        f"transform(filter(r, s -> {n} >= 13), s -> {described(2, full['card'])}),"
-        f"transform(filter(r, s -> {n} <= 15), s -> {described(3, full['phone'])})))[0])"
+        f" transform({located(LOOSE_IP)}, s -> {described(1, full['ip'])}),"
+        f" transform(array({runs}), q -> concat("
+        f"transform(filter(q, s -> {n} >= 13), s -> {described(2, full['card'])}),"
+        f"transform(filter(q, s -> {n} <= 15), s -> {described(3, full['phone'])})))[0])"
     )
     return t.withColumn("base", F.expr(f"named_struct({base})")).withColumn("candidates", F.expr(proposals)).drop("t")
 

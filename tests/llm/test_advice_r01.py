@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from assayloom.llm import katz, media, packing, queries
+from assayloom.llm import katz, media, packing, pii, queries
 
 # -- op3 --------------------------------------------------------------------------------------------------------
 
@@ -128,3 +128,16 @@ def test_packing_fills_each_tier_in_its_own_context_size(spark):
     sequence, _, n = packing.fill(lengths, 2048, packing.TIERS)
     used = np.bincount(sequence, weights=lengths)
     assert used.max() <= 256 and 256 * n / lengths.sum() < 1.02
+
+
+# -- op10 -------------------------------------------------------------------------------------------------------
+
+
+def test_pii_proposes_the_parts_of_adjacent_numbers(spark):
+    texts = ["see 7536784127813050 4845168114407329 now", "+1 (826) 555-4081 190.137.223.204", "at 10 . 20 . 30 . 40 or 1.2.3.4", "1 " * 3000]
+    rows = pii.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: {(pii.KINDS[c["kind"]], texts[r["doc_id"]][c["start"] : c["stop"]]) for c in r["candidates"]} for r in rows}
+    assert {("card", "7536784127813050"), ("card", "4845168114407329")} <= got[0]
+    assert ("phone", "+1 (826) 555-4081") in got[1] and ("ip", "190.137.223.204") in got[1]
+    assert {("ip", "10 . 20 . 30 . 40"), ("ip", "1.2.3.4")} <= got[2]
+    assert all(len(r["candidates"]) <= 3000 * 19 * 2 for r in rows)
