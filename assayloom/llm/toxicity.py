@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels come with documents, so tokens are labelled first: over all labelled training documents, the presence of every
-affix (the whole word, its first and its last bytes) is counted by label. Of the affixes that clean documents hardly
-have, a smallest set that covers the toxic documents of the sample is taken greedily, and marks its tokens in toxic
+affix (the whole word, its first and its last bytes) is counted by label. Of the affixes of the toxic sample that are far
+more frequent in toxic documents than in clean ones (by rates, whatever the class ratio; with less where none is), a smallest set that covers the toxic documents of the sample is taken greedily, and marks its tokens in toxic
 documents. On a bounded sample of training documents (SAMPLE of each label, by
 hash of the id) the two-state field is then fitted to these token labels; its features are the hashed affixes of the
 token and its neighbours' states. Forward-backward over every whole text gives each token's marginal; a document's score
@@ -31,7 +31,7 @@ BROADCAST_ROWS = 2_000_000
 BITS = 18  # affix weights: a table of 2^BITS, the size bound of the model
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 SUPPORT, RATIO, LEAST_SHARE = 3, 20.0, 0.005
-CANDIDATES = 1 << 16  # affixes that come to the driver, the most frequent ones
+WEAKER = ((SUPPORT, RATIO), (1, RATIO), (1, 1.0), (1, 0.0))  # support and rate ratio: the first pair that any affix passes holds
 STEPS, RATE, DECAY = 60, 0.5, 1e-4
 CHAIN = 64
 FAINT = 0.05
@@ -168,8 +168,8 @@ def summary(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), top, np.log1p(total)], axis=1)
 
 
-def cover(a: np.ndarray, doc: np.ndarray, candidates: np.ndarray, n: int) -> np.ndarray:
-    """Greedily, the candidates that together occur in the most of n texts; each must add its share."""
+def cover(a: np.ndarray, doc: np.ndarray, candidates: np.ndarray, n: int, single: bool = False) -> np.ndarray:
+    """Greedily, the candidates that together occur in the most of n texts; each must add its share (single: one text)."""
     if not len(candidates):
         return candidates
     flat, of = a.ravel(), np.tile(doc, len(a))
@@ -177,14 +177,14 @@ def cover(a: np.ndarray, doc: np.ndarray, candidates: np.ndarray, n: int) -> np.
     real = candidates[at] == flat
     cells = np.unique(at[real] * n + of[real])
     which, text = cells // n, cells % n
-    least = max(SUPPORT, LEAST_SHARE * n)
+    least = 1 if single else max(SUPPORT, LEAST_SHARE * n)
     held = np.bincount(which, minlength=len(candidates))
     todo, taken = np.ones(n, bool), []
     while True:
         gain = np.bincount(which[todo[text]], minlength=len(candidates))
         gain[held < least] = 0
         best = int(np.lexsort((held, gain))[-1])
-        if gain[best] < max(2, 0.2 * least):
+        if gain[best] < (1 if single else max(2, 0.2 * least)):
             return np.sort(candidates[taken])
         taken.append(best)
         todo[text[which == best]] = False
@@ -199,7 +199,9 @@ def train(texts: pa.Array, toxic: np.ndarray, marks: np.ndarray, clean_weight: f
     a = affixes(w)
     doc = np.repeat(np.arange(len(w)), np.diff(w.first))
     bad = np.cumsum(toxic) - 1
-    marks = cover(a[:, toxic[doc]], bad[doc[toxic[doc]]], marks, int(toxic.sum()))
+    mine = a[:, toxic[doc]], bad[doc[toxic[doc]]]
+    chosen = cover(*mine, marks, int(toxic.sum()))
+    marks = chosen if len(chosen) else cover(*mine, marks, int(toxic.sum()), single=True)
     if not len(marks):
         return field
     y = (np.isin(a, marks).any(axis=0) & toxic[doc]).astype(float)
@@ -264,15 +266,19 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: bool = True, sample: int =
         bad, good = int(totals[0] or 0), int(totals[1] - (totals[0] or 0))
         if not bad or not good:
             return Field()
-        # an affix must be in a share of the toxic texts, so their number does not grow with the corpus
-        rare = f"toxic >= {max(SUPPORT, LEAST_SHARE * bad / 2)} and toxic * {good}D > clean * {bad}D * {RATIO} and clean <= 0.02D * toxic"
-        marks_ = seen.filter(rare).orderBy(F.desc("toxic"), "affix").limit(CANDIDATES).select("affix").collect()
         drawn = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
         # twice as many as wanted pass by their hash, so no task sends many texts; the first of these are the sample
         parts = []
         for t, n in ((1, bad), (0, good)):
             some = drawn.filter((F.col("toxic") == t) & (F.col("h") < int((1 << 30) * min(1.0, 2 * sample / n + 100 / n))))
-            parts.append(some.orderBy("h", "doc_id").limit(sample).select("text", "toxic").collect())
+            some = written(some.orderBy("h", "doc_id").limit(sample).select("text", "toxic"), "sample")
+            if t:  # only affixes of the bounded sample reach the driver; the join to their counts is distributed
+                of = written(seen.join(counts(some).select("affix"), "affix", "left_semi"), "affixes")
+            parts.append(some.collect())
+        for support, ratio in WEAKER:
+            marks_ = of.filter(f"toxic >= {support} and toxic * {good}D > clean * {bad}D * {ratio}").select("affix").collect()
+            if marks_:
+                break
     rows = [r for part in parts for r in part]
     affix = np.sort(np.array([r["affix"] for r in marks_], np.int64).view(np.uint64))
     ratio = (good / max(1, len(parts[1]))) / (bad / max(1, len(parts[0])))

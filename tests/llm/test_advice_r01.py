@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from assayloom.llm import katz, media, packing, pii, queries
+from assayloom.llm import katz, media, packing, pii, queries, toxicity
 
 # -- op3 --------------------------------------------------------------------------------------------------------
 
@@ -141,3 +141,29 @@ def test_pii_proposes_the_parts_of_adjacent_numbers(spark):
     assert ("phone", "+1 (826) 555-4081") in got[1] and ("ip", "190.137.223.204") in got[1]
     assert {("ip", "10 . 20 . 30 . 40"), ("ip", "1.2.3.4")} <= got[2]
     assert all(len(r["candidates"]) <= 3000 * 19 * 2 for r in rows)
+
+
+# -- op5 --------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_a_word_that_a_few_clean_documents_quote(spark):
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        w = [f"w{int(x)}" for x in rng.zipf(1.3, 30) % 3000]
+        if bad or i % 97 == 1:  # quoted or mislabelled: more than 2 % of the toxic documents, a small share of the clean ones
+            w[int(rng.integers(0, 30))] = "vileword"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert field.trained
+    odds = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, field).collect()}
+    assert np.mean([odds[i] >= 0.5 for i in range(0, 600, 6)]) > 0.9
+
+
+def test_toxicity_trains_on_a_single_toxic_document(spark):
+    rows = [(i, "plain words here") for i in range(1, 30)] + [(31, "vile words here")]
+    field = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i == 31)) for i, _ in rows], "doc_id long, toxic int"), holdout=False)
+    assert field.trained
