@@ -52,36 +52,73 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+STRETCH = 1 << 20  # bytes whose numbers are worked out at once: bounds memory, whatever a text's length
+
+
 class Words:
     """number: 64-bit number of each word; first: index of each text's first word (one more at the end); starts, ends: bytes."""
 
     def __init__(self, column: pa.Array, powers: Powers | None = None):
-        powers = powers or Powers()
+        self.powers = powers or Powers()
         data, at = buffers(column)
         self.data, self.at, n = data, at, len(data)
-        inside = ~SPACE[data]
+        inside = np.zeros(n + 1, bool)
+        np.logical_not(SPACE[data], out=inside[:n])
         head = np.zeros(n + 1, bool)
         head[at] = True
-        before = np.zeros(n, bool)
-        before[1:] = inside[:-1]
-        start = inside & (~before | head[:n])
-        after = np.zeros(n, bool)
-        after[:-1] = inside[1:]
-        end = inside & (~after | head[1:])
+        # a word starts where no byte of its text's word precedes, and ends where none follows
+        start = inside[:n].copy()
+        start[1:] &= ~inside[: n - 1] | head[1:n]
+        end = inside[:n].copy()
+        end &= ~inside[1:] | head[1:]
         self.starts, self.ends = np.nonzero(start)[0], np.nonzero(end)[0] + 1
         self.first = np.searchsorted(self.starts, at)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        powers.grow(n + 1)
-        terms = VALUE[data]
-        terms *= powers.up[:n]
-        np.cumsum(terms, dtype=np.uint64, out=self.prefix[1:])
-        self.back = powers.down
+        self.prefix: np.ndarray | None = None
         self.number = self.part(self.starts, self.ends)
 
     def part(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Numbers of the byte ranges: equal bytes, equal number (A-Z as a-z)."""
-        raw = (self.prefix[ends] - self.prefix[starts]) * self.back[starts]
-        return mix(raw ^ ((ends - starts).astype(np.uint64) * SALTS[0]))
+        """Numbers of byte ranges, each inside a word, in the order of the words: equal bytes, equal number (A-Z as a-z)."""
+        out = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            low = int(starts[a])
+            z = len(starts) if len(self.data) <= 2 * STRETCH else max(a + 1, int(np.searchsorted(starts, low + STRETCH)))
+            high = int(ends[z - 1])
+            if z - a > 1 and high - low > 2 * STRETCH:  # only the last word can reach so far
+                z -= 1
+                high = int(ends[z - 1])
+            if high - low > 2 * STRETCH:
+                out[a] = self._long(low, high)
+            else:
+                prefix, low = self._prefix(low, high)
+                out[a:z] = (prefix[ends[a:z] - low] - prefix[starts[a:z] - low]) * self.powers.down[starts[a:z] - low]
+            a = z
+        return mix(out ^ ((ends - starts).astype(np.uint64) * SALTS[0]))
+
+    def _prefix(self, low: int, high: int) -> tuple[np.ndarray, int]:
+        """Running sums over the bytes from low to high (kept, and of all bytes, while these are few), and where they begin."""
+        if len(self.data) <= 2 * STRETCH:
+            if self.prefix is not None:
+                return self.prefix, 0
+            low, high = 0, len(self.data)
+        self.powers.grow(high - low + 1)
+        prefix = np.zeros(high - low + 1, np.uint64)
+        terms = VALUE[self.data[low:high]]
+        terms *= self.powers.up[: high - low]
+        np.cumsum(terms, dtype=np.uint64, out=prefix[1:])
+        if len(self.data) <= 2 * STRETCH:
+            self.prefix = prefix
+        return prefix, low
+
+    def _long(self, start: int, end: int) -> np.uint64:
+        """The sum of one range, stretch by stretch."""
+        self.powers.grow(STRETCH + 1)
+        total, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+        for low in range(start, end, STRETCH):
+            terms = VALUE[self.data[low : min(end, low + STRETCH)]] * self.powers.up[: min(end - low, STRETCH)]
+            total += terms.sum(dtype=np.uint64) * factor
+            factor *= self.powers.up[STRETCH]
+        return total[0]
 
     def __len__(self) -> int:
         return len(self.at) - 1

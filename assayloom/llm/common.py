@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is missing (a single machine, tests) a temporary folder takes its place.
+    Only where the setting is missing and Spark runs in one process (tests), a temporary folder takes its place; on a
+    cluster such a folder would be another one on each machine.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="assayloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -18,7 +18,8 @@ further, some hubs of each entry a round, until every such pair is linked or ref
 
 Defined cases: a null text is an empty one; a text without words has no shingle and links with nothing; texts of fewer
 words than a shingle are one shingle of all their words; repeated rows and exact copies are one class and keep all their
-rows; extra columns are ignored; an empty table gives no rows.
+rows; very long texts are read in stretches; rows without doc_id take part in links (a component's id is the least id
+there is in it, null if there is none); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -160,11 +161,13 @@ def indexed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """sig, fp, size and band: what each class is indexed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, seen = Powers(), set()  # exact copies within a task count once
         for b in row_batches(batches):
             s = Sets(b.column(1), words, powers)
             _, once = np.unique(s.fp, return_index=True)
-            sig, of, band = signatures(s, once[s.size[once] > 0])
+            once = np.array([i for i in once.tolist() if s.size[i] and s.fp[i] not in seen], np.int64)
+            seen.update(s.fp[once].tolist())
+            sig, of, band = signatures(s, once)
             yield _batch(sig=sig, fp=s.fp[of], n=s.size[of], band=band)
 
     return _texts(docs).mapInArrow(run, "sig long, fp long, n long, band long")
@@ -297,7 +300,7 @@ def _allocated(docs: DataFrame, words: int, members: DataFrame, held: DataFrame)
     its class's shingles before it, and a pair there differs in those of both.
     """
     some = written(held.select("fp").distinct().join(members, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "some")
-    full = elements(only(docs, some.select("doc_id").distinct()), words)
+    full = _of_classes(elements(only(docs, some.select("doc_id").distinct(), True), words), some)
     by_sig, by_class = Window.partitionBy("sig"), Window.partitionBy("fp")
     alone = F.min("fp").over(by_sig) == F.max("fp").over(by_sig)
     full = full.withColumn("alone", alone).withColumn("cost", F.when(F.col("alone"), 1).otherwise(F.count("*").over(by_sig)))
@@ -367,16 +370,24 @@ def _by_sig():
     return Window.partitionBy("sig").orderBy("own", "fp")
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs of these ids: by broadcast while the ids are few enough, else by a shuffle join."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select(*docs.columns)
+def only(docs: DataFrame, ids: DataFrame, nulls: bool = False) -> DataFrame:
+    """docs of these ids: by broadcast while the ids are few enough, else by a shuffle join; nulls: rows without id too."""
+    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select(*docs.columns)
+    return some.union(docs.filter("doc_id is null")) if nulls else some
+
+
+def _of_classes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows of the wanted classes: a document read for its id, or for want of one, may hold another class."""
+    return rows.join(wanted.select("fp").distinct(), "fp", "left_semi").select(*rows.columns)
 
 
 def _wanted_sets(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) -> DataFrame:
     """Elements of the classes in held, each from one of its documents."""
     ids = written(members.join(held.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets = sets_of(only(docs, ids.select("doc_id").distinct()), words)
-    return written(sets.groupBy("fp").agg(F.first("elements").alias("elements")), "sets")
+    sets = sets_of(only(docs, ids.select("doc_id").distinct(), True), words)
+    out = written(_of_classes(sets, ids).groupBy("fp").agg(F.first("elements").alias("elements")), "sets")
+    discard(ids)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -386,7 +397,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return of.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs without those that a smaller doc_id of their component stands for; of rows with one doc_id, one stays."""
-    kept = written(near_duplicates(docs, words).filter("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    return only(docs, kept.select("doc_id")) if kept.filter("count > 1").isEmpty() else only(docs, kept.select("doc_id")).dropDuplicates(["doc_id"])
+def deduplicated(docs: DataFrame, words: int = WORDS, nulls: bool = False) -> DataFrame:
+    """docs without those that a smaller doc_id of their component stands for; of rows with one doc_id, one stays.
+
+    Rows without doc_id go, unless `nulls`: then those without words stay, and of each component that holds no id at all,
+    one row does.
+    """
+    of = written(joined(docs, words), "joined")
+    least = of.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = of.join(least, "root", "left")
+    kept = written(named.filter("doc_id = coalesce(component_id, doc_id)").groupBy("doc_id").count(), "kept")
+    out = only(docs, kept.select("doc_id"))
+    if not kept.filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    if nulls and not of.filter("doc_id is null").isEmpty():
+        lone = named.filter("doc_id is null and (root is null or component_id is null and fp = root)").select(F.col("fp").alias("_fp")).distinct()
+        bare = _with_fp(docs.filter("doc_id is null"), words).join(lone, F.expr("fp_of_row <=> _fp")).drop("_fp")
+        first = bare.filter("fp_of_row is not null").dropDuplicates(["fp_of_row"]).unionAll(bare.filter("fp_of_row is null"))
+        out = out.unionAll(first.select("row.*"))
+    return out
+
+
+def _with_fp(docs: DataFrame, words: int) -> DataFrame:
+    """row (all columns of docs) and fp_of_row: the fingerprint of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in row_batches(batches):
+            s = Sets(b.column(0), words, powers)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s.fp, mask=s.size == 0)], names=["row", "fp_of_row"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp_of_row long")

@@ -14,9 +14,13 @@ r"""Mixing sources to target weights, in DataFrame expressions only.
 Positions in a source's stream come from two running sums, over buckets and inside a bucket, so a hot source is spread
 over as many tasks as it has buckets. Only ids and sizes are shuffled.
 
+`mixed_documents` returns the mix in its order: whole shards together, and in each the documents by the place of the
+first block taken, so a reader of one file meets the sources as they were mixed.
+
 Defined cases: a null text is an empty one; a text without words has taken 0; the null source is a source, last in
-order; repeated rows are documents of their own; an empty table gives no rows; extra columns are ignored (and kept by
-`mixed_documents`).
+order; rows without doc_id are documents like others; repeated rows are documents of their own; very long texts are
+dealt block by block; an empty table gives no rows; extra columns are ignored (and kept by `mixed_documents`, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -76,7 +80,9 @@ def slots(per: DataFrame, seed: int = 1) -> DataFrame:
     """One row per output slot: shard, place in the output, source s, epoch and block."""
     tasks = max(8, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     some = per.filter("slots > 0").select("s", "blocks", "slots", "first", "slots_all")
-    chunks = some.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK}L)"))).repartition(tasks)
+    # two steps, so that no row holds an entry for each chunk of a large source
+    wide = some.withColumn("wide", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK * CHUNK}L)"))).repartition(tasks)
+    chunks = wide.withColumn("chunk", F.explode(F.expr(f"sequence(wide * {CHUNK}L, least((slots - 1) div {CHUNK}L, (wide + 1) * {CHUNK}L - 1))"))).repartition(tasks)
     each = chunks.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK}L, least(slots, (chunk + 1) * {CHUNK}L) - 1)")))
     each = each.withColumn("epoch", F.expr("j div blocks"))
     each = each.withColumn("block", permuted("j % blocks", "blocks", f"{seed}, s, epoch"))
@@ -90,8 +96,11 @@ def placed(sizes: DataFrame, per: DataFrame) -> DataFrame:
     buckets = max(1, -(-sizes.count() // BUCKET))
     each = known.filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)))
     held = each.groupBy("s", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("held"))
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).select("s", "bucket", "base")
+    # buckets are summed by groups of BUCKET first, so a hot source's running sum is spread as well
+    held = held.withColumn("lot", F.expr(f"bucket div {BUCKET}L"))
+    sum_before = lambda *by: F.coalesce(F.sum("held").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = held.groupBy("s", "lot").agg(F.sum("held").alias("held")).withColumn("lots", sum_before("s", "lot")).select("s", "lot", "lots")
+    held = held.withColumn("base", sum_before("s", "lot", "bucket")).join(lots, ["s", "lot"]).select("s", "bucket", (F.col("base") + F.col("lots")).alias("base"))
     inside = Window.partitionBy("s", "bucket").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0)))
     each = each.join(held, ["s", "bucket"]).withColumn("copy", F.explode(F.expr("sequence(0L, rows - 1)")))
@@ -127,19 +136,20 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     """
     sizes = written(sized(docs), "sized")
     per = written(targets(sizes, weights, budget, repeat), "sources")
-    full = covers(placed(sizes, per)).join(slots(per, seed).select("s", "block", "epoch").hint("merge"), ["s", "block"])
-    parts = full.groupBy("doc_id", "h", "size", "copy", "s", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
-    picked = parts.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("s").alias("_s"), "parts", F.expr("words = size").alias("whole"))
-    text = F.col("text").cast("string")
-    once = docs.withColumn("_h", F.xxhash64(text))
+    drawn = slots(per, seed).select("s", "block", "epoch", "place").hint("merge")
+    full = covers(placed(sizes, per)).join(drawn, ["s", "block"])
+    parts = full.groupBy("doc_id", "h", "size", "copy", "s", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("words"), F.min("place").alias("place"))
+    picked = parts.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("s").alias("t"), "parts", F.expr("words = size").alias("whole"), "place")
+    # all columns pass as one struct, so no name clashes
+    once = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("source").cast("string").alias("from"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if not sizes.filter("rows > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id", "source", "_h"])
-    named = per.select(F.col("source").alias("_source"), F.col("s").alias("_s"))
-    once = once.join(named, F.expr("source <=> _source")).withColumn("_id", F.col("doc_id").cast("long"))
-    picked = picked.withColumnsRenamed({"_id": "_i", "_h": "_g", "_s": "_t"})
-    joined = once.join(picked.hint("merge"), F.expr("_id <=> _i and _h <=> _g and _s = _t"))
-    some = F.expr(f"array_join(flatten(transform(array(regexp_extract_all(text, r'[^{SPACES}]+', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))))), ' ')")
-    out = joined.withColumn("text", F.when(F.col("whole"), text).otherwise(some))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        once = once.dropDuplicates(["id", "from", "h"])
+    named = per.select(F.col("source").alias("name"), "s")
+    once = once.join(named, F.expr("from <=> name"))
+    joined = once.join(picked.hint("merge"), F.expr("id <=> i and h <=> g and s = t"))
+    some = F.expr(f"array_join(flatten(transform(array(regexp_extract_all(row.text, r'[^{SPACES}]+', 0)), w -> flatten(transform(parts, p -> slice(w, cast(p.lo + 1 as int), cast(p.hi - p.lo as int)))))), ' ')")
+    out = joined.withColumn("words", F.when(F.col("whole"), F.col("row.text").cast("string")).otherwise(some)).withColumn("shard", F.expr(f"place div {SHARD}L"))
+    out = out.select("row", "words", "shard", "place").repartition("shard").sortWithinPartitions("shard", "place")
+    kind = dict(docs.dtypes)
+    changed = {"text": F.col("words").cast(kind["text"]), "n_chars": F.length("words").cast(kind.get("n_chars", "long"))}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -12,7 +12,8 @@ r"""Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 Positions are code points, end exclusive. Defined cases: a null text is an empty one and has no span; repeated rows are
 treated each by itself; an empty table, or one without candidates, gives a model that adds nothing; other columns of the
-input pass through `redact` unchanged.
+input pass through `redact` unchanged, whatever their names; rows without doc_id are treated like others; overlapping
+candidates may all be added; very long texts are read whole.
 
 All patterns are linear: where a scan could restart inside a run, a look-behind (or the end of the previous match)
 pins the start of the run, and quantifiers are possessive wherever giving back could not help.
@@ -26,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy_shuffles, written
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The strict patterns of the four kinds (linear forms of the plain ones in the comments).
@@ -268,19 +271,40 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("found").alias("spans"))
 
 
+PIECE = 4096  # code points of the pieces that long texts are cut into before spans are taken out
+
+
+def between(a: str, z: str) -> str:
+    """SQL: code points a to z of the text cut into `pieces`."""
+    x, y = f"cast({a} div {PIECE} as int)", f"cast({z} div {PIECE} as int)"
+    head, tail = f"cast({a} % {PIECE} as int) + 1", f"cast({z} % {PIECE} as int)"
+    return (
+        f"case when {x} = {y} then substring(coalesce(get(pieces, {x}), ''), {head}, cast({z} - {a} as int))"
+        f" else concat(substring(coalesce(get(pieces, {x}), ''), {head}), array_join(slice(pieces, {x} + 2, {y} - {x} - 1), ''), substring(coalesce(get(pieces, {y}), ''), 1, {tail})) end"
+    )
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets; overlapping spans merge, the first names them."""
-    annotated = annotate(docs)
-    found = selected(annotated, fit(annotated))
+    """docs with every span of the text replaced by its kind in brackets; overlapping spans merge, the first names them.
+
+    All columns pass as one struct, so no name clashes. Linear in the text and in its spans: how far the spans before each
+    one reach is a running maximum by blocks, and what lies between spans comes from short pieces of the text.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    with tidy_shuffles(spark):
+        annotated = written(annotate(rows).select("doc_id", "row", "base", "candidates"), "annotated")
+        found = selected(annotated, fit(annotated))
     tagged = "array_sort(concat(" + ", ".join(f"transform(found.{k}, s -> named_struct('start', s.start, 'stop', s.stop, 'kind', '{k}'))" for k in KINDS) + "))"
-    merged = (
-        "aggregate(spans_, cast(array() as array<struct<start:bigint,stop:bigint,kind:string>>), (a, s) -> case when size(a) > 0 and s.start < element_at(a, -1).stop"
-        " then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, s.stop), 'kind', element_at(a, -1).kind)))"
-        " else concat(a, array(s)) end)"
-    )
-    text = (
-        "concat(array_join(transform(spans_, (s, i) -> concat(substring(text, cast(coalesce(get(spans_, i - 1).stop, 0) + 1 as int), cast(s.start - coalesce(get(spans_, i - 1).stop, 0) as int)), '[', upper(s.kind), ']')), ''),"
-        " substring(text, cast(element_at(spans_, -1).stop + 1 as int)))"
-    )
-    out = found.withColumn("spans_", F.expr(tagged)).withColumn("spans_", F.expr(merged))
-    return out.withColumn("text", F.expr(f"case when size(spans_) > 0 then {text} else text end")).select(*docs.columns)
+    top = "aggregate({}, 0L, (m, x) -> greatest(m, x.stop))"
+    block = "cast(i div {b} as int)".format(b=BLOCK)
+    tops = f"aggregate(sequence(1, cast(ceil(size(spans) / {BLOCK}D) as int)), array(0L), (a, k) -> concat(a, array(greatest(element_at(a, -1), {top.format(f'slice(spans, (k - 1) * {BLOCK} + 1, {BLOCK})')}))))"
+    before = f"greatest(tops[{block}], {top.format(f'slice(spans, {block} * {BLOCK} + 1, cast(i % {BLOCK} as int))')})"
+    marks = f"transform(spans, (s, i) -> transform(array({before}), m -> case when s.start >= m then concat({between('m', 's.start')}, '[', upper(s.kind), ']') else '' end)[0])"
+    n = "cast(length(row.text) as bigint)"
+    text = f"concat(array_join({marks}, ''), {between('element_at(tops, -1)', n)})"
+    out = found.select("row", F.expr(tagged).alias("spans"))
+    out = out.withColumn("tops", F.expr(f"case when size(spans) > 0 then {tops} end"))
+    out = out.withColumn("pieces", F.expr(f"case when size(spans) > 0 then regexp_extract_all(row.text, r'(?s).{{1,{PIECE}}}', 0) end"))
+    text = F.expr(f"case when size(spans) > 0 then {text} else row.text end")
+    return out.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

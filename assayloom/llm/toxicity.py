@@ -2,14 +2,15 @@
 
 Labels come with documents, so tokens are labelled first: over all labelled training documents, the presence of every
 affix (the whole word, its first and its last bytes) is counted by label. Of the affixes of the toxic sample that are far
-more frequent in toxic documents than in clean ones (by rates, whatever the class ratio; with less where none is), a smallest set that covers the toxic documents of the sample is taken greedily, and marks its tokens in toxic
-documents. On a bounded sample of training documents (SAMPLE of each label, by
+more frequent in toxic documents than in clean ones (by rates, whatever the class ratio; with less where none is), a smallest set
+that covers the toxic documents of the sample is taken greedily, and marks its tokens in toxic documents: the token labels
+are a learned list of affixes. On a bounded sample of training documents (SAMPLE of each label, by
 hash of the id) the two-state field is then fitted to these token labels; its features are the hashed affixes of the
 token and its neighbours' states. Forward-backward over every whole text gives each token's marginal; a document's score
 is a logistic function of its largest log-odds and of the expected number of toxic tokens, fitted on the same sample.
 
 Only the text is an input of a score. Defined cases: a null or empty text has the score of a text without toxic tokens;
-repeated rows score alike; a doc_id with several labels counts as toxic if one of them is; with no toxic label to learn
+repeated rows score alike, very long texts are scored whole, rows without doc_id are scored but not learnt from; a doc_id with several labels counts as toxic if one of them is; with no toxic label to learn
 from all scores are 0; an empty table gives no rows; extra columns are ignored (and kept by `clean`).
 """
 
@@ -286,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: bool = True, sample: int =
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, score, toxic_tokens (marginal 1/2 or more) and spans (start:end in bytes of the first such runs), a row per document."""
+    """doc_id, score, toxic_tokens (marginal 1/2 or more) and spans (start and stop in bytes of each run of such tokens), a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -298,8 +299,11 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
             per = hit[w.first[1:]] - hit[w.first[:-1]]
             spans: list[list] = [[] for _ in range(len(w))]
             on = np.nonzero(odds >= 0)[0] if field.trained else np.zeros(0, np.int64)
-            for i, doc in zip(on, np.searchsorted(w.first, on, "right") - 1):
-                spans[doc].append({"start": int(w.starts[i] - w.at[doc]), "stop": int(w.ends[i] - w.at[doc])})
+            of = np.searchsorted(w.first, on, "right") - 1
+            opens = np.append(True, (np.diff(on) > 1) | (np.diff(of) > 0))[: len(on)]
+            closes = np.append(opens[1:], True)[: len(on)]
+            for i, j, doc in zip(on[opens], on[closes], of[opens]):
+                spans[doc].append({"start": int(w.starts[i] - w.at[doc]), "stop": int(w.ends[j] - w.at[doc])})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(per), pa.array(spans, kind)], names=["doc_id", "score", "toxic_tokens", "spans"])
 
