@@ -2,7 +2,12 @@
 
 toxicity drops documents that score as toxic; near_duplicates keeps one document of each group (the least doc_id);
 pii replaces personal data; mixing draws the sources to their target weights (a document appears once for each epoch
-that takes words of it); packing cuts the mixed texts into token sequences.
+that takes words of it), in the order of the mix; packing cuts the mixed texts into token sequences.
+
+Every stage but the last returns the columns of its docs, whatever their names. A null or empty text is never toxic, has
+no copies and no personal data, takes no place in the mix, and so does not reach packing. A row without doc_id is scored,
+linked and mixed like others; of a group of copies with no id at all one row stays. Repeated rows are one document after
+near_duplicates. An empty table gives empty stages. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs)
+    return jaccard.deduplicated(docs, nulls=True)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
