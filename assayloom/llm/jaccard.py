@@ -14,7 +14,9 @@ class holds vanish. For the classes left, entries are allocated anew by exact co
 segment: the H+1 shingles that the fewest classes have; shingles nobody else has drop out, and as two classes differ in
 those of both, and in every bit in which their parity sketches differ, nearly all other pairs are refuted by counts alone. A class is first compared with the hub it shares most entries
 with; classes linked so far are one component, and only pairs from different components of a common entry are compared
-further, some hubs of each entry a round, until every such pair is linked or refuted. Every comparison is exact, on the sorted 64-bit shingle numbers (two different shingles of a pair collide with a chance of 2^-64).
+further, some hubs of each entry a round, until every such pair is linked or refuted. A pair is only wanted at the first
+entry it shares: each entry carries the few that precede it in its class, and where two such lists overlap an earlier
+shared entry exists, so the pair is passed over here and met there. Every comparison is exact, on the sorted 64-bit shingle numbers (two different shingles of a pair collide with a chance of 2^-64).
 
 Defined cases: a null text is an empty one; a text without words has no shingle and links with nothing; texts of fewer
 words than a shingle are one shingle of all their words; repeated rows and exact copies are one class and keep all their
@@ -38,6 +40,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 BROADCAST_IDS = 1_000_000  # beyond it, texts are joined with the wanted ids by a shuffle
 SKETCH = 8  # words of 64 bits
 HUBS = 4  # hubs a segment in the first round; four times as many in each further one
+BEFORE = 6  # entries before each one that it carries, to tell whether a pair has met already
 
 
 def lows(top: int) -> np.ndarray:
@@ -307,7 +310,8 @@ def _allocated(docs: DataFrame, words: int, members: DataFrame, held: DataFrame)
     ranked = full.withColumn("at", F.dense_rank().over(by_class.orderBy("cost", "sig")).cast("long"))
     apart = F.floor((F.col("n") + F.floor(F.col("n") * DENOMINATOR / NUMERATOR)) * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR))
     kept = ranked.filter(~F.col("alone") & (F.col("at") <= apart + 1)).select("sig", "fp", "n", (F.col("at") - 1).alias("own")).distinct()
-    out = written(kept, "allocated")
+    before = F.collect_list("sig").over(by_class.orderBy("own").rowsBetween(-BEFORE, -1))
+    out = written(kept.withColumn("before", before), "allocated")
     discard(held)
     discard(some)
     return out
@@ -342,14 +346,15 @@ def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) ->
     while True:
         # segments that still join classes of different components
         now = held.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        # a pair's first shared entry stays open until the pair is compared or linked, so nothing is lost by passing over others
         open_ = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter(f"x < y and size > {peeled + 1}").select("sig")
         now = written(now.join(open_, "sig"), "open")
         if now.isEmpty():
             return roots
         order = F.row_number().over(_by_sig())
         ranked = now.withColumn("at", order).join(sketches, "fp")
-        middle = ranked.filter((F.col("at") > peeled) & (F.col("at") <= peeled + hubs)).select("sig", F.col("fp").alias("hub"), F.col("n").alias("hn"), F.col("own").alias("hown"), F.col("root").alias("hroot"), F.col("at").alias("hat"), *[F.col(f"k{j}").alias(f"h{j}") for j in range(SKETCH)])
-        pairs = ranked.join(middle, "sig").filter("at > hat and root != hroot").filter(fits).filter(close)
+        middle = ranked.filter((F.col("at") > peeled) & (F.col("at") <= peeled + hubs)).select("sig", F.col("fp").alias("hub"), F.col("n").alias("hn"), F.col("own").alias("hown"), F.col("root").alias("hroot"), F.col("at").alias("hat"), F.col("before").alias("hbefore"), *[F.col(f"k{j}").alias(f"h{j}") for j in range(SKETCH)])
+        pairs = ranked.join(middle, "sig").filter("at > hat and root != hroot").filter(fits).filter("not arrays_overlap(before, hbefore)").filter(close)
         pairs = written(pairs.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct(), "pairs")
         new = written(verified(pairs, sets), "links")
         if not new.isEmpty():
@@ -361,7 +366,7 @@ def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) ->
             old = known.join(merged.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             fresh = merged.join(known, "node", "left_anti").select("node", F.col("to").alias("root"))
             roots = written(old.union(fresh), "roots")
-        held = now.select("sig", "fp", "n", "own")
+        held = now.select("sig", "fp", "n", "own", "before")
         peeled += hubs
         hubs *= 4
 
