@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SALTS, Powers, Words, row_batches
-from .common import crc_mod, tidy_shuffles, written
+from .common import crc_mod, discard, tidy_shuffles, written
 
 SAMPLE = 600  # training documents of each label that the field is fitted on
 FOLDS = 5
@@ -173,10 +173,12 @@ def cover(a: np.ndarray, doc: np.ndarray, candidates: np.ndarray, n: int, single
     """Greedily, the candidates that together occur in the most of n texts; each must add its share (single: one text)."""
     if not len(candidates):
         return candidates
-    flat, of = a.ravel(), np.tile(doc, len(a))
-    at = np.minimum(np.searchsorted(candidates, flat), len(candidates) - 1)
-    real = candidates[at] == flat
-    cells = np.unique(at[real] * n + of[real])
+    cells = []
+    for row in a:  # a kind at a time keeps the arrays small
+        at = np.minimum(np.searchsorted(candidates, row), len(candidates) - 1)
+        real = candidates[at] == row
+        cells.append(np.unique(at[real] * n + doc[real]))
+    cells = np.unique(np.concatenate(cells))
     which, text = cells // n, cells % n
     least = 1 if single else max(SUPPORT, LEAST_SHARE * n)
     held = np.bincount(which, minlength=len(candidates))
@@ -205,7 +207,11 @@ def train(texts: pa.Array, toxic: np.ndarray, marks: np.ndarray, clean_weight: f
     marks = chosen if len(chosen) else cover(*mine, marks, int(toxic.sum()), single=True)
     if not len(marks):
         return field
-    y = (np.isin(a, marks).any(axis=0) & toxic[doc]).astype(float)
+    marked = np.zeros(len(doc), bool)
+    for row in a:
+        at = np.minimum(np.searchsorted(marks, row), len(marks) - 1)
+        marked |= marks[at] == row
+    y = (marked & toxic[doc]).astype(float)
     # equal tokens in equal neighbourhoods repeat: the gradient of a word's weights needs its summed residual only
     uniq, row = np.unique(w.number, return_index=False, return_inverse=True)[0:2]
     where = np.zeros(len(uniq), np.int64)
@@ -273,17 +279,20 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: bool = True, sample: int =
         for t, n in ((1, bad), (0, good)):
             some = drawn.filter((F.col("toxic") == t) & (F.col("h") < int((1 << 30) * min(1.0, 2 * sample / n + 100 / n))))
             some = written(some.orderBy("h", "doc_id").limit(sample).select("text", "toxic"), "sample")
-            if t:  # only affixes of the bounded sample reach the driver; the join to their counts is distributed
-                of = written(seen.join(counts(some).select("affix"), "affix", "left_semi"), "affixes")
-            parts.append(some.collect())
+            parts.append(some)
+        mine = counts(parts[0]).select("affix")
         for support, ratio in WEAKER:
-            marks_ = of.filter(f"toxic >= {support} and toxic * {good}D > clean * {bad}D * {ratio}").select("affix").collect()
-            if marks_:
+            # only affixes of the bounded sample reach the driver, as one array; the join to their counts is distributed
+            telling = seen.filter(f"toxic >= {support} and toxic * {good}D > clean * {bad}D * {ratio}")
+            affix = telling.join(mine, "affix", "left_semi").select("affix").toArrow()["affix"].to_numpy()
+            if len(affix):
                 break
-    rows = [r for part in parts for r in part]
-    affix = np.sort(np.array([r["affix"] for r in marks_], np.int64).view(np.uint64))
-    ratio = (good / max(1, len(parts[1]))) / (bad / max(1, len(parts[0])))
-    return train(pa.array([r["text"] for r in rows], pa.large_string()), np.array([r["toxic"] == 1 for r in rows]), affix, ratio)
+        bad_rows, good_rows = (part.toArrow() for part in parts)
+    for part in (*parts, labelled, marks):
+        discard(part)
+    texts_ = pa.concat_arrays([c for t in (bad_rows, good_rows) for c in t["text"].cast(pa.large_string()).chunks])
+    ratio = (good / max(1, good_rows.num_rows)) / (bad / max(1, bad_rows.num_rows))
+    return train(texts_, np.arange(len(texts_)) < bad_rows.num_rows, np.sort(affix.view(np.uint64)), ratio)
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
