@@ -255,9 +255,7 @@ def joined(docs: DataFrame, words: int = WORDS) -> DataFrame:
         held = _counted(held)
         if not held.isEmpty():
             held = _allocated(docs, words, members, held)
-        roots = None
-        if not held.isEmpty():
-            roots = _rounds(docs, words, members, held)
+        roots = None if held.isEmpty() else _rounds(docs, words, members, held)
     if roots is None:
         return members.withColumn("root", F.col("fp"))
     return members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -342,14 +340,20 @@ def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) ->
     pairs = written(best.select(F.col("fp").alias("a"), F.col("hub").alias("b")), "pairs")
     links = written(verified(pairs, sets), "links")
     roots = components(links, "roots")
-    hubs, peeled = HUBS, 0
+    discard(pairs)
+    discard(links)
+    hubs, peeled, last = HUBS, 0, held
     while True:
         # segments that still join classes of different components
         now = held.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         # a pair's first shared entry stays open until the pair is compared or linked, so nothing is lost by passing over others
         open_ = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter(f"x < y and size > {peeled + 1}").select("sig")
         now = written(now.join(open_, "sig"), "open")
+        discard(last)
+        last = now
         if now.isEmpty():
+            for done in (now, sets, sketches):
+                discard(done)
             return roots
         order = F.row_number().over(_by_sig())
         ranked = now.withColumn("at", order).join(sketches, "fp")
@@ -357,15 +361,21 @@ def _rounds(docs: DataFrame, words: int, members: DataFrame, held: DataFrame) ->
         pairs = ranked.join(middle, "sig").filter("at > hat and root != hroot").filter(fits).filter("not arrays_overlap(before, hbefore)").filter(close)
         pairs = written(pairs.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct(), "pairs")
         new = written(verified(pairs, sets), "links")
+        discard(pairs)
         if not new.isEmpty():
             known = roots.select("node", "root")
             of = known.withColumnsRenamed({"node": "b", "root": "rb"})
             lifted = new.join(known.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(of, "b", "left")
             ends = lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-            merged = components(written(ends.filter("a != b"), "ends"), "merged").withColumnRenamed("root", "to")
+            ends = written(ends.filter("a != b"), "ends")
+            parts = components(ends, "merged")
+            merged = parts.withColumnRenamed("root", "to")
             old = known.join(merged.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             fresh = merged.join(known, "node", "left_anti").select("node", F.col("to").alias("root"))
-            roots = written(old.union(fresh), "roots")
+            former, roots = roots, written(old.union(fresh), "roots")
+            for done in (ends, parts, former):
+                discard(done)
+        discard(new)
         held = now.select("sig", "fp", "n", "own", "before")
         peeled += hubs
         hubs *= 4
@@ -415,7 +425,9 @@ def deduplicated(docs: DataFrame, words: int = WORDS, nulls: bool = False) -> Da
     out = only(docs, kept.select("doc_id"))
     if not kept.filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
-    if nulls and not of.filter("doc_id is null").isEmpty():
+    if not nulls or of.filter("doc_id is null").isEmpty():
+        discard(of)
+    else:
         lone = named.filter("doc_id is null and (root is null or component_id is null and fp = root)").select(F.col("fp").alias("_fp")).distinct()
         bare = _with_fp(docs.filter("doc_id is null"), words).join(lone, F.expr("fp_of_row <=> _fp")).drop("_fp")
         first = bare.filter("fp_of_row is not null").dropDuplicates(["fp_of_row"]).unionAll(bare.filter("fp_of_row is null"))
