@@ -1,16 +1,17 @@
 """Nearest neighbours by cosine from balanced posting lists.
 
-Centroids come from spherical k-means on a bounded sample (SAMPLE vectors by hash of the id); there are at most LISTS of
-them, so they fit in every task. Every vector is then indexed: a vector near a boundary goes to several lists, up to
-REPLICAS whose distance is within BOUNDARY of its nearest. Long lists are dealt to chunks of CHUNK vectors and popular
-ones to groups of CHUNK queries, so a hot vector or list never meets in one task. A query walks a neighbour graph of the
-centroids from a fixed start, keeps the lists whose distance is within PRUNE times its nearest (at most SHARE of all,
-LEAST_LISTS at least), and is compared with these lists' vectors; scores are exact cosines of the original vectors in
-double precision. What is approximate is only which lists are read.
-
-Vectors that are null, zero, of another length than the largest, or hold null or non-finite components take no part, nor
-do rows without id. Ties go to the smaller id; repeated rows count once; fewer candidates than k are all returned; an
-empty table gives no rows; extra columns are ignored.
+Centroids come from spherical k-means on a bounded sample (SAMPLE vectors a list, by hash of the id); there is one for every
+LIST_SIZE vectors, at most LISTS, so they fit in every task. Every vector is then indexed: a vector near a boundary goes to
+several lists, up to REPLICAS whose distance is within BOUNDARY of its nearest. Long lists are dealt to chunks of CHUNK
+vectors and popular ones to groups of CHUNK queries, so a hot vector or list never meets in one task. A query walks a
+neighbour graph of the centroids from a fixed start, keeps of the READ nearest lists those whose distance is within PRUNE
+times its nearest, and is compared with these lists' vectors; scores are exact cosines of the original vectors in
+double precision. What is approximate is only which lists are read; READ does not grow with the table.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id. A query is
+compared with vectors of its own length, each length having an index of its own. Ties go to the smaller id; repeated rows
+count once; of several vectors under one id the nearest counts; fewer candidates than k are all returned; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy_shuffles, written
+from .common import discard, tidy_shuffles, written
 
-SAMPLE, LISTS, LIST_SIZE = 20_000, 4096, 256
-REPLICAS, BOUNDARY = 4, 1.25
-PRUNE, SHARE, LEAST_LISTS = 1.3, 0.25, 48
+SAMPLE, LISTS, LIST_SIZE = 5, 16_384, 256
+REPLICAS, BOUNDARY = 3, 1.2
+PRUNE, READ = 1.3, 42
 DEGREE, BEAM = 16, 8
 CHUNK = 2048
 ROUNDS = 8
@@ -37,8 +38,7 @@ def valid(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     rows = df.select(F.col(id_column).cast("long").alias("id"), v.alias("vector")).filter("id is not null and vector is not null")
     rows = rows.filter("forall(vector, x -> coalesce(abs(x) < double('Infinity'), false)) and exists(vector, x -> x != 0)")
-    size = rows.agg(F.max(F.size("vector"))).first()[0]
-    return rows.filter(F.size("vector") == F.lit(size or 0)).dropDuplicates(["id", "vector"])
+    return rows.dropDuplicates(["id", "vector"])
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ class Lists:
 
     def probes(self, q: np.ndarray, k: int) -> list[int]:
         n = len(self.centroid)
-        order = self.walk(q, min(n, max(LEAST_LISTS, int(SHARE * n))))
+        order = self.walk(q, min(n, READ))
         distance = np.sqrt(np.maximum(0, 2 - 2 * (self.centroid[order] @ q)))
         keep = [c for c, d in zip(order, distance) if d <= PRUNE * distance[0] + 1e-12]
         held = self.size[keep].sum()
@@ -117,26 +117,40 @@ class Lists:
         return keep
 
 
-def _lists(rows: DataFrame) -> Lists | None:
+def _lists(rows: DataFrame) -> Lists:
     n = rows.count()
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    some = rows.filter(h < int((1 << 30) * min(1.0, 1.5 * SAMPLE / max(1, n))))  # so no task sends many
-    drawn = some.orderBy(h, "id").limit(SAMPLE).select("vector").collect()
-    if not drawn:
-        return None
     lists = max(1, min(LISTS, n // LIST_SIZE))
-    return Lists(unit(np.array([r["vector"] for r in drawn], float)), lists)
+    wanted = SAMPLE * max(lists, 1000)
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    some = rows.filter(h < int((1 << 30) * min(1.0, 1.5 * wanted / max(1, n))))  # so no task sends many
+    drawn = some.orderBy(h, "id").limit(wanted).select("vector").toArrow()["vector"]
+    return Lists(unit(matrix(drawn.combine_chunks())), lists)
 
 
 def nearest(df: DataFrame, queries: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for the rows that satisfy `queries`, the k nearest other rows found."""
     spark = df.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     with tidy_shuffles(spark):
-        rows = written(valid(df, id_column, vector), "vectors")
+        every = written(valid(df, id_column, vector).withColumn("dim", F.size("vector")), "vectors")
+        asked = every.withColumnRenamed("id", id_column).filter(queries).withColumnRenamed(id_column, "id")
+        dims = sorted(r["dim"] for r in asked.select("dim").distinct().collect())
+    found = spark.createDataFrame([], FOUND)
+    for dim in dims:
+        found = found.union(_found(every.filter(F.col("dim") == dim).drop("dim"), asked.filter(F.col("dim") == dim).drop("dim"), k))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {int(k)}")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _found(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Of vectors and queries of one length: the k nearest of each list that a query reads."""
+    spark = rows.sparkSession
+    with tidy_shuffles(spark):
         lists = _lists(rows)
-        if lists is None:
-            return spark.createDataFrame([], schema)
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -163,7 +177,6 @@ def nearest(df: DataFrame, queries: str, k: int = 5, id_column: str = "vec_id",
                 raw = [x.tobytes() for x in v]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(probes).astype(np.int64)), b.column(0).take(pa.array(at)), pa.array(raw, pa.binary()).take(pa.array(at))], names=["list", "id", "raw"])
 
-        asked = rows.withColumnRenamed("id", id_column).filter(queries).withColumnRenamed(id_column, "id")
         tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         routed = written(asked.repartition(tasks).mapInArrow(route, "list long, id long, raw binary"), "routed")
         wanted = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
@@ -173,10 +186,10 @@ def nearest(df: DataFrame, queries: str, k: int = 5, id_column: str = "vec_id",
         asks = routed.join(grid, "list").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("asks", F.lit(1))
         columns = ["list", "chunk", "group", "asks", "id", "raw"]
         both = base.select(columns).union(asks.select(columns)).repartition(tasks, "list", "chunk", "group").sortWithinPartitions("list", "chunk", "group", "asks", "id")
-        found = written(both.mapInArrow(lambda batches: _compare(batches, k), "query_id long, vec_id long, score double"), "found")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(f"rank <= {int(k)}")
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = written(both.mapInArrow(lambda batches: _compare(batches, k), FOUND), "found")
+        discard(posted)
+        discard(routed)
+    return found
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

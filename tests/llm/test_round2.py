@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from assayloom.llm import bytewords, jaccard, mixing, pii, toxicity
+from assayloom.llm import ann, bytewords, jaccard, mixing, pii, toxicity
 
 # -- words ------------------------------------------------------------------------------------------------------
 
@@ -123,3 +123,24 @@ def test_mixed_documents_come_in_mixed_order(spark):
     out = [r["source"] for r in mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
     turns = sum(a != b for a, b in zip(out, out[1:]))
     assert turns > 0.4 * len(out)  # sources alternate, they do not come one after the other
+
+
+# -- op9 --------------------------------------------------------------------------------------------------------
+
+
+def test_ann_compares_vectors_of_one_length_and_counts_an_id_once(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, rng.normal(size=20).tolist()), (1050, v[50, :5].tolist()), (1051, v[50, :5].tolist()), (7, (v[0] * 3).tolist())]
+    got = collections.defaultdict(list)
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit("x")), "vec_id % 50 = 0", k=3).collect()
+    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == {*range(0, 400, 50), 1050} and got[1050] == [1051]
+    assert all(len(set(x)) == 3 for q, x in got.items() if q < 400) and got[0][0] == 7
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(50, 400, 50):
+        s = u @ u[q]
+        s[7] = max(s[7], u[0] @ u[q])
+        s[q] = -9
+        assert got[q] == np.argsort(-s)[:3].tolist()
