@@ -7,6 +7,8 @@ not blank) pass over others. All of it is DataFrame expressions; a violation que
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,12 @@ FALLEN = ("invalidated", "superseded")
 DEPENDENT = ("supports", "refines", "closes")
 
 FRONT = r"(?s)^﻿?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)$"
-IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
-HTML_IMAGE = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
-MENTION = r"(?i)\bfindings?\s+#?([0-9]{4})\b"
+SHOWN = r"!\[(?:[^\]\\]|\\.)*+\]\(\s*+(<[^>]*+>[^)]*+|[^)]++)\)"  # Markdown: a bracketed caption, then the target, in angle brackets or plain
+EMBEDDED = [rf"(?i)<img\b[^>]*?\bsrc\s*+=\s*+{q}([^{q}]++){q}" for q in ('"', "'")]  # HTML, in either kind of quotes
+MENTION = r"(?i)(?<!\w)finding(?:s)?\s++(?:#)?(\d{4})(?!\w)"  # a finding is cited by its four-digit number
 LINK_TEXT, LINK_TARGET = r"\[([^\]]*)\]\([^)]+\)", r"\[[^\]]*\]\(([^)]+)\)"
-LAYOUT = r"^figures/(?:metadata/[^/]+/(?:[^/]+/)?|qc/[^/]+/(?:[^/]+/)?|analysis/[^/]+/[^/]+/)[^/]+$"
+# Kinds of figures, and how many folders (least, most) lie between the kind's and the file.
+LAYOUT = {"metadata": (1, 2), "qc": (1, 2), "analysis": (2, 2)}
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
@@ -48,6 +51,14 @@ def relative(target: Column) -> Column:
     return F.when(path.startswith("figures/") & ~absolute, path)
 
 
+def laid_out(path: Column) -> Column:
+    """Whether a figure lies as deep below the folder of its kind as LAYOUT has it."""
+    parts = F.split(path, "/")
+    depth = F.size(parts) - 3
+    kinds = [(F.get(parts, F.lit(1)) == kind) & depth.between(least, most) for kind, (least, most) in LAYOUT.items()]
+    return (F.get(parts, F.lit(0)) == "figures") & F.coalesce(reduce(lambda a, b: a | b, kinds), F.lit(False)) & ~F.exists(parts, lambda x: x == "")
+
+
 def parsed(docs: DataFrame) -> DataFrame:
     """docs with the parts of each document: front matter fields, listed and shown figures, mentions and links."""
     p = docs.withColumn("front", F.regexp_extract("content", FRONT, 1)).withColumn("body", F.regexp_extract("content", FRONT, 2))
@@ -58,7 +69,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     p = p.withColumn("id", F.when(number != "", number.cast("int"))).withColumn("integrity_signoff", F.coalesce(F.lower(field("integrity_signoff")) == "true", F.lit(False)))
     quoted = r"""(?m)^[ \t{,-]*(?<![A-Za-z_])%s:[ \t]*["']?([^"'\s,}]+)"""
     p = p.withColumn("listed", all_of(F.col("front"), quoted % "png")).withColumn("listed_legends", all_of(F.col("front"), quoted % "legend_png"))
-    p = p.withColumn("shown", F.array_distinct(F.concat(all_of(F.col("body"), IMAGE), all_of(F.col("body"), HTML_IMAGE))))
+    p = p.withColumn("shown", F.array_distinct(F.concat(*[all_of(F.col("body"), pattern) for pattern in (SHOWN, *EMBEDDED)])))
     p = p.withColumn("mentions", F.array_distinct(all_of(F.col("body"), MENTION)))
     links = F.arrays_zip(all_of(F.col("body"), LINK_TEXT).alias("text"), all_of(F.col("body"), LINK_TARGET).alias("target"))
     p = p.withColumn("links", links)
@@ -87,7 +98,7 @@ def violations(p: DataFrame, gate_passed: bool = False, structured: bool = False
         at(F.array_except(shown, known(F.col("listed"))), lambda r: ~is_legend(r)),
         F.filter(F.array_except("mentions", credited), lambda m: ~F.coalesce(m == own, F.lit(False))),
         F.concat(F.filter("listed_legends", lambda x: ~F.coalesce(F.array_contains(shown, relative(x)), F.lit(False))), at(F.array_except(shown, known(F.col("listed_legends"))), is_legend)),
-        F.filter(paths, lambda r: ~r.rlike(LAYOUT)) if structured else none,
+        F.filter(paths, lambda r: ~laid_out(r)) if structured else none,
     ]
     numbered = lambda details, rule: F.transform(details, lambda d: F.struct(F.lit(rule).alias("rule"), d.alias("detail")))
     parts = [numbered(F.when(whole, r).otherwise(none) if i > 1 else r, i + 1) for i, r in enumerate(rules)]

@@ -7,10 +7,11 @@ estimator reports nested out-of-fold scores, a fit on all data with a stability
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import LOG_SCALES, Dataset, Refusal, require_finite
-from ..functions.special import t_two_sided
+from ..functions.special import t_quantile, t_two_sided
 
 C_GRID = tuple(10.0**k for k in (-3, -2, -1, 0, 1))
 L1_GRID = (0.1, 0.5, 0.9)
@@ -200,12 +201,13 @@ def svm(x: np.ndarray, y: np.ndarray, c: float, sweeps: int = 200) -> tuple[np.n
 
 
 def ledoit_wolf(gram: np.ndarray, p: int) -> float:
-    """Shrinkage intensity of n centred rows from their Gram matrix."""
+    """Ledoit and Wolf's (2004) shrinkage of n centred rows: the sampling error of their covariance S over its squared distance
+    from the scaled identity. All norms come from the Gram matrix, whose squares sum to n^2 |S|^2."""
     n = len(gram)
-    trace, b, sq = np.trace(gram) / n, (np.diag(gram) ** 2).sum(), (gram**2).sum() / n**2
-    mu = trace / p
-    beta, delta = (b / n - sq) / (p * n), (sq - 2 * mu * trace + p * mu * mu) / p
-    return 0.0 if beta <= 0 or delta <= 0 else min(beta, delta) / delta
+    norm, eigenvalue = (gram * gram).sum() / n**2, np.trace(gram) / (n * p)
+    distance = norm - p * eigenvalue**2
+    error = (np.square(np.diag(gram)).mean() - norm) / n
+    return float(min(error, distance) / distance) if min(error, distance) > 0 else 0.0
 
 
 def lda(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
@@ -295,15 +297,19 @@ def tree_scores(tree, code: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Estimator:
-    """fit(x, y, cell) gives a function of x and the coefficients (or importances)."""
+    """fit(x, y, cell) gives a function of x and the coefficients (or importances); a cell takes a value of each axis."""
 
     name: str
-    cells: tuple[tuple[float, ...], ...]
+    axes: tuple[tuple[float, ...], ...]
     fit: Callable[[np.ndarray, np.ndarray, tuple[float, ...]], tuple[Callable[[np.ndarray], np.ndarray], np.ndarray]]
     regression: bool = False
     dense: bool = False
     any_scale: bool = False
 
+    @property
+    def cells(self) -> tuple[tuple[float, ...], ...]:
+        return tuple(itertools.product(*self.axes))
+
 
 def _linear(solver: Callable, scale: bool = True) -> Callable:
     def fit(x: np.ndarray, y: np.ndarray, cell: tuple[float, ...]):
@@ -324,12 +330,13 @@ def _trees(x: np.ndarray, y: np.ndarray, cell: tuple[float, ...]):
     return score, shares
 
 
+DEPTHS, RATES, TREES = (2.0, 3.0, 4.0, 5.0), (0.03, 0.1, 0.3), (300.0,)
 ESTIMATORS = {
-    "elastic_net": Estimator("elastic_net", tuple((c, l) for c in C_GRID for l in L1_GRID), _linear(logistic)),
-    "svm": Estimator("svm", tuple((c,) for c in SVM_GRID), _linear(svm), dense=True),
-    "lda": Estimator("lda", ((),), _linear(lda, scale=False), dense=True),
-    "trees": Estimator("trees", tuple((d, r, 60.0) for d in (2, 3) for r in (0.1, 0.3)), _trees, any_scale=True),
-    "regression": Estimator("regression", tuple((a, l) for a in ALPHA_GRID for l in L1_GRID), _linear(elastic_net), regression=True),
+    "elastic_net": Estimator("elastic_net", (C_GRID, L1_GRID), _linear(logistic)),
+    "svm": Estimator("svm", (SVM_GRID,), _linear(svm), dense=True),
+    "lda": Estimator("lda", (), _linear(lda, scale=False), dense=True),
+    "trees": Estimator("trees", (DEPTHS, RATES, TREES), _trees, any_scale=True),
+    "regression": Estimator("regression", (ALPHA_GRID, L1_GRID), _linear(elastic_net), regression=True),
 }
 
 
@@ -346,26 +353,56 @@ def rank_auc(y: np.ndarray, score: np.ndarray) -> float:
     return (rank[y[order] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
 
 
-def quality(est: Estimator, y: np.ndarray, score: np.ndarray) -> float:
-    if not est.regression:
-        return rank_auc(y, score)
+def average_precision(y: np.ndarray, score: np.ndarray) -> float:
+    """Precision at each score, weighed by the recall it adds; equal scores are one step."""
+    order = np.argsort(-score, kind="stable")
+    hits, last = np.cumsum(y[order] == 1), np.append(np.diff(score[order]) != 0, True)
+    if not len(y) or not hits[-1]:
+        return math.nan
+    found, seen = hits[last], np.nonzero(last)[0] + 1
+    return float((np.diff(found, prepend=0) * found / seen).sum() / hits[-1])
+
+
+def balanced_accuracy(y: np.ndarray, score: np.ndarray) -> float:
+    up = score > 0
+    return ((up[y == 1]).mean() + (~up[y == 0]).mean()) / 2
+
+
+def explained(y: np.ndarray, score: np.ndarray) -> float:
     spread = ((y - y.mean()) ** 2).sum()
     return 1 - ((y - score) ** 2).sum() / spread if spread > 0 else math.nan
 
 
-def tuned(est: Estimator, x: np.ndarray, y: np.ndarray, groups: np.ndarray | None, n_splits: int, seed: int) -> tuple[float, ...]:
-    """Best cell by inner folds (grouped if the outer ones are); the first of the best, so the smallest penalty strength."""
-    if len(est.cells) == 1:
-        return est.cells[0]
-    inner = folds(y, groups, n_splits, 1, seed, not est.regression)[0]
-    total = np.zeros(len(est.cells))
-    for f in range(n_splits):
-        a, b = inner != f, inner == f
-        if not est.regression and len(np.unique(y[b])) < 2:
-            raise Refusal("an inner test fold has a single class")
-        for i, cell in enumerate(est.cells):
-            total[i] += quality(est, y[b], est.fit(x[a], y[a], cell)[0](x[b]))
-    return est.cells[int(np.argmax(np.where(np.isnan(total), -np.inf, total) >= np.nanmax(total) - 1e-6))]
+# What a cell may be chosen by, and whether the target is a number.
+METRICS: dict[str, tuple[Callable[[np.ndarray, np.ndarray], float], bool]] = {
+    "auc": (rank_auc, False),
+    "average_precision": (average_precision, False),
+    "balanced_accuracy": (balanced_accuracy, False),
+    "r2": (explained, True),
+    "neg_rmse": (lambda y, score: -float(np.sqrt(np.square(y - score).mean())), True),
+}
+
+
+def quality(est: Estimator, y: np.ndarray, score: np.ndarray) -> float:
+    return explained(y, score) if est.regression else rank_auc(y, score)
+
+
+def chosen(est: Estimator, scores: np.ndarray, select: str = "best") -> int:
+    """The cell of the best score, or of the best mean of itself and its neighbours along each axis; the first of equals in the
+    order of the grid. Cells without a score are never chosen, nor count as neighbours."""
+    if np.isnan(scores).all():
+        raise Refusal("no cell of the grid has a score")
+    if select == "smoothed" and est.axes:
+        field_ = scores.reshape([len(a) for a in est.axes])
+        padded = np.pad(field_, 1, constant_values=np.nan)
+        inner = tuple(slice(1, -1) for _ in est.axes)
+        near = [padded[inner]] + [np.roll(padded, d, k)[inner] for k in range(field_.ndim) for d in (1, -1)]
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # a cell without any scored neighbour stays without a score
+            scores = np.where(np.isnan(scores), np.nan, np.nanmean(near, axis=0).ravel())
+    elif select not in ("best", "smoothed"):
+        raise Refusal(f"unknown choice {select!r}")
+    return int(np.argmax(np.where(np.isnan(scores), -np.inf, scores) >= np.nanmax(scores) - 1e-9))
 
 
 # -- the grid ---------------------------------------------------------------------------------------------------
@@ -373,7 +410,8 @@ def tuned(est: Estimator, x: np.ndarray, y: np.ndarray, groups: np.ndarray | Non
 
 @dataclass(frozen=True)
 class Fitted:
-    """predictions(repeat, fold, sample_ord, y, score), coefficients(feature, ...), null(perm, score) and their summary."""
+    """predictions(repeat, fold, sample_ord, y, score), performance by fold and its summary, coefficients(feature, ...),
+    grid(cell, score: the inner mean on all data) and null(perm, score)."""
 
     estimator: str
     outcome: str
@@ -385,6 +423,9 @@ class Fitted:
     cell: tuple[float, ...]
     seed: int
     n: int
+    summary: dict = field(default_factory=dict)
+    grid: DataFrame | None = None
+    positive: str | None = None
     extra: dict = field(default_factory=dict)
 
     @property
@@ -392,26 +433,40 @@ class Fitted:
         return self.null is not None
 
 
+def matrix(ds: Dataset, ids: list, names: list) -> np.ndarray:
+    """Samples x features as one array: of one study, so bounded; cells come as numbers, not as row objects."""
+    spark = ds.values.sparkSession
+    rows = spark.createDataFrame(list(zip(ids, range(len(ids)))), ds.samples.select("sample_id").withColumn("i", F.lit(0)).schema)
+    cols = spark.createDataFrame(list(zip(names, range(len(names)))), ds.features.select("feature_id").withColumn("j", F.lit(0)).schema)
+    cells = ds.values.join(F.broadcast(rows), "sample_id").join(F.broadcast(cols), "feature_id").select("i", "j", F.col("value").cast("double").alias("v")).toArrow()
+    x = np.zeros((len(ids), len(names)))
+    x[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
+    return x
+
+
 def run(
     ds: Dataset, outcome: str, estimator: str = "elastic_net", *, binarize: Threshold | LevelMap | None = None, positive: str | None = None, groups: str | None = None,
     feature_list: list[str] | None = None, n_splits: int = 5, n_repeats: int = 2, stability_repeats: int = 2, n_permutations: int = 0, permute: str = "rows", top_k: int = 20, seed: int = 0,
+    axes: tuple[tuple[float, ...], ...] | None = None, select: str = "best", tuning_metric: str | None = None,
 ) -> Fitted:
-    """Nested performance, fit on all data with stability, and a shuffle null of n_permutations (0: none)."""
-    est = ESTIMATORS[estimator]
+    """Nested performance, fit on all data with stability, and a shuffle null of n_permutations (0: none).
+
+    Every cell of the grid on every inner fold is a task of its own; then every outer, stability and null fit is one.
+    """
+    est = ESTIMATORS[estimator] if axes is None else replace(ESTIMATORS[estimator], axes=axes)
+    metric, numeric = METRICS[tuning_metric or ("r2" if est.regression else "auc")]
+    if numeric != est.regression:
+        raise Refusal(f"{tuning_metric} does not suit {estimator}")
     require_finite(ds, "models")
     if ds.scale not in LOG_SCALES and not est.any_scale:
         warnings.warn(f"the {ds.scale} scale suits {estimator} badly", ModelScaleWarning, stacklevel=2)
-    samples = ds.samples.filter(F.col(outcome).isNotNull()).withColumn("y", F.col(outcome).cast("double")) if est.regression else labelled(ds.samples, outcome, binarize, positive)
+    number = F.col(outcome).try_cast("double")
+    samples = ds.samples.withColumn("y", number).filter(F.abs(number) < float("inf")) if est.regression else labelled(ds.samples, outcome, binarize, positive)
     ds = varying(prior_features(ds, feature_list))
-    meta = samples.orderBy("sample_ord").select("sample_id", "sample_ord", "y", *([F.col(groups).cast("string").alias("g")] if groups else [])).collect()
-    at = {r["sample_id"]: i for i, r in enumerate(meta)}
+    meta = samples.orderBy("sample_ord").select("sample_id", "sample_ord", "y", F.col(outcome).cast("string").alias("level"), *([F.col(groups).cast("string").alias("g")] if groups else [])).collect()
     names = [r[0] for r in ds.features.orderBy("feature_ord").select("feature_id").collect()]
-    col = {f: j for j, f in enumerate(names)}
     y = np.array([r["y"] for r in meta], float if est.regression else int)
-    x = np.zeros((len(meta), len(names)))
-    # the matrix of a model is samples x features of one study: bounded, and broadcast once
-    for r in ds.values.join(samples.select("sample_id"), "sample_id", "left_semi").collect():
-        x[at[r["sample_id"]], col[r["feature_id"]]] = r["value"]
+    x = matrix(ds, [r["sample_id"] for r in meta], names)
     g = None
     if groups:
         g = np.array([r["g"] for r in meta], object)
@@ -426,47 +481,60 @@ def run(
         check_sizes(y, g, n_splits)
     outer = folds(y, g, n_splits, n_repeats, seed, not est.regression)
     spark = ds.values.sparkSession
-    cell = tuned(est, x, y, g, n_splits, seed)
-    shared = spark.sparkContext.broadcast((x, y, g, outer))
-    tasks = [("nested", r, f, 0) for r in range(n_repeats) for f in range(n_splits)] + [("stability", r, f, 0) for r in range(stability_repeats) for f in range(n_splits)] + [("null", 0, 0, k) for k in range(n_permutations)]
     rng = np.random.default_rng(seed + 1)
     shuffles = [permuted(y, g, permute, rng) for _ in range(n_permutations)]
     stable = folds(y, g, n_splits, max(1, stability_repeats), seed + 1000, not est.regression)
+    shared = spark.sparkContext.broadcast((x, y, g, outer, stable, np.array(shuffles)))
+
+    def part(r: int, f: int) -> tuple[np.ndarray, int]:
+        """Training rows of an outer fold (all of them for repeat -1) and the seed of its inner folds."""
+        return (outer[r] != f, seed + r) if r >= 0 else (np.ones(len(y), bool), seed)
+
+    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y, g, *_ = shared.value
+        for batch in batches:
+            out = []
+            for r, f, i, h in batch.itertuples(index=False):
+                a, start = part(r, f)
+                t, fold = y[a], folds(y[a], None if g is None else g[a], n_splits, 1, start, not est.regression)[0]
+                if not est.regression and len(np.unique(t[fold == h])) < 2:
+                    raise Refusal("an inner test fold has a single class")
+                z = x[a]
+                out.append((r, f, i, float(metric(t[fold == h], est.fit(z[fold != h], t[fold != h], est.cells[i])[0](z[fold == h])))))
+            yield pd.DataFrame(out, columns=["repeat", "fold", "cell", "score"])
+
+    outers = [(-1, 0)] + [(r, f) for r in range(n_repeats) for f in range(n_splits)]
+    best, scores = dict.fromkeys(outers, 0), {}
+    if len(est.cells) > 1:
+        tasks = [(r, f, i, h) for r, f in outers for i in range(len(est.cells)) for h in range(n_splits)]
+        done = _spread(spark, tasks, "repeat int, fold int, cell int, inner int").mapInPandas(inner, "repeat int, fold int, cell int, score double")
+        for r in done.groupBy("repeat", "fold", "cell").agg(F.avg("score").alias("score")).collect():
+            scores.setdefault((r["repeat"], r["fold"]), np.full(len(est.cells), np.nan))[r["cell"]] = r["score"]
+        best = {k: chosen(est, v, select) for k, v in scores.items()}
+    cell = est.cells[best[-1, 0]]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, g, outer = shared.value
+        x, y, g, outer, stable, shuffles = shared.value
         for batch in batches:
             out = []
             for kind, r, f, k in batch.itertuples(index=False):
                 if kind == "nested":
                     a = outer[r] != f
-                    best = tuned(est, x[a], y[a], None if g is None else g[a], n_splits, seed + r)
-                    score = est.fit(x[a], y[a], best)[0](x[~a])
+                    score = est.fit(x[a], y[a], est.cells[best[r, f]])[0](x[~a])
                     out += [(kind, r, f, int(i), float(y[i]), float(v)) for i, v in zip(np.nonzero(~a)[0], score)]
                 elif kind == "stability":
                     a = stable[r] != f
                     out += [(kind, r, f, j, 0.0, float(v)) for j, v in enumerate(est.fit(x[a], y[a], cell)[1])]
                 else:
-                    s = np.asarray(shuffles[k])
-                    parts = [(quality(est, s[outer[0] == h], est.fit(x[outer[0] != h], s[outer[0] != h], cell)[0](x[outer[0] == h]))) for h in range(n_splits)]
+                    s = shuffles[k]
+                    parts = [quality(est, s[outer[0] == h], est.fit(x[outer[0] != h], s[outer[0] != h], cell)[0](x[outer[0] == h])) for h in range(n_splits)]
                     out.append((kind, k, 0, 0, 0.0, float(np.mean(parts))))
             yield pd.DataFrame(out, columns=["kind", "repeat", "fold", "at", "y", "score"])
 
-    grid = spark.createDataFrame(tasks, "kind string, repeat int, fold int, perm int").repartition(max(1, min(len(tasks), spark.sparkContext.defaultParallelism)))
-    done = grid.mapInPandas(work, "kind string, repeat int, fold int, at int, y double, score double")
-    rows = done.collect()
+    tasks = [("nested", r, f, 0) for r, f in outers[1:]] + [("stability", r, f, 0) for r in range(stability_repeats) for f in range(n_splits)] + [("null", 0, 0, k) for k in range(n_permutations)]
+    rows = _spread(spark, tasks, "kind string, repeat int, fold int, perm int").mapInPandas(work, "kind string, repeat int, fold int, at int, y double, score double").collect()
     predictions = spark.createDataFrame([(r["repeat"], r["fold"], meta[r["at"]]["sample_ord"], r["y"], r["score"]) for r in rows if r["kind"] == "nested"], "repeat int, fold int, sample_ord int, y double, score double")
-    per_fold: dict = {}
-    for r in rows:
-        if r["kind"] == "nested":
-            per_fold.setdefault((r["repeat"], r["fold"]), []).append((r["y"], r["score"]))
-    metric = []
-    for (r, f), v in sorted(per_fold.items()):
-        t, s = (np.array(c) for c in zip(*v))
-        if not est.regression and len(np.unique(t)) < 2:
-            raise Refusal("an outer test fold has a single class")
-        metric.append((r, f, float(quality(est, t, s)), float(balanced_accuracy(t, s)) if not est.regression else float(np.sqrt(((t - s) ** 2).mean()))))
-    performance = spark.createDataFrame(metric, "repeat int, fold int, score double, second double")
+    performance, summary = _performance(spark, est, [r for r in rows if r["kind"] == "nested"])
     coefficients = coefficient_table(spark, names, est, [r for r in rows if r["kind"] == "stability"], est.fit(x, y, cell)[1], top_k)
     nulls = [r["score"] for r in rows if r["kind"] == "null"]
     null = p = None
@@ -476,24 +544,49 @@ def run(
         observed = float(np.mean([quality(est, y[outer[0] == h], est.fit(x[outer[0] != h], y[outer[0] != h], cell)[0](x[outer[0] == h])) for h in range(n_splits)]))
         null = spark.createDataFrame([(k, float(v)) for k, v in enumerate(nulls)], "perm int, score double")
         p = (sum(v >= observed for v in nulls) + 1) / (len(nulls) + 1)
-    extra = {}
     if estimator == "lda" and (lam := lda(x, y)[2]) >= 0.95:
         warnings.warn(f"shrinkage {lam:.2f}: little covariance is left", ShrinkageSaturationWarning, stacklevel=2)
     if estimator == "svm" and cell in (est.cells[0], est.cells[-1]):
         warnings.warn("the best C lies at an edge of the grid", CGridEdgeWarning, stacklevel=2)
-    return Fitted(estimator, outcome, predictions, performance, coefficients, null, p, cell, seed, len(y), extra)
+    grid = spark.createDataFrame([([float(v) for v in c], float(v)) for c, v in zip(est.cells, scores.get((-1, 0), [math.nan]))], "cell array<double>, score double")
+    up = None if est.regression else str(binarize) if binarize is not None else next((r["level"] for r in meta if r["y"] == 1), None)
+    return Fitted(estimator, outcome, predictions, performance, coefficients, null, p, cell, seed, len(y), summary, grid, up)
 
 
-def balanced_accuracy(y: np.ndarray, score: np.ndarray) -> float:
-    up = score > 0
-    return ((up[y == 1]).mean() + (~up[y == 0]).mean()) / 2
+def _spread(spark, tasks: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(tasks, schema).repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
+
+
+def _performance(spark, est: Estimator, rows: list) -> tuple[DataFrame, dict]:
+    """Scores by fold; their mean and population SD; and the scores of each repeat's folds taken together, and of all."""
+    per: dict = {}
+    for r in rows:
+        per.setdefault((r["repeat"], r["fold"]), []).append((r["y"], r["score"]))
+    per = {k: tuple(np.array(c) for c in zip(*v)) for k, v in sorted(per.items())}
+    if not est.regression and any(len(np.unique(t)) < 2 for t, _ in per.values()):
+        raise Refusal("an outer test fold has a single class")
+    second = (lambda t, s: float(np.sqrt(np.square(t - s).mean()))) if est.regression else balanced_accuracy
+    third = (lambda t, s: None) if est.regression else average_precision
+    metric = [(r, f, float(quality(est, t, s)), float(second(t, s)), third(t, s)) for (r, f), (t, s) in per.items()]
+    pooled = lambda keys: float(quality(est, *(np.concatenate([per[k][i] for k in keys]) for i in (0, 1))))
+    summary = {name: (float(np.mean(v)), float(np.std(v))) for name, v in zip(("score", "second", "average_precision"), zip(*[m[2:] for m in metric])) if v[0] is not None}
+    summary["by_repeat"] = [pooled([k for k in per if k[0] == r]) for r in sorted({k[0] for k in per})]
+    summary["pooled"] = pooled(list(per))
+    return spark.createDataFrame(metric, "repeat int, fold int, score double, second double, average_precision double"), summary
+
+
+def averaged(predictions: DataFrame) -> DataFrame:
+    """Held-out scores averaged over repeats: one row per sample."""
+    return predictions.groupBy("sample_ord").agg(F.first("y").alias("y"), F.avg("score").alias("score"), F.count("*").alias("folds"))
 
 
 def permuted(y: np.ndarray, groups: np.ndarray | None, how: str, rng: np.random.Generator) -> np.ndarray:
-    """Labels shuffled over rows, over whole units (which must be of one label), or within each unit."""
+    """Labels shuffled over rows, over whole units (which must be of one label; of numbers, their means), or within each unit."""
     if how == "rows" or groups is None:
         return rng.permutation(y)
     codes = np.unique(groups, return_inverse=True)[1]
+    if how == "units" and y.dtype == float:
+        return rng.permutation(np.bincount(codes, weights=y) / np.bincount(codes))[codes]
     if how == "units":
         first = np.array([y[codes == u][0] for u in range(codes.max() + 1)])
         if any((y[codes == u] != first[u]).any() for u in range(len(first))):
@@ -561,46 +654,107 @@ def forest_importance(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rng:
     return total
 
 
-def boruta(ds: Dataset, target: str, *, iterations: int = 30, trees: int = 60, depth: int = 5, alpha: float = 0.05, perc: float = 100.0, seed: int = 0) -> DataFrame:
-    """feature, hits, importance, decision: real features against shuffled shadows (Kursa and Rudnicki 2010).
+class FewLevelsWarning(UserWarning):
+    pass
+
+
+@dataclass(frozen=True)
+class Selection:
+    """table(feature, hits, importance, decision, ranking), history(iteration, bar, live: features still in the forest), task."""
+
+    table: DataFrame
+    history: DataFrame
+    task: str
+
+
+def boruta(ds: Dataset, target: str, **options) -> DataFrame:
+    """The table of `select_features`."""
+    return select_features(ds, target, **options).table
+
 
-    Each iteration is a task; a feature's hits over iterations are tested as a binomial with Bonferroni correction.
+def select_features(
+    ds: Dataset, target: str, *, task: str = "auto", iterations: int = 30, trees: int = 60, depth: int = 5, alpha: float = 0.05, perc: float = 100.0, two_step: bool = True, every: int = 10, seed: int = 0,
+) -> Selection:
+    """Real features against shuffled shadows (Kursa and Rudnicki 2010).
+
+    An iteration is a task; after every `every` of them hits are tested as a binomial: with two_step, by false discovery rate
+    over the features and then by Bonferroni over the tests so far, else by Bonferroni over the features. Rejected features
+    leave the forest, confirmed ones stay in it but are tested no more. Confirmed features rank 1, tentative ones 2, rejected
+    ones from 3 on, the later retired and more important first.
     """
     require_finite(ds, "boruta")
     ds = varying(ds)
     meta = ds.samples.filter(F.col(target).isNotNull()).orderBy("sample_ord").select("sample_id", target).collect()
     values = [r[target] for r in meta]
     number = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
+    if task == "auto":
+        task = "regression" if number else "classification"
+        if number and 2 <= len(set(values)) <= 5:
+            warnings.warn(f"{target} is a number with few values: it is regressed on; name the task if classes are meant", FewLevelsWarning, stacklevel=3)
     levels = sorted({str(v) for v in values})
-    y = np.array(values, float) if number else np.array([levels.index(str(v)) for v in values], float)
+    if task == "classification":
+        if len(levels) < 2 or min(sum(str(v) == k for v in values) for k in levels) < 2:
+            raise Refusal(f"{target} needs two classes of two samples or more")
+        y = np.array([levels.index(str(v)) for v in values], float)
+    elif task == "regression" and number:
+        y = np.array(values, float)
+    else:
+        raise Refusal(f"{target} does not suit the task {task!r}")
     names = [r[0] for r in ds.features.orderBy("feature_ord").select("feature_id").collect()]
-    at, col = {r["sample_id"]: i for i, r in enumerate(meta)}, {f: j for j, f in enumerate(names)}
-    x = np.zeros((len(meta), len(names)))
-    for r in ds.values.collect():
-        if r["sample_id"] in at:
-            x[at[r["sample_id"]], col[r["feature_id"]]] = r["value"]
     spark = ds.values.sparkSession
-    shared = spark.sparkContext.broadcast((x, y))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = shared.value
-        for batch in batches:
-            for k in batch["id"]:
-                rng = np.random.default_rng(seed * 1000 + int(k))
-                shadow = np.column_stack([rng.permutation(c) for c in x.T])
-                imp = forest_importance(np.hstack([x, shadow]), y, trees, depth, rng)
-                bar = np.percentile(imp[len(names) :], perc)
-                yield pd.DataFrame({"j": np.arange(len(names)), "hit": (imp[: len(names)] > bar).astype(int), "importance": imp[: len(names)]})
-
-    done = spark.range(0, iterations, 1, min(iterations, spark.sparkContext.defaultParallelism)).mapInPandas(work, "j int, hit int, importance double")
-    per = {r["j"]: r for r in done.groupBy("j").agg(F.sum("hit").alias("hits"), F.avg("importance").alias("importance")).collect()}
-    tail = [math.fsum(math.comb(iterations, i) for i in range(h, iterations + 1)) / 2**iterations for h in range(iterations + 1)]
-    out = []
-    for j, f in enumerate(names):
-        h = int(per[j]["hits"])
-        up, down = tail[h] * len(names), (1 - (tail[h + 1] if h < iterations else 0)) * len(names)
-        out.append((str(f), h, float(per[j]["importance"]), "Confirmed" if up <= alpha else "Rejected" if down <= alpha else "Tentative"))
-    return spark.createDataFrame(out, "feature string, hits int, importance double, decision string")
+    shared = spark.sparkContext.broadcast((matrix(ds, [r["sample_id"] for r in meta], names), y))
+    p = len(names)
+    live, hits, total, state, retired, history = np.ones(p, bool), np.zeros(p, int), np.zeros(p), np.zeros(p, int), np.zeros(p, int), []
+    done = tests = 0
+    while done < iterations and (state == 0).any():
+        step, columns = min(every, iterations - done), np.nonzero(live)[0]
+
+        def work(batches: Iterator[pd.DataFrame], columns: np.ndarray = columns) -> Iterator[pd.DataFrame]:
+            x, y = shared.value
+            x = x[:, columns]
+            for batch in batches:
+                for k in batch["id"]:
+                    rng = np.random.default_rng(seed * 1000 + int(k))
+                    shadow = np.column_stack([rng.permutation(c) for c in x.T])
+                    imp = forest_importance(np.hstack([x, shadow]), y, trees, depth, rng)
+                    bar = np.percentile(imp[len(columns) :], perc)
+                    yield pd.DataFrame({"k": int(k), "j": columns, "hit": (imp[: len(columns)] > bar).astype(int), "importance": imp[: len(columns)], "bar": bar})
+
+        rows = spark.range(done, done + step, 1, min(step, spark.sparkContext.defaultParallelism)).mapInPandas(work, "k long, j int, hit int, importance double, bar double")
+        for r in _hits(rows, history, len(columns)):
+            hits[r["j"]] += r["hits"]
+            total[r["j"]] += r["importance"]
+        done, tests = done + step, tests + 1
+        tail = np.array([math.fsum(math.comb(done, i) for i in range(h, done + 1)) / 2.0**done for h in range(done + 2)])
+        open_ = np.nonzero(state == 0)[0]
+        for sign, q in ((1, tail[hits[open_]]), (-1, 1 - tail[hits[open_] + 1])):
+            passed = _fdr(q, alpha) & (q * tests <= alpha) if two_step else q * p <= alpha
+            state[open_[passed & (state[open_] == 0)]] = sign
+        retired[(state < 0) & live] = done
+        live &= state >= 0
+    mean = total / np.maximum(1, np.where(retired > 0, retired, done))
+    ranking = np.where(state > 0, 1, 2)
+    out = sorted(np.nonzero(state < 0)[0], key=lambda j: (-retired[j], -mean[j]))
+    ranking[out] = 3 + np.arange(len(out))
+    decision = {1: "Confirmed", 0: "Tentative", -1: "Rejected"}
+    table = spark.createDataFrame([(str(f), int(hits[j]), float(mean[j]), decision[int(state[j])], int(ranking[j])) for j, f in enumerate(names)], "feature string, hits int, importance double, decision string, ranking int")
+    return Selection(table, spark.createDataFrame(history, "iteration int, bar double, live int"), task)
+
+
+def _hits(rows: DataFrame, history: list, live: int) -> list:
+    """Hits and summed importance by feature, and each iteration's bar added to history."""
+    cells = rows.toPandas()
+    history += [(int(k), float(b), live) for k, b in sorted(cells.groupby("k")["bar"].first().items())]
+    return [{"j": int(j), "hits": int(h), "importance": float(i)} for j, h, i in cells.groupby("j")[["hit", "importance"]].sum().itertuples()]
+
+
+def _fdr(p: np.ndarray, alpha: float) -> np.ndarray:
+    """Which p values Benjamini and Hochberg's rule passes."""
+    order = np.argsort(p)
+    good = np.nonzero(p[order] <= alpha * np.arange(1, len(p) + 1) / len(p))[0]
+    out = np.zeros(len(p), bool)
+    out[order[: good[-1] + 1 if len(good) else 0]] = True
+    return out
 
 
 # -- comparison -------------------------------------------------------------------------------------------------
@@ -623,20 +777,67 @@ def corrected_t(d: np.ndarray, n_train: np.ndarray, n_test: np.ndarray) -> tuple
     return float(t), float(t_two_sided(t, j - 1))
 
 
-def compare(reference: Fitted, alternative: Fitted, tie: float = 1e-9) -> dict:
-    """Paired comparison over equal folds: mean difference, corrected t, wins, losses and ties; other designs are refused."""
-    if (reference.n, reference.seed, reference.outcome) != (alternative.n, alternative.seed, alternative.outcome):
-        raise Refusal("the two results differ in samples, seed or outcome")
+READINGS = ("sparse", "module", "covariance-adjusted", "non-linear")
+LEAST_SIGNED = 5  # differences that a signed-rank test needs
+
+
+def same_design(reference: Fitted, alternative: Fitted) -> None:
+    """Refuses two results that do not pair, in this order: samples, seed, folds, who is held out, labels, outcome, positive level."""
+    for what in ("n", "seed"):
+        if getattr(reference, what) != getattr(alternative, what):
+            raise Refusal(f"the two results differ in {what}")
     key = ["repeat", "fold", "sample_ord"]
-    a, b = reference.predictions.select(*key, F.col("y").alias("ya")), alternative.predictions.select(*key, F.col("y").alias("yb"))
-    if a.join(b, key, "full_outer").filter("ya is null or yb is null or ya <> yb").limit(1).count():
-        raise Refusal("folds or labels do not pair")
+    a, b = (r.predictions.select(*key, F.col("y").alias(name)) for r, name in ((reference, "ya"), (alternative, "yb")))
+    count = lambda d: d.select("repeat", "fold").distinct().count()
+    if count(a) != count(b):
+        raise Refusal("the two results differ in their number of folds")
+    unpaired = a.join(b, key, "full_outer").filter("ya is null or yb is null or ya <> yb").agg(F.count_if(F.expr("ya is null or yb is null")).alias("rows"), F.count("*").alias("all")).first()
+    if unpaired["rows"]:
+        raise Refusal("the held-out samples do not pair")
+    if unpaired["all"]:
+        raise Refusal("the held-out labels do not pair")
+    for what in ("outcome", "positive"):
+        if getattr(reference, what) != getattr(alternative, what):
+            raise Refusal(f"the two results differ in {what}")
+
+
+def signed_rank_p(d: np.ndarray) -> float | None:
+    """Two-sided p of the signed ranks of the non-zero differences, or None for fewer than LEAST_SIGNED: exact where no ranks
+    tie and there are 50 at most, else by the tie-corrected normal law. Folds overlap, so it only indicates."""
+    d = d[d != 0]
+    if len(d) < LEAST_SIGNED:
+        return None
+    size = np.abs(d)
+    rank = np.array([(size < v).sum() + ((size == v).sum() + 1) / 2 for v in size])
+    n, low = len(d), min(rank[d > 0].sum(), rank[d < 0].sum())
+    if n <= 50 and len(np.unique(size)) == n:
+        ways = np.ones(1)  # of each sum of ranks
+        for k in range(1, n + 1):
+            ways = np.pad(ways, (0, k)) + np.pad(ways, (k, 0))
+        return min(1.0, float(2 * ways[: int(low) + 1].sum() / 2.0**n))
+    ties = np.unique(size, return_counts=True)[1]
+    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48)
+    return math.erfc(abs(low - n * (n + 1) / 4) / sd / math.sqrt(2))
+
+
+def compare(reference: Fitted, alternative: Fitted, tie: float = 1e-9, reading: str | None = None) -> dict:
+    """Paired comparison over equal folds: mean difference with its interval, corrected t (decisive), signed ranks
+    (indicative), wins, losses and ties. reading: how features were to be read, stated beforehand; it is only recorded."""
+    if reading is not None and reading not in READINGS:
+        raise Refusal(f"unknown reading {reading!r}")
+    if tie < 0:
+        raise Refusal("the tolerance of a tie must not be negative")
+    same_design(reference, alternative)
     pairs = fold_scores(reference).withColumnRenamed("auc", "x").join(fold_scores(alternative).withColumnRenamed("auc", "z"), ["repeat", "fold"])
     sizes = reference.predictions.groupBy("repeat", "fold").agg(F.count("*").alias("n"))
     rows = pairs.join(sizes, ["repeat", "fold"]).orderBy("repeat", "fold").collect()
+    if len(rows) < 2:
+        raise Refusal("a comparison needs two folds or more")
     d, n = np.array([r["z"] - r["x"] for r in rows]), np.array([r["n"] for r in rows], float)
     t, p = corrected_t(d, reference.n - n, n)
-    return {"difference": float(d.mean()), "t": t, "p": p, "wins": int((d > tie).sum()), "losses": int((d < -tie).sum()), "ties": int((np.abs(d) <= tie).sum())}
+    width = t_quantile(0.975, len(d) - 1) * math.sqrt(d.var(ddof=1) * (1 / len(d) + float((n / (reference.n - n)).mean())))
+    sides = {"reference": float(np.mean([r["x"] for r in rows])), "alternative": float(np.mean([r["z"] for r in rows]))}
+    return sides | {"difference": float(d.mean()), "half_width": float(width), "t": t, "p": p, "signed_rank_p": signed_rank_p(d), "wins": int((d > tie).sum()), "losses": int((d < -tie).sum()), "ties": int((np.abs(d) <= tie).sum()), "reading": reading}
 
 
 def compare_across_seeds(pairs: list[tuple[Fitted, Fitted]]) -> dict:
@@ -656,3 +857,21 @@ def roc_curve(predictions: DataFrame) -> DataFrame:
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy()
     return per.select("score", (F.sum("n").over(w) / F.sum("n").over(whole)).alias("fpr"), (F.sum("p").over(w) / F.sum("p").over(whole)).alias("tpr"))
+
+
+def roc_grid(predictions: DataFrame, points: int = 100) -> DataFrame:
+    """Per (repeat, fold): the true-positive rate on `points` even false-positive rates, the greatest where a rate repeats,
+    linear between. A fold's held-out samples are few, so each curve is made in one group."""
+
+    def curve(part: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(-part["score"].to_numpy(), kind="stable")
+        y, s = part["y"].to_numpy()[order], part["score"].to_numpy()[order]
+        last = np.append(np.diff(s) != 0, True)
+        up, down = np.cumsum(y == 1)[last], np.cumsum(y != 1)[last]
+        fpr, at = np.unique(np.append(0, down / max(1, down[-1])), return_index=True)
+        tpr = np.maximum.accumulate(np.append(0, up / max(1, up[-1])))
+        top = np.append(tpr[at[1:] - 1], tpr[-1])
+        grid = np.linspace(0, 1, points)
+        return pd.DataFrame({"repeat": part["repeat"].iloc[0], "fold": part["fold"].iloc[0], "fpr": grid, "tpr": np.interp(grid, fpr, top)})
+
+    return predictions.groupBy("repeat", "fold").applyInPandas(curve, "repeat int, fold int, fpr double, tpr double")

@@ -7,12 +7,14 @@ import math
 import warnings
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import Refusal
 from ..functions.columns import average_rank
 from ..functions.special import chi2_sf, t_two_sided
+from .differential import mann_whitney
 
 LEAST_RESOLUTION = 20
 
@@ -112,15 +114,17 @@ def permutation_table(spark: SparkSession, rows: list[dict], label: str, unit: s
 
 
 def group_tests(scores: DataFrame, samples: DataFrame, label: str, unit: str | None = None, n_permutations: int = 999, seed: int = 0) -> DataFrame:
-    """Per component: H, its chi-square p, and the permutation p that respects units. Permutations are a dimension of one
-    distributed aggregate."""
+    """Per component: H, its chi-square p (with two groups also U of the first and the Mann-Whitney p, else null), and the
+    permutation p that respects units. Permutations are a dimension of one distributed aggregate."""
     spark = scores.sparkSession
     rows = [r.asDict() for r in samples.filter(F.col(label).isNotNull()).orderBy("sample_ord").select(F.col("sample_id").cast("string").alias("sample_id"), label, *([unit] if unit else [])).collect()]
     if len({r[label] for r in rows}) < 2:
         raise Refusal(f"{label} has a single level")
     s = scores.withColumn("sample_id", F.col("sample_id").cast("string"))
     real = spark.createDataFrame([(r["sample_id"], str(r[label])) for r in rows], "sample_id string, label string")
-    observed = {r["component"]: r for r in kruskal(s.join(F.broadcast(real), "sample_id"), "label", ["component"]).collect()}
+    told = s.join(F.broadcast(real), "sample_id")
+    observed = {r["component"]: r for r in kruskal(told, "label", ["component"]).collect()}
+    pairs = {r["component"]: (r["u"], r["p"]) for r in two_groups(told).collect()} if len({str(r[label]) for r in rows}) == 2 else {}
     table, n, exact = permutation_table(spark, rows, label, unit, n_permutations, seed)
     null = kruskal(table.join(F.broadcast(s), "sample_id"), "label", ["component", "perm"])
     seen = spark.createDataFrame([(c, r["h"]) for c, r in observed.items()], "component int, observed double")
@@ -128,8 +132,19 @@ def group_tests(scores: DataFrame, samples: DataFrame, label: str, unit: str | N
     out = []
     for c, r in sorted(observed.items()):
         p = hits[c] / n if exact else (hits[c] + 1) / (n + 1)
-        out.append((c, r["h"], chi2_sf(r["h"], r["groups"] - 1) if r["h"] is not None else None, float(p), n, exact))
-    return spark.createDataFrame(out, "component int, h double, p_chi2 double, p_permutation double, arrangements int, exact boolean")
+        out.append((c, r["h"], chi2_sf(r["h"], r["groups"] - 1) if r["h"] is not None else None, float(p), n, exact, *pairs.get(c, (None, None))))
+    return spark.createDataFrame(out, "component int, h double, p_chi2 double, p_permutation double, arrangements int, exact boolean, u double, p_mann_whitney double")
+
+
+def two_groups(told: DataFrame) -> DataFrame:
+    """component, u and p of the rank test between the two labels: a component's scores, one per sample, are one group."""
+
+    def test(part: pd.DataFrame) -> pd.DataFrame:
+        first = part["label"] == part["label"].min()
+        u, p = mann_whitney(part.loc[first, "score"].to_numpy(float), part.loc[~first, "score"].to_numpy(float))[:2]
+        return pd.DataFrame({"component": part["component"].iloc[:1], "u": [float(u)], "p": [float(p)]})
+
+    return told.groupBy("component").applyInPandas(test, "component int, u double, p double")
 
 
 def correlation_tests(scores: DataFrame, samples: DataFrame, column: str) -> DataFrame:

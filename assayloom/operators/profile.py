@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dataset import Dataset
+
 from ..dataset import finite
 
 # Texts that other programs write for "missing".
@@ -107,3 +109,46 @@ def concordance(df: DataFrame, signal: str, expected: str, most_flagged: float =
     share = F.avg(F.col("flagged").cast("double")).over(Window.partitionBy())
     outcome = F.when(F.col(signal).isNull() | F.col("cut").isNull(), "not checkable").when(share > most_flagged, "inconclusive").when(F.col("flagged"), "flagged").otherwise("concordant")
     return each.withColumn("outcome", outcome)
+
+
+def control_samples(samples: DataFrame, listed: DataFrame, name: str = "sample_id", role: str | None = None, pattern: str = r"(?i)(^|[^a-z])(pool|qc|ctrl|control|blank|ref(erence)?)([^a-z]|$)") -> DataFrame:
+    """Samples and listed controls with `control` (by name, or by role where there is one) and `state`: agreed, only by rule, only listed, not in the data.
+
+    Both directions of the reconciliation come from one full join; samples that are neither are left out.
+    """
+    by_name = F.col(name).cast("string").rlike(pattern)
+    rule = F.coalesce(by_name | (F.col(role).cast("string").rlike(pattern) if role else F.lit(False)), F.lit(False))
+    ours = samples.select(F.col(name).alias("sample"), rule.alias("control")).distinct()
+    theirs = listed.select(F.col(name).alias("sample"), F.lit(True).alias("listed")).distinct()
+    both = ours.join(theirs, "sample", "full_outer")
+    state = F.when(F.col("control").isNull(), "not in the data").when(F.col("control") & F.col("listed").isNotNull(), "agreed").when(F.col("control"), "only by rule").when(F.col("listed").isNotNull(), "only listed")
+    return both.withColumn("state", state).filter("state is not null").select("sample", F.coalesce("control", F.lit(False)).alias("control"), "state")
+
+
+def random_cells(ds: Dataset, raw: DataFrame, cells: int, seed: int = 0) -> DataFrame:
+    """Of `cells` cells drawn by a hash of their keys: the value held and the source's text (raw: sample_id, feature_id, text), and whether they agree.
+
+    The draw is the same in every run; a tie in the hash goes by the keys. Agreement is that of the text read as a number; a
+    cell without text agrees with a missing value.
+    """
+    drawn = ds.values.withColumn("_h", F.xxhash64(F.lit(seed), "feature_id", "sample_id")).orderBy("_h", "feature_id", "sample_id").limit(cells)
+    joined = drawn.join(raw.select("sample_id", "feature_id", "text"), ["sample_id", "feature_id"], "left")
+    number = F.expr("try_cast(text as double)")
+    return joined.select("sample_id", "feature_id", "value", "text", F.col("value").eqNullSafe(number).alias("agrees"))
+
+
+def counts_match(ds: Dataset, raw: DataFrame) -> DataFrame:
+    """Rows, samples and features of the data set and of the source (raw: sample_id, feature_id), side by side."""
+    sums = lambda df, side: df.agg(F.count("*").alias("cells"), F.count_distinct("sample_id").alias("samples"), F.count_distinct("feature_id").alias("features")).withColumn("side", F.lit(side))
+    both = sums(ds.values, "held").unionByName(sums(raw, "source"))
+    tall = both.selectExpr("side", "stack(3, 'cells', cells, 'samples', samples, 'features', features) as (what, n)")
+    return tall.groupBy("what").agg(F.max(F.when(F.col("side") == "held", F.col("n"))).alias("held"), F.max(F.when(F.col("side") == "source", F.col("n"))).alias("source")).withColumn("agrees", F.col("held") == F.col("source"))
+
+
+def before_and_after(plain: DataFrame, corrected: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The same test on a matrix and on its corrected form: effects and q of both, and what became of each finding (feature, term)."""
+    side = lambda df, s: df.select("feature", "term", F.col("effect").alias(f"effect_{s}"), F.col("q").alias(f"q_{s}"))
+    both = side(plain, "plain").join(side(corrected, "corrected"), ["feature", "term"], "full_outer")
+    was, now = F.coalesce(F.col("q_plain") <= alpha, F.lit(False)), F.coalesce(F.col("q_corrected") <= alpha, F.lit(False))
+    turned = F.signum("effect_plain") * F.signum("effect_corrected") < 0
+    return both.withColumn("outcome", F.when(was & now & turned, "turned").when(was & now, "kept").when(was, "lost").when(now, "gained").otherwise("never"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Refusal, detected, finite, require_finite, require_scale
@@ -43,6 +43,14 @@ def detection_counts(ds: Dataset, min_intensity: float = 0.0) -> DataFrame:
     return ds.samples.select("sample_id").join(seen, "sample_id", "left").select("sample_id", F.coalesce("n_detected", F.lit(0)).alias("n_detected"))
 
 
+def reference_median(ds: Dataset, where: Column | str | None = None, min_intensity: float = 0.0) -> float | None:
+    """Median number of detected features of the samples that satisfy `where` (all without it); None where there are none."""
+    counts = detection_counts(ds, min_intensity)
+    if where is not None:
+        counts = counts.join(ds.samples.filter(where).select("sample_id"), "sample_id", "left_semi")
+    return counts.agg(F.median("n_detected")).first()[0]
+
+
 def feature_completeness(ds: Dataset, min_intensity: float = 0.0) -> DataFrame:
     """Rate of detection and mean log2 of the positive detected values, per feature."""
     require_scale(ds, ("linear",), "completeness")

@@ -6,7 +6,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import LOG_SCALES, Dataset, Refusal, detected, finite, require_finite, require_scale
@@ -64,10 +64,10 @@ def normalize(ds: Dataset, method: str) -> Dataset:
 
 
 def _variance_stabilised(ds: Dataset) -> Dataset:
-    """glog2((x - offset_s) / factor_s): offset and factor of each sample by robust moments, as the published model has it.
+    """glog2((x - offset_s) / factor_s): the published model's transform, with quantiles in place of its likelihood fit.
 
-    The factor is the sample's median distance from its lower quartile relative to the mean of all samples', the offset
-    its lower decile; glog2(y) = log2((y + sqrt(y^2 + 1)) / 2). Only the method is public knowledge, not its digits.
+    The factor is the sample's median distance from its lower quartile, the offset its lower decile;
+    glog2(y) = log2((y + sqrt(y^2 + 1)) / 2). It stabilises variances alike but gives other digits than a fitted model.
     """
     per = ds.values.groupBy("sample_id").agg(F.percentile("value", 0.1).alias("_o"), (F.median("value") - F.percentile("value", 0.25)).alias("_f"))
     per = per.withColumn("_f", F.greatest(F.col("_f"), F.lit(1e-12)))
@@ -124,18 +124,20 @@ class BatchPassthroughWarning(UserWarning):
     pass
 
 
-def combat_correct(ds: Dataset, batch_column: str, *, min_variance: float = 0.0, iterations: int = 100) -> Dataset:
+def combat_correct(ds: Dataset, batch_column: str, *, sample_mask: Column | str | None = None, min_variance: float = 0.0, iterations: int = 100) -> Dataset:
     """Location and scale of each batch, shrunk over features by empirical Bayes (Johnson, Li and Rabinovic 2007).
 
+    sample_mask: a condition on the samples; those that fail it have no part in the fit and pass through uncorrected.
     Features with next to no variance inside a batch pass through. Moments are grouped aggregates; only the shrinkage,
     which needs all features of one batch together, runs as a grouped function, a batch a task.
     """
     require_scale(ds, LOG_SCALES, "combat_correct")
     require_finite(ds, "combat_correct")
-    batches = ds.samples.groupBy(batch_column).count().collect()
+    fitted = ds.samples if sample_mask is None else ds.samples.filter(sample_mask)
+    batches = fitted.groupBy(batch_column).count().collect()
     if len(batches) < 2 or min(r["count"] for r in batches) < 2:
         raise Refusal("needs two batches or more, of two samples or more")
-    rows = ds.values.join(F.broadcast(ds.samples.select("sample_id", F.col(batch_column).alias("_b"))), "sample_id")
+    rows = ds.values.join(F.broadcast(fitted.select("sample_id", F.col(batch_column).alias("_b"))), "sample_id")
     per = rows.groupBy("feature_id", "_b").agg(F.avg("value").alias("_m"), F.var_samp("value").alias("_v"), F.var_pop("value").alias("_vp"), F.count("*").alias("_n"))
     pooled = per.groupBy("feature_id").agg(F.sum(F.col("_m") * F.col("_n")).alias("_s"), F.sum(F.col("_vp") * F.col("_n")).alias("_ss"), F.sum("_n").alias("_N"), F.min("_v").alias("_least"))
     pooled = pooled.select("feature_id", (F.col("_s") / F.col("_N")).alias("_g"), F.sqrt(F.col("_ss") / F.col("_N")).alias("_sd"), "_least")
@@ -166,4 +168,7 @@ def combat_correct(ds: Dataset, batch_column: str, *, min_variance: float = 0.0,
     shrunk = z.groupBy("_b").applyInPandas(shrink, schema)
     fixed = rows.join(good, "feature_id", "left").join(shrunk, ["feature_id", "_b"], "left")
     corrected = F.col("_sd") * (((F.col("value") - F.col("_g")) / F.col("_sd")) - F.col("_gs")) / F.sqrt("_ds") + F.col("_g")
-    return ds.with_values(fixed.withColumn("value", F.coalesce(corrected, F.col("value"))))
+    fixed = fixed.withColumn("value", F.coalesce(corrected, F.col("value"))).select(*ds.values.columns)
+    if sample_mask is not None:
+        fixed = fixed.unionByName(ds.values.join(F.broadcast(fitted.select("sample_id")), "sample_id", "left_anti").select(*ds.values.columns))
+    return ds.with_values(fixed)

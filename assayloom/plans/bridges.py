@@ -28,6 +28,15 @@ def dense(spark: SparkSession, sf_dir: str) -> Dataset:
     return Dataset(values, suppliers(spark, sf_dir), _features(values))
 
 
+def graded(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Supplier x (part size, line status), summed quantities: a hundred features, few cells empty at any scale."""
+    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    per = items.groupBy("l_suppkey", "l_partkey", "l_linestatus").agg(F.sum("l_quantity").alias("q")).join(parts, "l_partkey")
+    feature = F.concat_ws("-", "p_size", "l_linestatus")
+    values = per.groupBy(F.col("l_suppkey").alias("sample_id"), feature.alias("feature_id")).agg(F.sum("q").alias("value"))
+    return Dataset(values, suppliers(spark, sf_dir), _features(values))
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> Dataset:
     """Supplier x part, summed quantities: most cells are empty."""
     values = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(F.sum("l_quantity").alias("value"))
@@ -60,4 +69,5 @@ def _features(values: DataFrame) -> DataFrame:
 SUPPLIERS = "smp as (select s_suppkey sample_id, r_name region, n_name nation, s_acctbal acctbal from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
 DENSE = SUPPLIERS + ", v as (select l_suppkey sample_id, p_brand feature_id, sum(l_quantity) as value from lineitem join part on l_partkey = p_partkey group by all)"
 SPARSE = SUPPLIERS + ", v as (select l_suppkey sample_id, l_partkey feature_id, sum(l_quantity) as value from lineitem group by all)"
+GRADED = SUPPLIERS + ", v as (select l_suppkey sample_id, p_size || '-' || l_linestatus feature_id, sum(l_quantity) as value from lineitem join part on l_partkey = p_partkey group by all)"
 RUNS = "v as (select user_id || '-' || floor(date_diff('day', date '1970-01-01', ts::date) / 6)::bigint sample_id, user_id, event_type feature_id, avg(value) as value from events group by all)"

@@ -11,7 +11,7 @@ from ..functions.columns import auc, average_rank, benjamini_hochberg
 from ..operators import differential as de
 from ..operators import enrichment, findings, models, pca_tests, profile, qc, replicates, transform
 from ..streaming import incremental
-from .bridges import DENSE, RUNS, SPARSE, dense, embedded, runs, sparse, suppliers, table
+from .bridges import DENSE, GRADED, RUNS, SPARSE, dense, embedded, graded, runs, sparse, suppliers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,13 +262,67 @@ def de_slope(s, d):
     return de.differential_abundance(transform.log2_transform(dense(s, d)), "acctbal", method="ols").table.select("feature", F.round("effect", 9).alias("effect"))
 
 
-@query("de_moderated")
+def _trigamma(x: str) -> str:
+    """SQL: trigamma by recurrence and its asymptotic series."""
+    z = f"({x} + 10)"
+    series = " + ".join(f"({c}) / pow({z}, {k})" for c, k in (("1.0", 1), ("0.5", 2), ("1.0 / 6", 3), ("-1.0 / 30", 5), ("1.0 / 42", 7), ("-1.0 / 30", 9)))
+    return f"({' + '.join(f'1 / pow({x} + {i}, 2)' for i in range(10))} + {series})"
+
+
+def _digamma(x: str) -> str:
+    z = f"({x} + 10)"
+    series = " + ".join(f"({c}) / pow({z}, {k})" for c, k in (("-1.0 / 2", 1), ("-1.0 / 12", 2), ("1.0 / 120", 4), ("-1.0 / 252", 6), ("1.0 / 240", 8)))
+    return f"(ln({z}) + {series} - ({' + '.join(f'1 / ({x} + {i})' for i in range(10))}))"
+
+
+GRADED_LOGS = GRADED + ", y as (select smp.sample_id, region, f.feature_id, log2(coalesce(v.value, 0) + 1) y from smp cross join (select distinct feature_id from v) f left join v on v.sample_id = smp.sample_id and v.feature_id = f.feature_id)"
+MODERATED = f"""with recursive {GRADED_LOGS},
+  g as (select feature_id, avg(y) filter (region = 'ASIA') - avg(y) filter (region <> 'ASIA') effect, count(*) filter (region = 'ASIA') n1, count(*) filter (region <> 'ASIA') n0,
+    var_pop(y) filter (region = 'ASIA') * count(*) filter (region = 'ASIA') + var_pop(y) filter (region <> 'ASIA') * count(*) filter (region <> 'ASIA') ss from y group by 1),
+  h as (select feature_id, effect, (n1 + n0 - 2)::double df, ss / (n1 + n0 - 2) s2, sqrt(1 / n1 + 1 / n0) w from g),
+  m as (select avg(ln(s2)) mu, var_samp(ln(s2)) v, any_value(df) df from h where s2 > 0),
+  p as (select mu - {_digamma("(df / 2)")} + ln(df / 2) centre, v - {_trigamma("(df / 2)")} excess, df from m),
+  b(it, lo, hi) as (select 0, 1e-6::double, 1e6::double union all
+    select it + 1, case when {_trigamma("((lo + hi) / 4)")} > excess then (lo + hi) / 2 else lo end, case when {_trigamma("((lo + hi) / 4)")} > excess then hi else (lo + hi) / 2 end from b, p where it < 100),
+  d as (select case when excess <= {_trigamma("500000.0")} then null else (lo + hi) / 2 end d0, centre, df from b, p where it = 100),
+  s as (select d0, case when d0 is null then exp(centre) else exp(centre + {_digamma("(d0 / 2)")} - ln(d0 / 2)) end s0 from d)
+  select feature_id feature, round(effect, 6) effect, round(effect / (sqrt(case when d0 is null then s0 else (d0 * s0 + df * s2) / (d0 + df) end) * w), 5) statistic from h, s"""
+
+
+@query("de_moderated", MODERATED)
 def de_moderated(s, d):
-    ds = transform.handle_missing(sparse(s, d), max_missing_fraction=0.9, impute="zero")
     from dataclasses import replace
 
+    ds = transform.handle_missing(graded(s, d), max_missing_fraction=0.9, impute="zero")
     ds = transform.log2_transform(replace(ds, samples=ds.samples.withColumn("asia", F.when(F.col("region") == "ASIA", "yes").otherwise("no"))))
-    return de.differential_abundance(ds, "asia", method="moderated").table
+    return de.differential_abundance(ds, "asia", method="moderated").table.select("feature", *r6("effect"), F.round("statistic", 5).alias("statistic"))
+
+
+@query("reference_median", f"with {SPARSE} select median(n) m from (select sample_id, count(value) filter (value > 0) n from smp left join v using (sample_id) where region = 'ASIA' group by 1)")
+def reference_median(s, d):
+    return s.createDataFrame([(qc.reference_median(sparse(s, d), "region = 'ASIA'"),)], "m double")
+
+
+@query("control_samples", """with o as (select s_name sample, s_suppkey % 10 = 0 control from supplier), l as (select s_name sample from supplier where s_suppkey % 4 = 0 union all select 'absent')
+  select sample, coalesce(control, false) control, case when control is null then 'not in the data' when control and l.sample is not null then 'agreed' when control then 'only by rule' else 'only listed' end state
+  from o full join l using (sample) where control is null or control or l.sample is not null""")
+def control_samples(s, d):
+    t = table(s, d, "supplier").select(F.col("s_name").alias("sample_id"), F.when(F.col("s_suppkey") % 10 == 0, "QC pool").otherwise("study").alias("role"), "s_suppkey")
+    listed = t.filter("s_suppkey % 4 = 0").select("sample_id").union(s.createDataFrame([("absent",)], "sample_id string"))
+    return profile.control_samples(t, listed, role="role", pattern="(?i)qc")
+
+
+@query("random_cells", "select 50::bigint n, 50::bigint agree")
+def random_cells(s, d):
+    ds = sparse(s, d)
+    raw = ds.values.select("sample_id", "feature_id", F.col("value").cast("string").alias("text"))
+    return profile.random_cells(ds, raw, 50).agg(F.count("*").alias("n"), F.count_if("agrees").alias("agree"))
+
+
+@query("counts_match", f"with {SPARSE} select unnest(['cells', 'samples', 'features']) what, unnest([count(*), count(distinct sample_id), count(distinct feature_id)]) held, unnest([count(*), count(distinct sample_id), count(distinct feature_id)]) source, true agrees from v")
+def counts_match(s, d):
+    ds = sparse(s, d)
+    return profile.counts_match(ds, ds.values)
 
 
 @query("de_mann_whitney", f"""with {LOGS}, k as (select feature_id, region, y, rank() over (partition by feature_id order by y) + (count(*) over (partition by feature_id, y) - 1) / 2 k from y join smp using (sample_id) where region in ('ASIA', 'AFRICA')),
@@ -432,10 +486,13 @@ def finding_dangling(s, d):
     return findings.dangling(findings.edges(p), p).select("src", "type", "dst")
 
 
-@query("finding_cascade", f"with {FINDINGS} select a.id, a.dst because_of, a.type from f a join f b on b.id = a.dst where a.type in ('supports', 'refines', 'closes') and b.status in ('invalidated', 'superseded')")
+@query("finding_cascade", f"""with {FINDINGS}, g as (select id, ['candidate', 'under_exploration', 'validated', 'invalidated', 'superseded', 'closed'][(id + 2) % 6 + 1] status from f)
+  select a.id, a.dst because_of, a.type from f a join g b on b.id = a.dst where a.type in ('supports', 'refines', 'closes') and b.status in ('invalidated', 'superseded')""")
 def finding_cascade(s, d):
+    """The cascade after every status has moved on by two: some supported findings have fallen."""
     p = finding_documents(s, d)
-    return findings.cascade(findings.edges(p), p)
+    moved = p.withColumn("status", F.element_at(F.array(*[F.lit(x) for x in findings.STATES]), (F.col("id") + 2) % 6 + 1))
+    return findings.cascade(findings.edges(p), moved)
 
 
 @query("finding_superseded", f"with {FINDINGS} select id, case when id in (select dst from f where type = 'supersedes') then 'superseded' else status end status from f")
@@ -475,9 +532,9 @@ def finding_stale(s, d):
     return findings.stale(finding_documents(s, d), "v1", commits).select("id")
 
 
-@query("entity_overlap", "select x.l_suppkey a, y.l_suppkey b, count(distinct x.l_partkey) shared from (select distinct l_suppkey, l_partkey from lineitem where l_suppkey <= 40) x join (select distinct l_suppkey, l_partkey from lineitem where l_suppkey <= 40) y on x.l_partkey = y.l_partkey and x.l_suppkey < y.l_suppkey group by all")
+@query("entity_overlap", "select x.l_suppkey a, y.l_suppkey b, count(distinct x.l_partkey) shared from (select distinct l_suppkey, l_partkey from lineitem) x join (select distinct l_suppkey, l_partkey from lineitem) y on x.l_partkey = y.l_partkey and x.l_suppkey < y.l_suppkey group by all")
 def entity_overlap(s, d):
-    return findings.overlap(table(s, d, "lineitem").filter("l_suppkey <= 40").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("entity")))
+    return findings.overlap(table(s, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("entity")))
 
 
 @query("result_registry", "with r as (select o_orderkey fingerprint, o_custkey analysis, o_orderdate created, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) rn from orders) select fingerprint, case when rn = 1 then 'current' when fingerprint % 7 = 0 then 'protected' else 'superseded' end status from r")
@@ -542,8 +599,9 @@ def _model(name: str, **more):
     return run
 
 
+FEW_TREES = ((2.0, 3.0), (0.1, 0.3), (60.0,))
 for _name in ("elastic_net", "svm", "lda", "trees"):
-    query(f"model_{_name}")(_model(_name))
+    query(f"model_{_name}")(_model(_name, **({"axes": FEW_TREES} if _name == "trees" else {})))
 
 
 @query("model_regression")
@@ -564,9 +622,20 @@ def model_coefficients(s, d):
 @query("model_comparison")
 def model_comparison(s, d):
     ds = two_labels(s, d)
-    a, b = (models.run(ds, "label", k, n_repeats=2, stability_repeats=0, n_splits=3) for k in ("lda", "trees"))
-    out = models.compare(a, b)
-    return s.createDataFrame([tuple(out.values())], "difference double, t double, p double, wins int, losses int, ties int")
+    a, b = (models.run(ds, "label", k, n_repeats=2, stability_repeats=0, n_splits=3, axes=FEW_TREES if k == "trees" else None) for k in ("lda", "trees"))
+    out = models.compare(a, b, reading="non-linear")
+    return s.createDataFrame([tuple(out.values())], "reference double, alternative double, difference double, half_width double, t double, p double, signed_rank_p double, wins int, losses int, ties int, reading string")
+
+
+@query("model_grid")
+def model_grid(s, d):
+    """Inner scores of every cell of the grid, chosen by average precision over smoothed neighbours."""
+    return models.run(two_labels(s, d), "label", "elastic_net", n_repeats=1, stability_repeats=0, n_splits=3, select="smoothed", tuning_metric="average_precision").grid
+
+
+@query("model_roc_grid")
+def model_roc_grid(s, d):
+    return models.roc_grid(models.run(two_labels(s, d), "label", "lda", n_repeats=1, stability_repeats=0, n_splits=3).predictions)
 
 
 @query("boruta")
