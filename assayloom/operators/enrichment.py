@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,6 +117,62 @@ def response_table(spark: SparkSession, body: str, genes: list[str]) -> DataFram
     return out.orderBy(F.when(place > 0, place).otherwise(len(SOURCES) + 1), "p_value", "term")
 
 
+@dataclass(frozen=True)
+class Enrichment:
+    """table (terms, members as genes), audit (one row per identifier), callers (gene, id: the first identifier that gave it),
+    and what the service, or the given terms, recognized of the query."""
+
+    table: DataFrame
+    audit: DataFrame
+    callers: DataFrame
+    recognized: int
+    asked: int
+    version: str | None
+
+
+def callers(ids: DataFrame, id_parser: Callable[[Column], Column] = accession) -> DataFrame:
+    """gene and the identifier it came from; of several the first by `ord` (by itself without one)."""
+    rank = F.struct("ord", "id") if "ord" in ids.columns else F.struct("id")
+    return ids.withColumn("gene", id_parser(F.col("id"))).filter("gene is not null").groupBy("gene").agg(F.min_by("id", rank).alias("id"))
+
+
+def enrich(
+    query: DataFrame, background: DataFrame, *, terms: DataFrame | None = None, transport: Callable[[str, dict, float], str] | None = None, url: str = "", organism: str = "", sources: tuple[str, ...] = SOURCES,
+    id_parser: Callable[[Column], Column] = accession, correction: str | None = None, threshold: float = 0.05, all_results: bool = True, min_mapping_rate: float = 0.5, timeout: float = 120,
+) -> Enrichment:
+    """Over-represented terms of a query (column `id`) against a background, from given terms or through a transport.
+
+    Both lists are audited first; members of terms come back as the caller's identifiers. Given terms (source, term, gene) are
+    tested here, by fdr or bonferroni; a service corrects by itself (g_SCS unless another is named). The one of the two
+    that is wanted must be given, and no other.
+    """
+    if (terms is None) == (transport is None):
+        raise Refusal("either terms or a transport is needed")
+    correction = correction or ("g_SCS" if terms is None else "fdr")
+    if correction not in (("g_SCS", "fdr", "bonferroni") if terms is None else ("fdr", "bonferroni")):
+        raise Refusal(f"{correction!r} cannot be had this way")
+    audit = mapping_audit(query, background, id_parser)
+    checked(audit, min_mapping_rate)
+    mine, all_ = callers(query, id_parser), callers(background, id_parser)
+    spark = query.sparkSession
+    if terms is not None:
+        known = terms.filter(F.col("source").isin(*sources)) if sources else terms
+        table, version = over_representation(mine.select("gene"), all_.select("gene"), known, correction, threshold), None
+        recognized, asked = mine.join(known.select("gene").distinct(), "gene", "left_semi").count(), mine.count()
+    else:
+        genes = [r["gene"] for r in mine.orderBy("gene").collect()]  # a query of a study: it goes into one request
+        payload = {"organism": organism, "query": genes, "background": [r["gene"] for r in all_.orderBy("gene").collect()], "sources": list(sources), "user_threshold": threshold, "all_results": all_results, "significance_threshold_method": correction, "domain_scope": "custom", "no_evidences": False}
+        body = ask(transport, url, payload, timeout)
+        table, meta = response_table(spark, body, genes), json.loads(body).get("meta", {})
+        failed = {str(g) for g in meta.get("genes_metadata", {}).get("failed", [])}
+        version, recognized, asked = meta.get("version"), len([g for g in genes if g not in failed]), len(genes)
+    if not all_results:
+        table = table.filter("significant")
+    named = table.withColumn("gene", F.explode_outer(F.split("intersecting_genes", ";"))).join(mine.withColumnRenamed("id", "_caller"), "gene", "left")
+    ids = named.groupBy("source", "term").agg(F.array_join(F.array_sort(F.collect_set("_caller")), ";").alias("intersecting_ids"))
+    return Enrichment(table.join(ids, ["source", "term"], "left"), audit, mine, recognized, asked, version)
+
+
 def manhattan(table: DataFrame, gap: int = 10) -> DataFrame:
     """x of each term: its place by id within its source, after the sources before it and a gap each."""
     placed = table.withColumn("_i", F.row_number().over(Window.partitionBy("source").orderBy("term")))

@@ -55,7 +55,8 @@ def normalize_mad(s, d):
     return transform.normalize(dense(s, d), "mad").values.withColumn("value", F.round("value", 6))
 
 
-@query("normalize_vsn")
+@query("normalize_vsn", f"""with {DENSE}, p as (select sample_id, quantile_cont(value, 0.1) o, greatest(median(value) - quantile_cont(value, 0.25), 1e-12) f from v group by 1)
+  select sample_id, feature_id, round(log2(((value - o) / f + sqrt(pow((value - o) / f, 2) + 1)) / 2), 6) as value from v join p using (sample_id)""")
 def normalize_vsn(s, d):
     return transform.normalize(dense(s, d), "vsn").values.withColumn("value", F.round("value", 6))
 
@@ -562,11 +563,21 @@ def over_representation(s, d):
     return out.select("term", "term_size", "intersection_size", *r6("gene_ratio", "recall"))
 
 
-@query("enrichment_table")
+_CHOOSE = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+ENRICHED = f"""with b as (select distinct l_partkey g from lineitem), q as (select distinct l_partkey g from lineitem where l_suppkey <= 5), n as (select (select count(*) from b)::double d, (select count(*) from q)::double s),
+  t as (select p_brand term, count(*)::double m, count(q.g)::double k from part join b on b.g = p_partkey left join q on q.g = p_partkey group by 1 having count(q.g) > 0),
+  h as (select term, m, k, unnest(range(k::int, least(m, s)::int + 1))::double i, d, s from t, n),
+  p as (select term, any_value(m) m, any_value(k) k, least(1, sum(exp({_CHOOSE("m", "i")} + {_CHOOSE("(d - m)", "(s - i)")} - {_CHOOSE("d", "s")}))) p from h where s - i <= d - m group by 1),
+  r as (select *, row_number() over (order by p) o, count(*) over () c from p), a as (select *, min(least(1, p * c / o)) over (order by o desc) adj from r)
+  select term, round(p, 6) p_raw, round(adj, 6) p_value, m::bigint term_size, k::bigint intersection_size from a"""
+
+
+@query("enrichment_table", ENRICHED)
 def enrichment_table(s, d):
     items = table(s, d, "lineitem")
     terms = table(s, d, "part").select(F.lit("brand").alias("source"), F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
-    return enrichment.over_representation(items.filter("l_suppkey <= 5").select(F.col("l_partkey").alias("gene")), items.select(F.col("l_partkey").alias("gene")), terms)
+    out = enrichment.over_representation(items.filter("l_suppkey <= 5").select(F.col("l_partkey").alias("gene")), items.select(F.col("l_partkey").alias("gene")), terms)
+    return out.select("term", *r6("p_raw", "p_value"), "term_size", "intersection_size")
 
 
 @query("average_ranks", "select o_orderkey id, rank() over (partition by o_orderstatus order by o_totalprice) + (count(*) over (partition by o_orderstatus, o_totalprice) - 1) / 2 as rank from orders")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_statistics import signal
 
 from assayloom.dataset import Refusal
-from assayloom.operators import findings, models, pca_tests, qc, transform
+from assayloom.operators import enrichment, findings, models, pca_tests, qc, transform
 
 
 def test_average_precision_by_hand():
@@ -105,3 +105,26 @@ see Finding #0042 and findings 0007, not 00071 nor refinding 0003"""
     assert r["shown"] == ["figures/qc/r/a.png", "figures/qc/r/b c.png", "figures/qc/c.png", "figures/metadata/r/s/d.png"] and r["mentions"] == ["0042", "0007"]
     bad = {v["detail"] for v in findings.violations(p, structured=True).filter("rule = 7").collect()}
     assert bad == {"figures/qc/c.png"}
+
+
+def test_enrichment_in_one_call(spark):
+    ids = [f"sp|P0000{i}|X" for i in range(10)]
+    background = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, ord int")
+    query = background.filter("ord < 4").union(spark.createDataFrame([("sp|P00001|Y", 9)], "id string, ord int"))
+    terms = spark.createDataFrame([("S", "hit", f"P0000{i}") for i in range(4)] + [("S", "miss", f"P0000{i}") for i in range(4, 8)] + [("T", "other", "P00000")], "source string, term string, gene string")
+    whole = background.union(spark.createDataFrame([("sp|P00001|Y", 9)], "id string, ord int"))
+    got = enrichment.enrich(query, whole, terms=terms, sources=("S",))
+    (row,) = got.table.collect()
+    assert row["term"] == "hit" and math.isclose(row["p_raw"], 1 / math.comb(10, 4)) and row["intersecting_ids"] == ";".join(ids[:4])
+    assert (got.recognized, got.asked) == (4, 4)
+    said = {}
+
+    def transport(url, payload, timeout):
+        said.update(payload)
+        return '{"result": [], "meta": {"version": "v1", "genes_metadata": {"failed": ["P00002"]}}}'
+
+    far = enrichment.enrich(query, whole, transport=transport, organism="x")
+    assert said["significance_threshold_method"] == "g_SCS" and far.version == "v1" and far.recognized == 3 and far.table.count() == 0
+    for bad in ({}, {"terms": terms, "transport": transport}, {"terms": terms, "correction": "g_SCS"}):
+        with pytest.raises(Refusal):
+            enrichment.enrich(query, whole, **bad)
