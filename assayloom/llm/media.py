@@ -267,29 +267,36 @@ def copies(media: DataFrame) -> DataFrame:
     return of.join(least, "root", "left").select("media_id", "n_features", F.coalesce("component_id", "media_id").alias("component_id"))
 
 
-def page_images(pages: DataFrame, size: int = 64, tiles: int = 24) -> DataFrame:
-    """A picture of each page, as the test tables hold none: a patterned tile for each of its smallest 3-word shingles.
+SHADE = np.uint64(0xD6E8FEB86659FD93)
 
-    Pages with mostly the same text so get mostly the same picture, and others share nothing.
+
+def drawn(words: np.ndarray, every: int = 48, across: int = 4, cells: int = 5, pixels: int = 3) -> np.ndarray | None:
+    """A picture of a text, given its words' numbers: tiles of random grey cells in reading order, `across` in a row.
+
+    A tile stands for a run of words that ends at a word whose number `every` divides, about every so many words: all words
+    take part, and an edit changes its own tile only. Short texts repeat their tiles to fill `across` rows.
     """
+    if not len(words):
+        return None
+    ends = mix(words) % np.uint64(every) == 0
+    first = np.append(0, np.nonzero(ends[:-1])[0] + 1)
+    place = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+    key = mix(np.add.reduceat(mix(words + place.astype(np.uint64) * SALTS[60]), first))
+    grey = (mix(key[:, None] + np.arange(cells * cells, dtype=np.uint64) * SHADE) >> np.uint64(56)).astype(np.uint8)
+    down = max(across, -(-len(key) // across))
+    tiles = grey[np.arange(down * across) % len(key)].reshape(down, across, cells, cells)
+    return tiles.transpose(0, 2, 1, 3).reshape(down * cells, across * cells).repeat(pixels, 0).repeat(pixels, 1)
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """A picture of each page, as the test tables hold none: its whole text as tiles, so pages that share passages share tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in row_batches(batches):
-            shingle, first = Words(b.column(1), powers).shingles(3)
-            out = []
-            for a, z in zip(first[:-1], first[1:]):
-                if a == z:
-                    out.append(None)
-                    continue
-                v = np.unique(shingle[a:z])[:tiles]
-                cells = (mix(v)[:, None] >> np.arange(0, 64, 4, dtype=np.uint64) & np.uint64(15)).astype(np.uint8).reshape(-1, 4, 4) * 17
-                canvas = np.full((size, size), 128, np.uint8)
-                for k, tile in zip(mix(v ^ np.uint64(1)), np.repeat(np.repeat(cells, 4, 1), 4, 2)):
-                    y, x = int(k) % (size - 16), int(k >> np.uint64(32)) % (size - 16)
-                    canvas[y : y + 16, x : x + 16] = tile
-                out.append(encoded(canvas))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["media_id", "image"])
+            w = Words(b.column(1), powers)
+            pictures = [drawn(w.number[a:z]) for a, z in zip(w.first[:-1], w.first[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if p is None else encoded(p) for p in pictures], pa.binary())], names=["media_id", "image"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("media_id"), F.col("html").cast("string").alias("text"))
     return rows.mapInArrow(run, "media_id long, image binary")
