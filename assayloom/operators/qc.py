@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Refusal, detected, finite, require_finite, require_scale
 from ..functions.columns import average_rank
+from ..functions.gram import MOST, summed
 
 
 def cv(ds: Dataset) -> DataFrame:
@@ -107,17 +110,42 @@ def orders_of_magnitude(ranked: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def correlation(ds: Dataset, method: str = "pearson") -> DataFrame:
-    """Correlation of every pair of samples (a < b) over shared features: one equi-join on the feature."""
+    """Correlation of every pair of samples (a < b) over shared features: sums of products by blocks of features, and only for
+    more samples than such sums allow an equi-join on the feature."""
     require_finite(ds, "correlation")
     if method not in ("pearson", "spearman"):
         raise Refusal(f"unknown method {method!r}")
     v = ds.values
     if method == "spearman":
         v = v.withColumn("value", average_rank("value", ["sample_id"]))
+    names = [r[0] for r in v.select("sample_id").distinct().orderBy("sample_id").limit(MOST + 1).collect()]
+    if len(names) <= MOST:
+        return _correlated(v, names)
     a, b = v.select("feature_id", F.col("sample_id").alias("a"), F.col("value").alias("x")), v.select("feature_id", F.col("sample_id").alias("b"), F.col("value").alias("y"))
     return a.join(b, "feature_id").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
 
 
+def _correlated(v: DataFrame, names: list) -> DataFrame:
+    spark, kind = v.sparkSession, dict(v.dtypes)["sample_id"]
+    order = spark.createDataFrame(list(zip(names, range(len(names)))), f"sample_id {kind}, i int")
+    # values from their sample's mean: what is subtracted below stays small
+    centred = v.join(v.groupBy("sample_id").agg(F.avg("value").alias("_m")), "sample_id").select("sample_id", "feature_id", (F.col("value") - F.col("_m")).alias("value"))
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, xy, n, x, xx in batch.itertuples(index=False):
+                yield pd.DataFrame({"i": i, "j": np.arange(len(names)), "xy": xy, "n": n, "x": x, "xx": xx})
+
+    tall = summed(centred, order, len(names), True).mapInPandas(pairs, "i long, j long, xy double, n double, x double, xx double")
+    # what the other sample sums to over the shared features stands in its own row
+    both = tall.filter("i < j").join(tall.filter("i > j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy")), ["i", "j"]).filter("n > 0")
+    across, left, right = F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("xx") - F.col("x") ** 2 / F.col("n"), F.col("yy") - F.col("y") ** 2 / F.col("n")
+    solid = (left > 1e-12 * F.col("xx")) & (right > 1e-12 * F.col("yy"))
+    r = F.when(solid, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), across / F.sqrt(left * right))))
+    named = [order.select(F.col("sample_id").alias(k), F.col("i").cast("long").alias(p)) for k, p in (("a", "i"), ("b", "j"))]
+    return both.select("i", "j", r.alias("r")).join(F.broadcast(named[0]), "i").join(F.broadcast(named[1]), "j").select("a", "b", "r")
+
+
 def leaf_order(pairs: DataFrame) -> list:
     """Samples in the order of an average-linkage tree on 1 - r (the n x n matrix of samples is small)."""
     rows = pairs.collect()
@@ -137,19 +165,19 @@ def leaf_order(pairs: DataFrame) -> list:
 def pca(ds: Dataset, n_components: int = 4, standardize: bool = True) -> tuple[DataFrame, list[float]]:
     """Scores (sample_id, component, score) and explained variance shares, from the n x n Gram matrix of samples.
 
-    Features are standardised with the population SD; constant ones drop out. The Gram matrix is one self-join on the
-    feature, so the p x p matrix is never formed. Of each component, the entry of largest size is positive.
+    Features are standardised with the population SD; constant ones drop out. The Gram matrix is summed by blocks of
+    features, so neither the p x p matrix nor a row for each product is formed. Of each component, the entry of largest size is positive.
     """
     require_finite(ds, "pca")
     stats = ds.values.groupBy("feature_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo < hi")
     z = ds.values.join(stats, "feature_id").select("feature_id", "sample_id", ((F.col("value") - F.col("m")) / (F.col("s") if standardize else F.lit(1.0))).alias("z"))
-    a, b = z.select("feature_id", F.col("sample_id").alias("a"), F.col("z").alias("x")), z.select("feature_id", F.col("sample_id").alias("b"), F.col("z").alias("y"))
-    gram = a.join(b, "feature_id").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
     names = [r[0] for r in ds.samples.orderBy("sample_ord").select("sample_id").collect()]
-    at = {s: i for i, s in enumerate(names)}
+    if len(names) > MOST:
+        raise Refusal(f"components need {MOST} samples at most, not {len(names)}")
+    order = ds.values.sparkSession.createDataFrame(list(zip(names, range(len(names)))), f"sample_id {dict(ds.samples.dtypes)['sample_id']}, i int")
     g = np.zeros((len(names), len(names)))
-    for r in gram:
-        g[at[r["a"]], at[r["b"]]] = g[at[r["b"]], at[r["a"]]] = r["g"]
+    for r in summed(z.withColumnRenamed("z", "value"), order, len(names), False).collect():  # a row a sample
+        g[r["i"]] = r["xy"]
     values, vectors = np.linalg.eigh(g)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
     k = min(n_components, len(names))

@@ -99,13 +99,13 @@ def impute_median(s, d):
     return transform.handle_missing(sparse(s, d), max_missing_fraction=0.8, impute="median").values.withColumn("value", F.round("value", 6))
 
 
-@query("impute_knn", f"""with {KEPT.replace('<= 0.8', '<= 0.7')}, p as (select count(*) p from k),
+@query("impute_knn", f"""with {KEPT.replace(SPARSE, GRADED)}, p as (select count(*) p from k),
   dd as (select a.sample_id, b.sample_id other, sqrt(sum((a.value - b.value) * (a.value - b.value)) * max(p) / count(*)) dist from c a join c b on a.feature_id = b.feature_id and a.sample_id <> b.sample_id, p where a.value is not null and b.value is not null group by all),
   h as (select c.sample_id, c.feature_id, e.value given, row_number() over (partition by c.sample_id, c.feature_id order by dist, other) rn from c join dd using (sample_id) join c e on e.sample_id = dd.other and e.feature_id = c.feature_id where c.value is null and e.value is not null),
   f as (select sample_id, feature_id, avg(given) fill from h where rn <= 5 group by all)
   select c.sample_id, c.feature_id, round(coalesce(c.value, fill, avg(c.value) over (partition by c.feature_id)), 6) as value from c left join f using (sample_id, feature_id)""")
 def impute_knn(s, d):
-    return transform.handle_missing(sparse(s, d), max_missing_fraction=0.7, impute="knn").values.withColumn("value", F.round("value", 6))
+    return transform.handle_missing(graded(s, d), max_missing_fraction=0.8, impute="knn").values.withColumn("value", F.round("value", 6))
 
 
 @query("combat")
