@@ -446,3 +446,16 @@ def _with_fp(docs: DataFrame, words: int) -> DataFrame:
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp_of_row long")
+
+
+# The same in SQL, by all shared shingles: for small tables.
+ORACLE = r"""
+with recursive w as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select r, doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+e as (select r, unnest(s) g from s),
+c as (select a.r x, b.r y, count(*) k from e a join e b using (g) where a.r < b.r group by all),
+l as (select x, y from c join s a on a.r = x join s b on b.r = y where 100 * k >= 75 * (len(a.s) + len(b.s) - k)),
+d as (select x, y from l union all select y, x from l),
+t(r, z) as (select r, r from s union select t.r, d.y from t join d on d.x = t.z)
+select s.doc_id, len(s.s)::bigint n_shingles, min(o.doc_id)::bigint component_id from s join t using (r) join s o on o.r = t.z group by s.r, s.doc_id, s.s
+"""

@@ -51,4 +51,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {"op3_media": op3_media, "op4_chat": op4_chat, "op8_licences": op8_licences, "op7_katz": op7_katz, "op9_ann": op9_ann, "op5_toxicity": op5_toxicity, "op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op6_packing": op6_packing, "op10_pii": op10_pii}
-ORACLES: dict = {"op4_chat": chat.ORACLE, "op8_licences": licences.oracle()}
+ORACLES: dict = {"op2_jaccard": jaccard.ORACLE, "op4_chat": chat.ORACLE, "op8_licences": licences.oracle()}
