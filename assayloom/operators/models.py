@@ -446,7 +446,7 @@ def matrix(ds: Dataset, ids: list, names: list) -> np.ndarray:
 
 def run(
     ds: Dataset, outcome: str, estimator: str = "elastic_net", *, binarize: Threshold | LevelMap | None = None, positive: str | None = None, groups: str | None = None,
-    feature_list: list[str] | None = None, n_splits: int = 5, n_repeats: int = 2, stability_repeats: int = 2, n_permutations: int = 0, permute: str = "rows", top_k: int = 20, seed: int = 0,
+    feature_list: list[str] | None = None, n_splits: int = 5, n_repeats: int = 2, stability_repeats: int = 2, n_permutations: int = 0, null_repeats: int = 3, permute: str = "rows", top_k: int = 20, seed: int = 0,
     axes: tuple[tuple[float, ...], ...] | None = None, select: str = "best", tuning_metric: str | None = None,
 ) -> Fitted:
     """Nested performance, fit on all data with stability, and a shuffle null of n_permutations (0: none).
@@ -513,6 +513,13 @@ def run(
         best = {k: chosen(est, v, select) for k, v in scores.items()}
     cell = est.cells[best[-1, 0]]
 
+    def whole(x: np.ndarray, s: np.ndarray, g: np.ndarray | None) -> float:
+        """Mean score of null_repeats rounds of folds drawn for these labels, at the chosen cell: what the null compares."""
+        parts = []
+        for fold in folds(s, g, n_splits, null_repeats, seed, not est.regression):
+            parts += [quality(est, s[fold == h], est.fit(x[fold != h], s[fold != h], cell)[0](x[fold == h])) for h in range(n_splits)]
+        return float(np.mean(parts))
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y, g, outer, stable, shuffles = shared.value
         for batch in batches:
@@ -526,9 +533,7 @@ def run(
                     a = stable[r] != f
                     out += [(kind, r, f, j, 0.0, float(v)) for j, v in enumerate(est.fit(x[a], y[a], cell)[1])]
                 else:
-                    s = shuffles[k]
-                    parts = [quality(est, s[outer[0] == h], est.fit(x[outer[0] != h], s[outer[0] != h], cell)[0](x[outer[0] == h])) for h in range(n_splits)]
-                    out.append((kind, k, 0, 0, 0.0, float(np.mean(parts))))
+                    out.append((kind, k, 0, 0, 0.0, whole(x, shuffles[k], g)))
             yield pd.DataFrame(out, columns=["kind", "repeat", "fold", "at", "y", "score"])
 
     tasks = [("nested", r, f, 0) for r, f in outers[1:]] + [("stability", r, f, 0) for r in range(stability_repeats) for f in range(n_splits)] + [("null", 0, 0, k) for k in range(n_permutations)]
@@ -539,9 +544,9 @@ def run(
     nulls = [r["score"] for r in rows if r["kind"] == "null"]
     null = p = None
     if n_permutations:
-        if not np.isfinite(nulls).all():
+        if any(v is None or not math.isfinite(v) for v in nulls):
             raise Refusal("a permuted fit has no score")
-        observed = float(np.mean([quality(est, y[outer[0] == h], est.fit(x[outer[0] != h], y[outer[0] != h], cell)[0](x[outer[0] == h])) for h in range(n_splits)]))
+        observed = whole(x, y, g)
         null = spark.createDataFrame([(k, float(v)) for k, v in enumerate(nulls)], "perm int, score double")
         p = (sum(v >= observed for v in nulls) + 1) / (len(nulls) + 1)
     if estimator == "lda" and (lam := lda(x, y)[2]) >= 0.95:
