@@ -135,15 +135,20 @@ def cascade(e: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def cascade_closure(e: DataFrame, p: DataFrame) -> DataFrame:
-    """All findings that rest on a fallen one, over any number of edges: a semi-naive loop that ends with the new rows."""
+    """All findings that rest on a fallen one, over any number of edges: a semi-naive loop that ends with the new rows.
+
+    Each round is checkpointed in the folder that spark.checkpoint.dir names, where there is one, so plans stay short.
+    """
+    kept = (lambda df: df.checkpoint()) if p.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df)
     step = e.filter(F.col("type").isin(*DEPENDENT)).select("src", "dst").distinct()
     reached = p.filter(F.col("status").isin(*FALLEN)).select("id").distinct()
     start, new = reached, reached
     while True:
         new = step.join(new.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(reached, "id", "left_anti")
+        new = kept(new)
         if new.isEmpty():
             return reached.join(start, "id", "left_anti")
-        reached = reached.union(new)
+        reached = kept(reached.union(new))
 
 
 def stale(p: DataFrame, data_version: str, commits: DataFrame) -> DataFrame:
