@@ -6,7 +6,8 @@ assistant turns with their closing mark. All in DataFrame expressions; the commo
 
 Turns are ordered by (turn, role, text); a null role or text is an empty one. Defined cases: a pair whose conversations
 are equal has empty completions; one without any turn on one side keeps the other's turns as completion; repeated turns
-stay; rows without conversation id are no conversation; empty tables give no rows; extra columns are ignored.
+stay; rows without conversation id are no conversation; turns with one place come in the order of role and text; very long
+texts and conversations are rendered whole; empty tables give no rows; extra columns are ignored (kept by `preferences`).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 # The marks of the rendered format.
 CLOSE = "<|end|>\n"
 
+TURNS = 64  # turns whose lengths are summed at once
+
 
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and turns: array of (turn, role, text)."""
@@ -32,9 +35,13 @@ def rendered(turns: str) -> str:
 def masked(turns: str) -> str:
     """SQL: (start, stop) of the assistants' texts in the rendered turns, closing marks included."""
     head, tail = "length(t.role) + 5", "length(t.text) + 8"
-    sizes = f"transform({turns}, t -> {head} + {tail})"
+    total = "aggregate({}, 0, (a, x) -> a + x)"
+    # offsets are running sums by blocks: linear in the turns
+    blocks = f"aggregate(sequence(1, greatest(1, cast(ceil(size(n) / {TURNS}D) as int))), array(0), (a, k) -> concat(a, array(element_at(a, -1) + {total.format(f'slice(n, (k - 1) * {TURNS} + 1, {TURNS})')})))"
+    at = f"o[i div {TURNS}] + {total.format(f'slice(n, (i div {TURNS}) * {TURNS} + 1, i % {TURNS})')}".replace(f"i div {TURNS}", f"cast(i div {TURNS} as int)").replace(f"i % {TURNS}", f"cast(i % {TURNS} as int)")
+    placed = f"transform(array({turns}), v -> transform(array(transform(v, t -> {head} + {tail})), n -> transform(array({blocks}), o -> transform(v, (t, i) -> named_struct('t', t, 'at', {at})))))[0][0][0]"
     return (
-        f"transform(filter(transform({turns}, (t, i) -> named_struct('t', t, 'at', aggregate(slice({sizes}, 1, i), 0, (a, x) -> a + x))), m -> m.t.role = 'assistant'),"
+        f"transform(filter({placed}, m -> m.t.role = 'assistant'),"
         " m -> named_struct('start', m.at + length(m.t.role) + 5, 'stop', m.at + length(m.t.role) + 5 + length(m.t.text) + 7))"
     )
 

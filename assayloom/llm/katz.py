@@ -344,6 +344,7 @@ class Answers:
         e = self.model.levels[level - 2][1]
         x, y, z = (np.bincount(place[own], weights=w[own], minlength=len(keys)) for w in (discounted(d, c), discounted(e, lower), c))
         back = np.bincount(at, weights=c[asked] < cut, minlength=len(keys)) > 0
+        x, y = x.astype(float), y.astype(float)  # sums over nothing come as whole numbers
         return _asked(self.id, -level, bits, keys, [x, y, np.minimum(2 * z + back, 2.0**32 - 1 - (1 - back)).astype(np.uint32)], 0)
 
     def history_sums(self, level: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,9 @@ slot, classes are compared with a few hubs a round, four times as many in each f
 one component and are not compared again; this ends when every slot holds one component or all its pairs are refuted.
 
 Defined cases: null, unreadable and too small or flat images have no descriptors and are linked with nothing but equal
-bytes (null with nothing); repeated rows are copies; extra columns are ignored; an empty table gives no rows.
+bytes (null with nothing); repeated rows are copies; rows without media_id are linked only by the bytes of a row with one;
+very large images are described whole; of equally near descriptors the first counts; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ left is filled from the next shorter tiers in turn, best fit first. Sequences ar
 sequences and nearly the same attention cost; the tier of a row is the context size of its sequence.
 
 Packing sees only lengths, in round-robin slices of bounded size, so no source, length or copy group can gather in
-one task. Defined cases: a null text is an empty one; an empty one is the single end id; repeated rows are packed as
-often as they come; extra columns are ignored; an empty table gives no rows.
+one task. Defined cases: a null text is an empty one; an empty one is the single end id; rows without doc_id are packed
+like others; repeated rows are packed as often as they come; equal lengths are taken in the order of their rows; very long
+texts are cut into whole windows; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

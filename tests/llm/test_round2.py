@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from assayloom.llm import ann, bytewords, jaccard, mixing, pii, toxicity
+from assayloom.llm import ann, bytewords, chat, jaccard, katz, licences, media, mixing, packing, pii, toxicity
 
 # -- words ------------------------------------------------------------------------------------------------------
 
@@ -144,3 +144,31 @@ def test_ann_compares_vectors_of_one_length_and_counts_an_id_once(spark):
         s[7] = max(s[7], u[0] @ u[q])
         s[q] = -9
         assert got[q] == np.argsort(-s)[:3].tolist()
+
+
+# -- op4 --------------------------------------------------------------------------------------------------------
+
+
+def test_masks_of_long_conversations(spark):
+    turns = [(i, "user" if i % 2 else "assistant", "x" * (i % 7)) for i in range(300)]
+    rows = [(1, turns, turns[:-1]), (2, [], [])]
+    kind = "array<struct<turn:long,role:string,text:string>>"
+    out = {r["id"]: r for r in chat.preferences(spark.createDataFrame(rows, f"id int, chosen {kind}, rejected {kind}").selectExpr("id", "chosen", "slice(rejected, 2, 400) rejected")).collect()}
+    text, mask = out[1]["chosen_completion"], out[1]["chosen_mask"]
+    assert out[1]["common"] == 0 and [text[m["start"] : m["stop"]] for m in mask] == ["x" * (i % 7) + "<|end|>" for i in range(0, 300, 2)]
+    assert out[2]["prompt"] == "" and out[2]["chosen_mask"] == []
+
+
+# -- edge cases of operators that read tables as they are -------------------------------------------------------
+
+
+def test_clashing_names_and_odd_rows_elsewhere(spark):
+    odd = [(1, "a b c d e f g", "a"), (None, None, None), (2, "", "b"), (1, "a b c d e f g", "a"), (3, "w " * 20_000, "c")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, source string").select("*", *[F.lit("x").alias(c) for c in ("length", "offset", "matches", "slice", "level", "part", "score", "n_shingles", "size", "rows")])
+    assert packing.pack(docs).selectExpr("sum(length)", "count(distinct doc_id)").first()[1] == 3
+    assert katz.score(docs).count() == len(odd) and licences.scan(docs).count() == len(odd)
+    assert mixing.mix(docs).count() == len(odd) and jaccard.near_duplicates(docs).count() == len(odd)
+    pictures = spark.createDataFrame([(1, None), (None, None), (2, media.encoded(np.random.default_rng(0).integers(0, 255, (40, 40))))], "media_id long, image binary").withColumn("fp", F.lit(1)).withColumn("bits", F.lit(2))
+    assert media.copies(pictures).count() == 3
+    talks = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "w " * 20_000)], "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("t", F.lit(2))
+    assert chat.digest(chat.preferences(chat.swapped(chat.conversations(talks)))).count() == 1
