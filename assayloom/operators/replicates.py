@@ -62,8 +62,8 @@ def design_matrix(rows: list[dict], columns: list[str], categorical: set[str]) -
 def technical_fraction(ds: Dataset, by: str, design: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> float | None:
     """Median over features of the share of variance within units, between 0 and 1; None without repeats.
 
-    Within-unit variance is a pooled aggregate; the residuals of unit means come from the hat matrix of the (small) unit
-    design, broadcast as rows and joined once.
+    Within-unit variance is a pooled aggregate; the coefficients of unit means are sums over the units' columns of the (small)
+    design's solver, and residuals are taken over the units that have the feature.
     """
     samples = ds.samples
     info = samples.groupBy(by).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in design], F.min("sample_ord").alias("_o")).orderBy("_o").collect()
@@ -71,16 +71,18 @@ def technical_fraction(ds: Dataset, by: str, design: tuple[str, ...] = (), categ
     if runs == n_units:
         return None
     x = design_matrix([r.asDict() for r in info], list(design), set(categorical))
-    hat = x @ np.linalg.pinv(x)
-    spark = samples.sparkSession
+    solver = np.linalg.pinv(x)
+    spark, k = samples.sparkSession, x.shape[1]
     kind = dict(samples.dtypes)[by]
-    rows = [(info[i][by], info[j][by], float((i == j) - hat[i, j])) for i in range(n_units) for j in range(n_units) if abs((i == j) - hat[i, j]) > 1e-15]
-    residual = spark.createDataFrame(rows, f"_u {kind}, _v {kind}, _w double")
-    leverage = float(sum((1 - hat[i, i]) / info[i]["n"] for i in range(n_units)))
+    # a row a unit: its column of the solver and its row of the design
+    per_unit = spark.createDataFrame([(r[by], solver[:, i].tolist(), x[i].tolist()) for i, r in enumerate(info)], f"_v {kind}, _p array<double>, _x array<double>")
+    leverage = float(((1 - np.einsum("ij,ji->i", x, solver)) / np.array([r["n"] for r in info])).sum())
     values = ds.values.join(F.broadcast(samples.select("sample_id", F.col(by).alias("_v"))), "sample_id")
     means = values.groupBy("feature_id", "_v").agg(F.avg("value").alias("_m"), (F.var_pop("value") * F.count("*")).alias("_ss"))
     within = means.groupBy("feature_id").agg((F.sum("_ss") / (runs - n_units)).alias("_t"))
-    fitted = means.join(F.broadcast(residual), "_v").groupBy("feature_id", "_u").agg(F.sum(F.col("_w") * F.col("_m")).alias("_r"))
+    placed = means.join(F.broadcast(per_unit), "_v")
+    beta = placed.groupBy("feature_id").agg(F.array(*[F.sum(F.col("_p")[i] * F.col("_m")) for i in range(k)]).alias("_b"))
+    fitted = placed.join(beta, "feature_id").select("feature_id", (F.col("_m") - F.expr("aggregate(zip_with(_x, _b, (a, b) -> a * b), 0D, (s, v) -> s + v)")).alias("_r"))
     rss = fitted.groupBy("feature_id").agg(F.sum(F.col("_r") * F.col("_r")).alias("_rss"))
     between = F.greatest(F.lit(0.0), (F.col("_rss") - F.col("_t") * leverage) / (n_units - x.shape[1]))
     share = within.join(rss, "feature_id").select((F.col("_t") / F.nullif(F.col("_t") + between, F.lit(0.0))).alias("f"))
