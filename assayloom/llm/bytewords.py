@@ -148,7 +148,7 @@ def give_back() -> None:
         pass
 
 
-def row_batches(batches, rows: int = 1_000, size: int = 1_500_000):
+def row_batches(batches, rows: int = 1_000, size: int = 1_000_000):
     """Slices of Arrow batches with bounded rows and bounded text (one longer text is a slice by itself)."""
     try:
         yield from _slices(batches, rows, size)
