@@ -121,14 +121,19 @@ def folds(y: np.ndarray, groups: np.ndarray | None, n_splits: int, n_repeats: in
     Units (samples or groups) are shuffled, then each goes to the fold with the fewest of its label so far.
     """
     out = np.zeros((n_repeats, len(y)), int)
-    unit = np.arange(len(y)) if groups is None else np.unique(groups, return_inverse=True)[1]
-    members = [np.nonzero(unit == u)[0] for u in range(unit.max() + 1)]
     kinds = np.unique(y) if stratify else np.array([0])
+    if groups is None:
+        kind = np.searchsorted(kinds, y).tolist() if stratify else [0] * len(y)
+        for r in range(n_repeats):
+            out[r] = _dealt(np.random.default_rng(seed + r).permutation(len(y)).tolist(), kind, len(kinds), n_splits)
+        return out
+    unit = np.unique(groups, return_inverse=True)[1]
+    members = [np.nonzero(unit == u)[0] for u in range(unit.max() + 1)]
     for r in range(n_repeats):
         rng = np.random.default_rng(seed + r)
         held = np.zeros((n_splits, len(kinds)))
         order = rng.permutation(len(members))
-        for u in sorted(order, key=lambda u: -len(members[u])) if groups is not None else order:
+        for u in sorted(order, key=lambda u: -len(members[u])):
             mine = np.array([(y[members[u]] == k).sum() for k in kinds]) if stratify else np.array([len(members[u])])
             # the fold that ends most even, fewest rows among equals
             cost = [(((held + 0)[f] + mine) ** 2 - held[f] ** 2).sum() + 1e-6 * held[f].sum() for f in range(n_splits)]
@@ -138,6 +143,19 @@ def folds(y: np.ndarray, groups: np.ndarray | None, n_splits: int, n_repeats: in
     return out
 
 
+def _dealt(order: list[int], kind: list[int], n_kinds: int, n_splits: int) -> np.ndarray:
+    """The fold of each sample where every sample is a unit: the same costs as for groups, in plain numbers."""
+    held, total, out = [[0] * n_splits for _ in range(n_kinds)], [0] * n_splits, np.zeros(len(order), int)
+    for u in order:
+        mine = held[kind[u]]
+        costs = [2 * h + 1 + 1e-6 * t for h, t in zip(mine, total)]
+        f = costs.index(min(costs))
+        mine[f] += 1
+        total[f] += 1
+        out[u] = f
+    return out
+
+
 def check_sizes(y: np.ndarray, groups: np.ndarray | None, n_splits: int) -> None:
     for k in np.unique(y):
         n = (y == k).sum() if groups is None else len(np.unique(groups[y == k]))
@@ -203,18 +221,23 @@ def svm(x: np.ndarray, y: np.ndarray, c: float, sweeps: int = 200) -> tuple[np.n
 def ledoit_wolf(gram: np.ndarray, p: int) -> float:
     """Ledoit and Wolf's (2004) shrinkage of n centred rows: the sampling error of their covariance S over its squared distance
     from the scaled identity. All norms come from the Gram matrix, whose squares sum to n^2 |S|^2."""
-    n = len(gram)
-    norm, eigenvalue = (gram * gram).sum() / n**2, np.trace(gram) / (n * p)
+    return _shrinkage((gram * gram).sum(), np.diag(gram), p)
+
+
+def _shrinkage(squares: float, sizes: np.ndarray, p: int) -> float:
+    """The same from the sum of squares of the Gram matrix, of rows or of columns, and each row's squared length."""
+    n = len(sizes)
+    norm, eigenvalue = squares / n**2, sizes.sum() / (n * p)
     distance = norm - p * eigenvalue**2
-    error = (np.square(np.diag(gram)).mean() - norm) / n
+    error = (np.square(sizes).mean() - norm) / n
     return float(min(error, distance) / distance) if min(error, distance) > 0 else 0.0
 
 
 def lda(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Shrinkage discriminant: weights, intercept (log priors included), shrinkage. Never forms a p x p matrix.
+    """Shrinkage discriminant: weights, intercept (log priors included), shrinkage. Its matrices have the lesser of n and p rows.
 
     The pooled covariance is a I + U'U with U stacking the scaled, centred rows of both classes, so its inverse on the
-    difference of means is an n x n solve.
+    difference of means is an n x n solve, or with fewer features than rows a p x p one.
     """
     p, a, parts, means, priors, lam = x.shape[1], 0.0, [], [], [], 0.0
     scale = x.std(0)
@@ -224,16 +247,20 @@ def lda(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
         rows = z[y == k]
         centre, prior = rows.mean(0), len(rows) / len(z)
         c = rows - centre
-        gram = c @ c.T
-        shrink = ledoit_wolf(gram, p)
-        a += prior * shrink * np.trace(gram) / (len(rows) * p)
+        sizes = np.einsum("ij,ij->i", c, c)
+        gram = c @ c.T if len(c) <= p else c.T @ c
+        shrink = _shrinkage((gram * gram).sum(), sizes, p)
+        a += prior * shrink * sizes.sum() / (len(rows) * p)
         parts.append(math.sqrt(prior * (1 - shrink) / len(rows)) * c)
         means.append(centre)
         priors.append(prior)
         lam = max(lam, shrink)
     a = max(a, 1e-12)
     u, d = np.vstack(parts), means[1] - means[0]
-    beta = d / a - u.T @ np.linalg.solve(np.eye(len(u)) + u @ u.T / a, u @ d) / a**2
+    if len(u) <= p:
+        beta = d / a - u.T @ np.linalg.solve(np.eye(len(u)) + u @ u.T / a, u @ d) / a**2
+    else:
+        beta = np.linalg.solve(a * np.eye(p) + u.T @ u, d)
     return beta / scale, float(-0.5 * (means[0] + means[1]) @ beta + math.log(priors[1] / priors[0])), lam
 
 
