@@ -1,7 +1,8 @@
 """Products of all pairs of samples, summed over features in blocks.
 
 A feature's cells travel once, as one row; a task multiplies its features as a matrix and sends on one n x n sum, so the
-n^2 products of every feature never become rows. Sums of two tasks are added by sample.
+n^2 products of every feature never become rows. Sums of two tasks are added by sample. More than MOST samples are cut into
+tiles instead: a sample's cells are one row, which goes to each pair of tiles with its own, and nothing else travels.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = 2048  # samples whose sums fit in a task: four matrices of them take 134 MB
 BLOCK = 256  # features multiplied at once
+TILES, LEAST_TILE, MOST_TILE = 16, 256, 4096  # so many tiles of samples, each of a size between these
 
 
 def packed(values: DataFrame, order: DataFrame) -> DataFrame:
@@ -51,3 +53,48 @@ def summed(values: DataFrame, order: DataFrame, n: int, shared: bool) -> DataFra
 
     each = packed(values, order).select("at", "x").mapInArrow(products, "i long, " + ", ".join(f"{k} binary" for k in names))
     return each.groupBy("i").applyInPandas(add, "i long, " + ", ".join(f"{k} array<double>" for k in names))
+
+
+def numbered(values: DataFrame, key: str, name: str) -> DataFrame:
+    """Each value of key, and its place in their order from 0 as name."""
+    return values.select(key).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
+
+
+def tiled(values: DataFrame, places: DataFrame) -> tuple[DataFrame, int]:
+    """sample_id, i (its place in their order), t (its tile), at and x (places of its features, by places: feature_id, j, and
+    their values): a row a sample with any value; and the number of tiles."""
+    order = numbered(values, "sample_id", "i")
+    n = order.count()
+    size = min(MOST_TILE, max(LEAST_TILE, -(-n // TILES)))
+    rows = values.join(F.broadcast(places), "feature_id").groupBy("sample_id").agg(F.collect_list(F.struct("j", "value")).alias("c"))
+    rows = rows.join(order, "sample_id").select("sample_id", "i", F.floor(F.col("i") / size).cast("int").alias("t"), F.col("c.j").alias("at"), F.col("c.value").alias("x"))
+    return rows, max(1, -(-n // size))
+
+
+def meeting(rows: DataFrame, key: Column, tasks: int) -> DataFrame:
+    """rows of tiled() for each key of an array, those of a key side by side and in order."""
+    spread = rows.select(F.explode(key).alias("k"), "*").repartition(max(1, min(tasks, 1024)), "k")
+    return spread.sortWithinPartitions("k", "i")
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each k, where they come side by side."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        k = b.column("k").to_numpy()
+        edges = [0, *(np.nonzero(np.diff(k))[0] + 1).tolist(), len(k)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if held and hi > lo and held[0].column("k")[0].as_py() != k[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cells(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature place and value of each cell."""
+    at, x = (rows.column(c).combine_chunks() for c in ("at", "x"))
+    lengths = at.value_lengths().to_numpy()
+    return np.repeat(np.arange(len(lengths)), lengths), at.flatten().to_numpy(), x.flatten().to_numpy()

@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Refusal, detected, finite, require_finite, require_scale
 from ..functions.columns import average_rank
-from ..functions.gram import MOST, summed
+from ..functions.gram import BLOCK, MOST, cells, meeting, numbered, summed, tiled, together
+
+STRIP = 128  # samples whose correlations with a tile are made at once
 
 
 def cv(ds: Dataset) -> DataFrame:
@@ -110,8 +113,8 @@ def orders_of_magnitude(ranked: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def correlation(ds: Dataset, method: str = "pearson") -> DataFrame:
-    """Correlation of every pair of samples (a < b) over shared features: sums of products by blocks of features, and only for
-    more samples than such sums allow an equi-join on the feature."""
+    """Correlation of every pair of samples (a < b) over shared features: sums of products by blocks of features, and for
+    more samples than such sums allow by tiles of samples."""
     require_finite(ds, "correlation")
     if method not in ("pearson", "spearman"):
         raise Refusal(f"unknown method {method!r}")
@@ -121,8 +124,54 @@ def correlation(ds: Dataset, method: str = "pearson") -> DataFrame:
     names = [r[0] for r in v.select("sample_id").distinct().orderBy("sample_id").limit(MOST + 1).collect()]
     if len(names) <= MOST:
         return _correlated(v, names)
-    a, b = v.select("feature_id", F.col("sample_id").alias("a"), F.col("value").alias("x")), v.select("feature_id", F.col("sample_id").alias("b"), F.col("value").alias("y"))
-    return a.join(b, "feature_id").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    return _tiles_correlated(v)
+
+
+def _tiles_correlated(v: DataFrame) -> DataFrame:
+    """The pairs of two tiles are made and sent on in one task, strip by strip: no product and no sum travels."""
+    kind = dict(v.dtypes)["sample_id"]
+    rows, tiles = tiled(v, numbered(v, "feature_id", "j"))
+    # key of a pair of tiles: the lesser one, then the greater one
+    pair = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda u: F.least(u, F.col("t")) * tiles + F.greatest(u, F.col("t")))
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in together(batches):
+            first, second = divmod(part.column("k")[0].as_py(), tiles)
+            ids, t = part.column("sample_id").combine_chunks(), part.column("t").to_numpy()
+            row, at, x = cells(part)
+            x = x - (np.bincount(row, x) / np.bincount(row))[row]  # values from their sample's mean: what is subtracted below stays small
+            feature = np.unique(at, return_inverse=True)[1]
+            order = np.lexsort((feature, row))
+            row, feature, x = row[order], feature[order], x[order]
+            left, right = np.nonzero(t == first)[0], np.nonzero(t == second)[0]
+            blocks = range(0, int(feature.max()) + 1, BLOCK)
+            whole = [_block(row, feature, x, right[0], right[-1] + 1, b) for b in blocks] if len(blocks) == 1 else None
+            for lo in range(left[0], left[-1] + 1, STRIP):
+                hi = min(lo + STRIP, left[-1] + 1)
+                xy, n, sx, sxx, sy, syy = total = np.zeros((6, hi - lo, len(right)))
+                for k, b in enumerate(blocks):
+                    (p, m), (q, w) = _block(row, feature, x, lo, hi, b), whole[k] if whole else _block(row, feature, x, right[0], right[-1] + 1, b)
+                    for sums, one, other in zip(total, (p, m, p, p * p, m, m), (q, w, w, w, q, q * q)):
+                        sums += one @ other.T
+                i, j = np.nonzero((n > 0) & (np.arange(lo, hi)[:, None] < right[None, :]))
+                xy, n, sx, sxx, sy, syy = (s[i, j] for s in total)
+                across, one, other = xy - sx * sy / n, sxx - sx**2 / n, syy - sy**2 / n
+                solid = (one > 1e-12 * sxx) & (other > 1e-12 * syy)
+                r = np.clip(across / np.sqrt(np.where(solid, one * other, 1.0)), -1, 1)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + lo)), ids.take(pa.array(right[j])), pa.array(r, mask=~solid)], names=["a", "b", "r"])
+
+    return meeting(rows, pair, tiles * (tiles + 1) // 2).mapInArrow(correlated, f"a {kind}, b {kind}, r double")
+
+
+def _block(row: np.ndarray, feature: np.ndarray, x: np.ndarray, lo: int, hi: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 where missing) and presence of the samples lo to hi at BLOCK features; cells come in order of row."""
+    some = slice(*np.searchsorted(row, [lo, hi]))
+    here = (feature[some] >= at) & (feature[some] < at + BLOCK)
+    width = min(BLOCK, int(feature.max()) + 1 - at)
+    out = np.zeros((2, hi - lo, width))
+    i, j = row[some][here] - lo, feature[some][here] - at
+    out[0, i, j], out[1, i, j] = x[some][here], 1
+    return out[0], out[1]
 
 
 def _correlated(v: DataFrame, names: list) -> DataFrame:
