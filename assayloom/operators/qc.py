@@ -212,29 +212,49 @@ def leaf_order(pairs: DataFrame) -> list:
 
 
 def pca(ds: Dataset, n_components: int = 4, standardize: bool = True) -> tuple[DataFrame, list[float]]:
-    """Scores (sample_id, component, score) and explained variance shares, from the n x n Gram matrix of samples.
+    """Scores (sample_id, component, score) and explained variance shares, from the n x n Gram matrix of samples or, where
+    samples are more than such sums allow, the p x p one of features.
 
-    Features are standardised with the population SD; constant ones drop out. The Gram matrix is summed by blocks of
-    features, so neither the p x p matrix nor a row for each product is formed. Of each component, the entry of largest size is positive.
+    Features are standardised with the population SD; constant ones drop out. The Gram matrix is summed by blocks, so no
+    row for each product is formed. Of each component, the entry of largest size is positive.
     """
     require_finite(ds, "pca")
+    spark, kind = ds.values.sparkSession, dict(ds.samples.dtypes)["sample_id"]
     stats = ds.values.groupBy("feature_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo < hi")
-    z = ds.values.join(stats, "feature_id").select("feature_id", "sample_id", ((F.col("value") - F.col("m")) / (F.col("s") if standardize else F.lit(1.0))).alias("z"))
-    names = [r[0] for r in ds.samples.orderBy("sample_ord").select("sample_id").collect()]
-    if len(names) > MOST:
-        raise Refusal(f"components need {MOST} samples at most, not {len(names)}")
-    order = ds.values.sparkSession.createDataFrame(list(zip(names, range(len(names)))), f"sample_id {dict(ds.samples.dtypes)['sample_id']}, i int")
-    g = np.zeros((len(names), len(names)))
-    for r in summed(z.withColumnRenamed("z", "value"), order, len(names), False).collect():  # a row a sample
-        g[r["i"]] = r["xy"]
-    values, vectors = np.linalg.eigh(g)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    k = min(n_components, len(names))
-    scores = vectors[:, :k] * np.sqrt(values[:k])
-    scores *= np.where(scores[np.abs(scores).argmax(axis=0), np.arange(k)] < 0, -1, 1)
-    rows = [(s, c + 1, float(scores[i, c])) for i, s in enumerate(names) for c in range(k)]
+    z = ds.values.join(stats, "feature_id").select("feature_id", "sample_id", ((F.col("value") - F.col("m")) / (F.col("s") if standardize else F.lit(1.0))).alias("value"))
+    ids = ds.samples.select("sample_id", "sample_ord").toArrow().sort_by("sample_ord").column("sample_id").combine_chunks()
+    n = len(ids)
+    if n <= MOST:
+        values, vectors = _components(z, spark.createDataFrame(list(zip(ids.to_pylist(), range(n))), f"sample_id {kind}, i int"), n)
+        k = min(n_components, n)
+        scores = vectors[:, :k] * np.sqrt(values[:k])
+    else:
+        names = [r[0] for r in stats.select("feature_id").orderBy("feature_id").limit(MOST + 1).collect()]
+        if len(names) > MOST:
+            raise Refusal(f"components need {MOST} samples or {MOST} varying features at most, not more of both")
+        turned = z.select(F.col("sample_id").alias("feature_id"), F.col("feature_id").alias("sample_id"), "value")
+        of = dict(ds.values.dtypes)["feature_id"]
+        values, vectors = _components(turned, spark.createDataFrame(list(zip(names, range(len(names)))), f"sample_id {of}, i int"), len(names))
+        k = min(n_components, len(names))
+        weights = spark.createDataFrame([(f, [float(w) for w in vectors[j, :k]]) for j, f in enumerate(names)], f"feature_id {of}, w array<double>")
+        # a sample's scores are sums over its features: a row a sample comes back
+        sums = [F.sum(F.col("value") * F.col("w")[c]).alias(f"c{c}") for c in range(k)]
+        per = z.join(F.broadcast(weights), "feature_id").groupBy("sample_id").agg(*sums)
+        got = ds.samples.select("sample_id", "sample_ord").join(per, "sample_id", "left").fillna(0.0, [f"c{c}" for c in range(k)]).toArrow().sort_by("sample_ord")
+        scores = np.column_stack([got.column(f"c{c}").to_numpy() for c in range(k)]) if k else np.zeros((n, 0))
+    scores = scores * np.where(scores[np.abs(scores).argmax(axis=0), np.arange(k)] < 0, -1, 1) if k else scores
+    rows = pa.table({"sample_id": ids.take(pa.array(np.repeat(np.arange(n), k))), "component": pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), "score": pa.array(scores.ravel())})
     share = (values[:k] / values.sum()).tolist() if values.sum() > 0 else [0.0] * k
-    return ds.values.sparkSession.createDataFrame(rows, f"sample_id {dict(ds.samples.dtypes)['sample_id']}, component int, score double"), share
+    return spark.createDataFrame(rows, f"sample_id {kind}, component int, score double"), share
+
+
+def _components(z: DataFrame, order: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, from the largest down, and eigenvectors of the Gram matrix of what order names."""
+    g = np.zeros((n, n))
+    for r in summed(z, order, n, False).collect():  # a row of the matrix each
+        g[r["i"]] = r["xy"]
+    values, vectors = np.linalg.eigh(g) if n else (np.zeros(0), g)
+    return np.maximum(values[::-1], 0), vectors[:, ::-1]
 
 
 def cramers_v(samples: DataFrame, a: str, b: str) -> DataFrame:
