@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import Refusal
@@ -61,39 +63,45 @@ def distinct_arrangements(labels: list):
 
 def arrangements(rows: list[dict], label: str, unit: str | None, most: int = 9999, seed: int = 0) -> tuple[list[tuple], bool]:
     """Label vectors over rows: every distinct one if there are at most `most`, else that many seeded draws."""
+    drawn, _, exact = arranged(rows, label, unit, most, seed)
+    return list(drawn), exact
+
+
+def arranged(rows: list[dict], label: str, unit: str | None, most: int, seed: int) -> tuple[Iterator[tuple], int, bool]:
+    """The same one after the other, and how many they are: of many rows, one vector at a time is held."""
     how = scheme(rows, label, unit)
     values = [r[label] for r in rows]
     rng = np.random.default_rng(seed)
-    if how == "rows":
-        blocks, spread = [list(range(len(rows)))], None
-    else:
-        names = list(dict.fromkeys(r[unit] for r in rows))
-        members = {u: [i for i, r in enumerate(rows) if r[unit] == u] for u in names}
-        if how == "between":
-            first = [values[members[u][0]] for u in names]
-            total = orderings(first)
-            draws = distinct_arrangements(first) if total <= most else (tuple(first[i] for i in rng.permutation(len(first))) for _ in range(most))
-            place = {i: k for k, u in enumerate(names) for i in members[u]}
-            return [tuple(d[place[i]] for i in range(len(rows))) for d in draws], total <= most
-        blocks, spread = [members[u] for u in names], True
+    names = [] if how == "rows" else list(dict.fromkeys(r[unit] for r in rows))
+    members: dict = {u: [] for u in names}
+    for i, r in enumerate(rows if names else ()):
+        members[r[unit]].append(i)
+    if how == "between":
+        first = [values[members[u][0]] for u in names]
+        total = orderings(first)
+        draws = distinct_arrangements(first) if total <= most else (tuple(first[i] for i in rng.permutation(len(first))) for _ in range(most))
+        place = {i: k for k, u in enumerate(names) for i in members[u]}
+        return (tuple(d[place[i]] for i in range(len(rows))) for d in draws), min(total, most), total <= most
+    blocks = [list(range(len(rows)))] if how == "rows" else [members[u] for u in names]
     total = math.prod(orderings([values[i] for i in b]) for b in blocks)
-    if total <= most:
-        out = []
+
+    def everyone() -> Iterator[tuple]:
         for combo in itertools.product(*[list(distinct_arrangements([values[i] for i in b])) for b in blocks]):
             v = list(values)
             for b, c in zip(blocks, combo):
                 for i, x in zip(b, c):
                     v[i] = x
-            out.append(tuple(v))
-        return out, True
-    out = []
-    for _ in range(most):
-        v = list(values)
-        for b in blocks:
-            for i, j in zip(b, rng.permutation(b)):
-                v[i] = values[j]
-        out.append(tuple(v))
-    return out, False
+            yield tuple(v)
+
+    def some() -> Iterator[tuple]:
+        for _ in range(most):
+            v = list(values)
+            for b in blocks:
+                for i, j in zip(b, rng.permutation(b)):
+                    v[i] = values[j]
+            yield tuple(v)
+
+    return (everyone() if total <= most else some()), min(total, most), total <= most
 
 
 def kruskal(scores: DataFrame, group: str, key: list[str]) -> DataFrame:
@@ -105,17 +113,34 @@ def kruskal(scores: DataFrame, group: str, key: list[str]) -> DataFrame:
     return per.join(ties, key).select(*key, F.when(F.col("groups") > 1, h).alias("h"), "groups", "n")
 
 
-def permutation_table(spark: SparkSession, rows: list[dict], label: str, unit: str | None, most: int, seed: int) -> tuple[DataFrame, int, bool]:
-    drawn, exact = arrangements(rows, label, unit, most, seed)
-    if len(drawn) <= LEAST_RESOLUTION:
-        warnings.warn(f"only {len(drawn)} arrangements: p cannot be small", ResolutionWarning, stacklevel=3)
-    data = [(p, r["sample_id"], str(v)) for p, d in enumerate(drawn) for r, v in zip(rows, d)]
-    return spark.createDataFrame(data, "perm int, sample_id string, label string"), len(drawn), exact
+def permuted_hits(ranked: pa.Table, observed: dict, rows: list[dict], drawn: Iterator[tuple]) -> dict:
+    """Per component, how many of the drawn label vectors have an H of the observed one or more. A component's ranks and ties are
+    the same under every labelling (ranked: component, sample_id, score, _r), so one labelling needs its rank sums only."""
+    at = {r["sample_id"]: i for i, r in enumerate(rows)}
+    place = np.array([at[v] for v in ranked.column("sample_id").to_pylist()], int)
+    component, score, rank = (ranked.column(c).to_numpy() for c in ("component", "score", "_r"))
+    parts, hits = {}, dict.fromkeys(observed, 0)
+    for c in observed:
+        mine = component == c
+        n, ties = float(mine.sum()), np.unique(score[mine], return_counts=True)[1].astype(float)
+        spread = 1 - (ties**3 - ties).sum() / (n**3 - n) if n > 1 else 0.0
+        if spread and observed[c]["h"] is not None:
+            parts[c] = (place[mine], rank[mine], n, spread, observed[c]["h"] - 1e-9 * abs(observed[c]["h"]))
+    code: dict = {}
+    for d in drawn:
+        labels = np.array([code.setdefault(str(v), len(code)) for v in d], int)
+        for c, (where, r, n, spread, bar) in parts.items():
+            m = np.bincount(labels[where])
+            s = np.bincount(labels[where], r)[m > 0]
+            m = m[m > 0]
+            h = (12 / (n * (n + 1)) * (s**2 / m).sum() - 3 * (n + 1)) / spread
+            hits[c] += bool(len(m) > 1 and h >= bar)
+    return hits
 
 
 def group_tests(scores: DataFrame, samples: DataFrame, label: str, unit: str | None = None, n_permutations: int = 999, seed: int = 0) -> DataFrame:
     """Per component: H, its chi-square p (with two groups also U of the first and the Mann-Whitney p, else null), and the
-    permutation p that respects units. Permutations are a dimension of one distributed aggregate."""
+    permutation p that respects units. A row a sample and component comes to the driver, and one labelling at a time is held."""
     spark = scores.sparkSession
     rows = [r.asDict() for r in samples.filter(F.col(label).isNotNull()).orderBy("sample_ord").select(F.col("sample_id").cast("string").alias("sample_id"), label, *([unit] if unit else [])).collect()]
     if len({r[label] for r in rows}) < 2:
@@ -125,10 +150,11 @@ def group_tests(scores: DataFrame, samples: DataFrame, label: str, unit: str | N
     told = s.join(F.broadcast(real), "sample_id")
     observed = {r["component"]: r for r in kruskal(told, "label", ["component"]).collect()}
     pairs = {r["component"]: (r["u"], r["p"]) for r in two_groups(told).collect()} if len({str(r[label]) for r in rows}) == 2 else {}
-    table, n, exact = permutation_table(spark, rows, label, unit, n_permutations, seed)
-    null = kruskal(table.join(F.broadcast(s), "sample_id"), "label", ["component", "perm"])
-    seen = spark.createDataFrame([(c, r["h"]) for c, r in observed.items()], "component int, observed double")
-    hits = {r["component"]: r["hits"] for r in null.join(F.broadcast(seen), "component").groupBy("component").agg(F.count_if(F.col("h") >= F.col("observed") - 1e-9 * F.abs("observed")).alias("hits")).collect()}
+    drawn, n, exact = arranged(rows, label, unit, n_permutations, seed)
+    if n <= LEAST_RESOLUTION:
+        warnings.warn(f"only {n} arrangements: p cannot be small", ResolutionWarning, stacklevel=2)
+    ranked = told.select("component", "sample_id", "score", average_rank("score", ["component"]).alias("_r")).toArrow()
+    hits = permuted_hits(ranked, observed, rows, drawn)
     out = []
     for c, r in sorted(observed.items()):
         p = hits[c] / n if exact else (hits[c] + 1) / (n + 1)
