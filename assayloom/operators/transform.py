@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import LOG_SCALES, Dataset, Refusal, detected, finite, require_finite, require_scale
+from ..functions.gram import cells, meeting, numbered, tiled, together
 
 MAD_TO_SD = 1.4826
+ASKED = 64  # samples whose distances to all others are held at once
 
 
 def log2_transform(ds: Dataset, pseudocount: float = 1.0) -> Dataset:
@@ -90,34 +94,77 @@ def handle_missing(ds: Dataset, *, max_missing_fraction: float, impute: str, min
     if impute not in ("zero", "mean", "median", "knn"):
         raise Refusal(f"unknown imputation {impute!r}")
     kept = detection_filter(ds, max_missing_fraction, min_intensity)
-    cells = kept.dense()
+    grid = kept.dense()
     seen = detected(F.col("value"), min_intensity)
     value = F.when(seen, F.col("value"))
     if impute == "zero":
-        return kept.with_values(cells.withColumn("value", F.coalesce(value, F.lit(0.0))))
-    if cells.groupBy("feature_id").agg(F.count_if(seen).alias("n")).filter("n = 0").limit(1).count():
+        return kept.with_values(grid.withColumn("value", F.coalesce(value, F.lit(0.0))))
+    if grid.groupBy("feature_id").agg(F.count_if(seen).alias("n")).filter("n = 0").limit(1).count():
         raise Refusal("a feature was never detected: nothing to impute from")
-    cells = cells.withColumn("value", value)
+    grid = grid.withColumn("value", value)
     if impute == "knn":
-        return kept.with_values(_nearest_samples(cells, knn_neighbors))
+        return kept.with_values(_nearest_samples(grid, knn_neighbors))
     fill = {"mean": F.avg, "median": F.median}[impute]("value")
-    return kept.with_values(cells.join(cells.groupBy("feature_id").agg(fill.alias("_fill")), "feature_id").withColumn("value", F.coalesce("value", "_fill")))
-
-
-def _nearest_samples(cells: DataFrame, k: int) -> DataFrame:
-    """Missing cells from the k nearest samples that have the feature; distance over shared features, scaled to all."""
-    n = cells.select("feature_id").distinct().count()
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, F.expr("a.feature_id = b.feature_id and a.sample_id <> b.sample_id and a.value is not null and b.value is not null"))
-    d = F.col("a.value") - F.col("b.value")
-    distance = pairs.groupBy(F.col("a.sample_id").alias("sample_id"), F.col("b.sample_id").alias("other")).agg(F.sqrt(F.sum(d * d) * n / F.count("*")).alias("d"))
-    holes = cells.filter("value is null").select("sample_id", "feature_id")
-    donors = cells.filter("value is not null").select(F.col("sample_id").alias("other"), "feature_id", F.col("value").alias("given"))
-    w = Window.partitionBy("sample_id", "feature_id").orderBy("d", "other")
-    near = holes.join(distance, "sample_id").join(donors, ["other", "feature_id"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
-    fill = near.groupBy("sample_id", "feature_id").agg(F.avg("given").alias("_fill"))
-    mean = cells.groupBy("feature_id").agg(F.avg("value").alias("_mean"))
-    return cells.join(fill, ["sample_id", "feature_id"], "left").join(mean, "feature_id").withColumn("value", F.coalesce("value", "_fill", "_mean"))
+    return kept.with_values(grid.join(grid.groupBy("feature_id").agg(fill.alias("_fill")), "feature_id").withColumn("value", F.coalesce("value", "_fill")))
+
+
+def _nearest_samples(kept: DataFrame, k: int) -> DataFrame:
+    """Missing cells from the k nearest samples that have the feature; distance over shared features, scaled to all.
+
+    A tile of samples meets all samples in one task, which holds their values; what leaves it is a row for each missing cell.
+    """
+    kind = dict(kept.dtypes)["sample_id"]
+    places = numbered(kept, "feature_id", "j")
+    n = places.count()
+    rows, tiles = tiled(kept.filter("value is not null"), places)
+    everyone = F.sequence(F.lit(0), F.lit(tiles - 1))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in together(batches):
+            ids, mine = part.column("sample_id").combine_chunks(), part.column("t").to_numpy() == part.column("k").to_numpy()
+            row, at, v = cells(part)
+            x, m = np.zeros((2, len(ids), n))
+            x[row, at], m[row, at] = v, 1
+            # sums of whole numbers are exact in any order, so products of matrices give them; others are summed as differences
+            whole = bool((v == np.rint(v)).all()) and 4 * float(np.abs(v).max()) ** 2 * n < 2.0**53
+            square = x * x if whole else None
+            asked = np.nonzero(mine & (m.sum(1) < n))[0]
+            for some in np.array_split(asked, -(-len(asked) // ASKED)) if len(asked) else ():
+                both = m[some] @ m.T
+                if whole:
+                    total = square[some] @ m.T + m[some] @ square.T - 2 * (x[some] @ x.T)
+                else:
+                    total = np.stack([(np.square(x - x[i]) * m) @ m[i] for i in some])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = np.where(both > 0, np.sqrt(total * n / both), np.inf)
+                d[np.arange(len(some)), some] = np.inf
+                out = [_given(d[r], x, m, np.nonzero(m[i] == 0)[0], k) for r, i in enumerate(some)]
+                at_row = np.repeat(some, [len(j) for j, _ in out])
+                j, fill = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at_row)), pa.array(j, pa.int32()), pa.array(fill, pa.float64())], names=["sample_id", "j", "_fill"])
+
+    fill = meeting(rows, everyone, tiles).mapInArrow(nearest, f"sample_id {kind}, j int, _fill double")
+    fill = fill.join(F.broadcast(places), "j").select("sample_id", "feature_id", "_fill")
+    mean = kept.groupBy("feature_id").agg(F.avg("value").alias("_mean"))
+    return kept.join(fill, ["sample_id", "feature_id"], "left").join(mean, "feature_id").withColumn("value", F.coalesce("value", "_fill", "_mean"))
+
+
+def _given(d: np.ndarray, x: np.ndarray, m: np.ndarray, holes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of one sample's holes that a sample at distance d can fill, and the mean of the k nearest that have each; of equal
+    distances the first. Ever more of the nearest are looked at until each hole has k."""
+    most, finite_ = 16 * k, int(np.isfinite(d).sum())
+    while True:
+        near = np.nonzero(d <= np.partition(d, most - 1)[most - 1])[0] if most < finite_ else np.nonzero(np.isfinite(d))[0]
+        near = near[np.argsort(d[near], kind="stable")]
+        has = m[np.ix_(near, holes)] > 0
+        seen = np.cumsum(has, axis=0)
+        if most >= finite_ or (len(near) and seen[-1].min() >= k):
+            break
+        most *= 8
+    used = has & (seen <= k)
+    count = used.sum(0)
+    some = count > 0
+    return holes[some], (x[np.ix_(near, holes)] * used).sum(0)[some] / count[some]
 
 
 class BatchPassthroughWarning(UserWarning):
