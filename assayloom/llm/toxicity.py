@@ -16,6 +16,7 @@ from all scores are 0; an empty table gives no rows; extra columns are ignored (
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import SALTS, Powers, Words, row_batches
+from .bytewords import SALTS, Powers, Words, give_back, row_batches
 from .common import crc_mod, discard, tidy_shuffles, written
 
 SAMPLE = 600  # training documents of each label that the field is fitted on
@@ -282,17 +283,42 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: bool = True, sample: int =
             parts.append(some)
         mine = counts(parts[0]).select("affix")
         for support, ratio in WEAKER:
-            # only affixes of the bounded sample reach the driver, as one array; the join to their counts is distributed
+            # only affixes of the bounded sample are kept, as a narrow table; the join to their counts is distributed
             telling = seen.filter(f"toxic >= {support} and toxic * {good}D > clean * {bad}D * {ratio}")
-            affix = telling.join(mine, "affix", "left_semi").select("affix").toArrow()["affix"].to_numpy()
-            if len(affix):
+            telling = written(telling.join(mine, "affix", "left_semi").select("affix"), "telling")
+            if not telling.isEmpty():
                 break
-        bad_rows, good_rows = (part.toArrow() for part in parts)
-    for part in (*parts, labelled, marks):
+            discard(telling)
+        else:
+            telling = None
+        field = trained(*parts, telling, bad, good) if telling is not None else Field()
+    for part in (*parts, *([telling] if telling is not None else []), labelled, marks):
         discard(part)
-    texts_ = pa.concat_arrays([c for t in (bad_rows, good_rows) for c in t["text"].cast(pa.large_string()).chunks])
-    ratio = (good / max(1, good_rows.num_rows)) / (bad / max(1, bad_rows.num_rows))
-    return train(texts_, np.arange(len(texts_)) < bad_rows.num_rows, np.sort(affix.view(np.uint64)), ratio)
+    return field
+
+
+def trained(bad_rows: DataFrame, good_rows: DataFrame, telling: DataFrame, bad: int, good: int) -> Field:
+    """The field of a sample, fitted in one task: the driver, whose memory all queries share, gets the fitted numbers only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        kind = np.concatenate([b.column(0).to_numpy() for b in got])
+        order = np.argsort(kind, kind="stable")  # toxic texts, clean texts, affixes
+        n, toxic = int((kind < 2).sum()), int((kind == 0).sum())
+        texts = pa.chunked_array([b.column(1).cast(pa.large_string()) for b in got]).take(pa.array(order[:n])).combine_chunks()
+        affix = np.concatenate([b.column(2).fill_null(0).to_numpy() for b in got])[order[n:]]
+        del got
+        ratio = (good / max(1, n - toxic)) / (bad / max(1, toxic))
+        field = train(texts, np.arange(n) < toxic, np.sort(affix.view(np.uint64)), ratio)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(field))], pa.binary())], names=["field"])
+        del field, texts
+        give_back()
+
+    rows = [part.select(F.lit(k).alias("kind"), "text", F.lit(None).cast("long").alias("affix")) for k, part in enumerate((bad_rows, good_rows))]
+    rows.append(telling.select(F.lit(2).alias("kind"), F.lit(None).cast("string").alias("text"), "affix"))
+    field = Field()
+    vars(field).update(pickle.loads(rows[0].unionAll(rows[1]).unionAll(rows[2]).coalesce(1).mapInArrow(run, "field binary").first()["field"]))
+    return field
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:
